@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from certame.llm import neardup, packing, token_files
+from certame.llm import neardup, packing, suffix_dedup, token_files
 from certame.llm.storage import table
 
 
@@ -16,10 +16,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("spans", "kept_text")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_near_duplicates, op5_packing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op3_near_duplicates, op5_packing, op8_suffix_dedup, op10_token_files)}
 
 ORACLES: dict[str, str] = {}
