@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from certame.llm import neardup, packing, suffix_dedup, token_files
+from certame.llm import language, neardup, packing, suffix_dedup, token_files, url_filter
 from certame.llm.storage import table
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.train(table(spark, sf_dir, "documents"))
+    return language.identify(language.page_rows(table(spark, sf_dir, "pages")), model).withColumnRenamed("key", "page_id")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,6 +33,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_near_duplicates, op5_packing, op8_suffix_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_near_duplicates, op5_packing, op8_suffix_dedup, op10_token_files)}
 
 ORACLES: dict[str, str] = {}
