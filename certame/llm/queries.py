@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from certame.llm import language, neardup, packing, suffix_dedup, token_files, url_filter
+from certame.llm import decontamination, language, neardup, packing, suffix_dedup, token_files, url_filter
 from certame.llm.storage import table
 
 
@@ -21,6 +21,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
 
@@ -33,6 +37,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_near_duplicates, op5_packing, op8_suffix_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_near_duplicates, op4_decontamination, op5_packing, op8_suffix_dedup, op10_token_files)}
 
 ORACLES: dict[str, str] = {}
