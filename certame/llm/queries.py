@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certame.llm import decontamination, language, licences, neardup, packing, suffix_dedup, token_files, topk, url_filter
+from certame.llm import decontamination, katz, language, licences, neardup, packing, suffix_dedup, token_files, topk, url_filter
 from certame.llm.storage import table
 
 
@@ -30,6 +30,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
 
 
+def op6_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op7_top_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.scaled(table(spark, sf_dir, "embeddings"))
     return topk.exact_top(vectors, vectors.where("vec_id % 20 = 0")).withColumn("score", F.col("score").cast("long"))
@@ -47,6 +51,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_near_duplicates, op4_decontamination, op5_packing, op7_top_search, op8_suffix_dedup, op9_licenses, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_near_duplicates, op4_decontamination, op5_packing, op6_katz_score, op7_top_search, op8_suffix_dedup, op9_licenses, op10_token_files)}
 
 ORACLES: dict[str, str] = {}
