@@ -171,3 +171,8 @@ def page_rows(pages: DataFrame) -> DataFrame:
         F.nullif(F.regexp_extract(html, DECLARED, 1), F.lit("")).alias("declared"),
         host_of(F.col("url")).alias("host"),
     )
+
+
+def document_rows(docs: DataFrame) -> DataFrame:
+    """identify()'s columns from documents (doc_id, text, lang, source): the source stands for the host."""
+    return docs.select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))

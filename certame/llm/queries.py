@@ -40,7 +40,7 @@ def op7_top_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("spans", "kept_text")
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

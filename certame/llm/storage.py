@@ -58,3 +58,11 @@ def drop_shuffles(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of df whose key is not in ids (one column of that name).
+
+    ids are written first, so that Spark knows their size and broadcasts them only below its threshold.
+    """
+    return df.join(staged(ids.distinct(), "ids"), key, "left_anti")

@@ -304,47 +304,82 @@ def merged(ranges: np.ndarray, length: int) -> np.ndarray:
     return np.stack([ranges[new, 0], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]], axis=1)
 
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string"
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+def _spans(ranges: pa.Scalar, length: int) -> np.ndarray:
+    inner = ranges.values
+    return merged(np.stack([inner.field(0).to_numpy(), inner.field(1).to_numpy()], axis=1).astype(np.int64), length)
+
+
+def _kept(raw: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    keep = np.ones(len(raw), dtype=bool)
+    for a, b in spans.tolist():
+        keep[a:b] = False
+    return raw[keep]
+
+
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = text_buffers(batch.column(1))
         out = []
         for r, (doc, ranges) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
             raw = data[at[r] : at[r + 1]]
-            spans = np.zeros((0, 2), np.int64)
-            if ranges.is_valid:
-                inner = ranges.values
-                spans = merged(np.stack([inner.field(0).to_numpy(), inner.field(1).to_numpy()], axis=1).astype(np.int64), length)
-            keep = np.ones(len(raw) + 1, dtype=np.int8)
-            for a, b in spans.tolist():
-                keep[a:b] = 0
-            kept = raw[keep[:-1].astype(bool)].tobytes()
-            out.append((doc, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in spans.tolist()], kept.decode("utf-8", "ignore") if with_text else None))
-        names = [x.strip().split(" ")[0] for x in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text")]
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
+            spans = _spans(ranges, length) if ranges.is_valid else np.zeros((0, 2), np.int64)
+            kept = _kept(raw, spans).tobytes()
+            out.append((doc, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in spans.tolist()]))
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
         if out:
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, partition_bytes: int = PARTITION_BYTES, with_text: bool = False) -> DataFrame:
-    """Removes from each text of docs (doc_id, text) every byte covered by a `length`-byte string that also starts earlier.
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """(doc_id, ranges) for the documents of docs (doc_id, text) with windows that also start earlier: ranges of their starts, as (start, n).
 
-    Earlier: in a document of smaller doc_id, or before in the same one; overlaps count, and
-    strings are judged on the input. Texts are UTF-8 bytes, null counts as empty, and a null doc_id has nothing
-    removed nor makes others repeat. Rows that share a doc_id count as one document, and get its removals each. Returns
-    doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining
-    bytes), spans, and with `with_text` the remaining text, without the halves of characters cut at a span's edge.
+    Earlier: in a document of smaller doc_id, or before in the same one. Texts are UTF-8 bytes, null counts as
+    empty; rows without doc_id take no part.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    known = docs.where("doc_id is not null")
+    known = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-size // partition_bytes))
-    # whole partitions meet a hash of the part's number: those of a part stand together
+    # rows of one part stand together after the exchange, whatever else shares its partition
     dealt = known.mapInArrow(lambda b: _deal_anchors(b, parts, length, gram), "part int, found binary, done binary").repartition(parts, "part")
     settled = staged(dealt.mapInArrow(_settle, "fp long, hot boolean, doc_id long, start int, n int, off int"), "anchors")
     compare = settled.where("fp is not null").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "hot", "start", "n", "off")).alias("around"))
     windows = known.join(compare, "doc_id").mapInArrow(lambda b: _deal_windows(b, parts, length), "part int, found binary").repartition(parts, "part").mapInArrow(lambda b: _sort_windows(b, length), RANGES)
-    ranges = settled.where("fp is null").select("doc_id", "start", "n").union(windows).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    return docs.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(lambda b: _cut(b, length, with_text), OUT)
+    return settled.where("fp is null").select("doc_id", "start", "n").union(windows).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Removes from each text of docs (doc_id, text) every byte covered by a `length`-byte string that also starts earlier.
+
+    Overlaps count, and strings are judged on the input. A null doc_id has nothing removed, nor makes others
+    repeat. Rows that share a doc_id count as one document, and get its removals each. Returns
+    doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes) and spans.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    return docs.join(repeated_ranges(docs, length, gram), "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(lambda b: _cut(b, length), OUT)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """docs with what suffix_dedup() removes cut from text; all other columns stay, n_chars (if there) is counted anew.
+
+    A character that is cut in part goes whole. A text that is removed in full becomes empty; null stays null.
+    """
+    ranges = repeated_ranges(docs, length, gram).select(F.col("doc_id").alias("__of"), F.col("ranges").alias("__ranges"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index("text")
+            data, at = text_buffers(batch.column(place))
+            texts = batch.column(place).to_pylist()
+            for r, found in enumerate(batch.column(batch.num_columns - 1)):
+                if found.is_valid:
+                    texts[r] = _kept(data[at[r] : at[r + 1]], _spans(found, length)).tobytes().decode("utf-8", "ignore")
+            batch = batch.drop_columns(batch.schema.names[-1:]).set_column(place, batch.schema.field(place), pa.array(texts, batch.column(place).type))
+            if (k := batch.schema.get_field_index("n_chars")) >= 0:
+                batch = batch.set_column(k, batch.schema.field(k), pa.array([None if t is None else len(t) for t in texts], batch.column(k).type))
+            yield batch
+
+    joined = docs.join(ranges, docs["doc_id"] == ranges["__of"], "left").drop("__of")
+    return joined.mapInArrow(run, docs.schema)
