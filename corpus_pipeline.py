@@ -1,7 +1,8 @@
-"""Language ID, near-duplicates, repeated passages, benchmark leaks, packing: from documents to token sequences.
+"""From documents to token sequences: language ID, near-duplicates, repeated passages, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written and read
-again as the docs of the next one. All but the last return the columns of documents.
+again as the docs of the next one. All but the last return the columns of documents. Rows without a doc_id go at the first stage:
+no later decision could name them.
 """
 
 from __future__ import annotations
@@ -9,29 +10,57 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from certame.llm import neardup, packing
-from certame.llm.storage import shared_dir
+from certame.llm import decontamination, language, neardup, packing, suffix_dedup
+from certame.llm.storage import shared_dir, staged, table, without
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled rows know stay; the others, and those without letters, go."""
+    docs = docs.where("doc_id is not null")
+    found = language.identify(language.document_rows(docs), language.train(docs))
+    return without(docs, found.where("not accepted").select(F.col("key").alias("doc_id")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates stays: the one of the smallest doc_id, in one row."""
+    found = staged(neardup.near_duplicates(docs), "groups")
+    kept = without(docs, found.where("not kept").select("doc_id"))
+    twice = staged(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    return without(kept, twice).unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand earlier in the corpus are cut from the texts; every document stays."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak an item of the benchmark go."""
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, found.where("contaminated").select("doc_id"))
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 token ids, in pieces of documents."""
     return packing.pack(docs)
 
 
-STAGES = [("near_dedup", near_dedup), ("packing", packed)]
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup_stage),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
 
-#: Tokenisation, suffix comparison and latent search have no SQL form; the tests hold the stages against brute force.
+#: Tokens, suffix comparison and latent search have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/certame/stage-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
