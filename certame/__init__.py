@@ -1,0 +1 @@
+"""Analytics for multiple-choice exam banks as Spark DataFrame operators."""
