@@ -25,7 +25,7 @@ def coverage(answered: Column, catalogue: Column) -> Column:
 
 def minutes(start: Column, end: Column) -> Column:
     """null while it lasts."""
-    return half_up((F.unix_millis(end) - F.unix_millis(start)) / 60000.0)
+    return half_up((F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp"))) / 60000.0)
 
 
 def medal(pct: Column) -> Column:

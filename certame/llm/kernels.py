@@ -15,7 +15,7 @@ import pyarrow as pa
 #: An odd multiplier and its inverse modulo 2**64.
 MULT = 0x9E3779B97F4A7C15
 MULT_INV = pow(MULT, -1, 1 << 64)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -33,7 +33,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 4 * SLICE_BYTES:
+        if n <= 4 << 20:
             _powers[base] = have
     return have[:n]
 

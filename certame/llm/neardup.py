@@ -19,6 +19,8 @@ PERCENT = 75
 SKETCH = 64
 #: Of two sketches of 64 values from sets of similarity 0.75, fewer than 28 agree once in over a million pairs.
 LEAST_SHARED = 28
+#: What a list tells of a member: id, size of its set, how much of it others hold, component.
+SIDE = (("rep", ""), ("n_shingles", "_n"), ("common", "_s"), ("component", "_c"))
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], width: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -61,7 +63,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     Equal sets meet by their digest. Each other set is listed under the rarest of the values
     in its bottom-k sketch, as many as a true partner can't miss all of; values that one set
     alone holds take their places first, so passages common to many documents list nobody
-    unless they make up most of the sketch. A list's members are compared with its most
+    unless they make up most of the sketch. Of the listed ones the full sets tell how much nobody else
+    holds; who shares too little for a partner of any size drops out. A list's members are compared with its most
     connected one (a star, not all pairs), found links merge, and what then still
     stands across components in a list is compared in full. The sketches' estimate filters,
     the full sets decide.
@@ -87,38 +90,44 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     listed = staged(ranked.select("rep", "n_shingles", "central", F.explode(F.expr("slice(common, 1, cast(slots as int))")).alias("v")).select("rep", "n_shingles", "central", F.col("v.value").alias("value")), "lists")
     drop_shuffles(spark)
 
+    # sets of all that are listed anywhere: nothing else can have a partner
+    wanted = staged(listed.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    sets = staged(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(lambda b: _sets(b, width), "doc_id long, shingles array<long>"), "sets")
+    alone = sets.select("doc_id", F.explode("shingles").alias("value")).groupBy("value").agg(F.count("*").alias("df"), F.min("doc_id").alias("rep")).where("df = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    # a document shares at most what is not its own: that must be enough for a partner of its list's smallest size
+    listed = listed.join(alone, "rep", "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own").where(f"common * 100 >= {percent} * n_shingles")
+    least = listed.groupBy("value").agg(F.min("n_shingles").alias("least"))
+    listed = staged(listed.join(least, "value").where(f"common * {100 + percent} >= {percent} * (n_shingles + greatest(least, n_shingles * {percent} / 100.0))").drop("least"), "lists")
+    drop_shuffles(spark)
+
     sketch_of = reps.select(F.col("rep"), F.col("sketch"))
-    links, sets = None, None
+    links = None
     for step in range(star_rounds + 1):
         if links is None:
             parted = listed.withColumn("component", F.col("rep"))
         else:
             labels = components(links)
             parted = listed.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            # lists within one component have nothing left to find
-            open_lists = parted.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
-            parted = parted.join(open_lists, "value")
-        parted = staged(parted, "parted")
+        # lists within one component have nothing left to find
+        open_lists = parted.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
+        parted = staged(parted.join(open_lists, "value"), "parted")
         if parted.isEmpty():
             break
-        near = f"least(x_n, y_n) * 100 >= {percent} * greatest(x_n, y_n)"
-        x = parted.select("value", F.col("rep").alias("x"), F.col("n_shingles").alias("x_n"), F.col("component").alias("x_c"))
-        if step < star_rounds:
-            # the next rounds take another centre: the most connected one outside the first's component
-            best = F.max_by(F.struct(F.col("rep").alias("y"), F.col("n_shingles").alias("y_n"), F.col("component").alias("y_c")), F.struct("central", -F.col("rep")))
-            if step == 0:
-                centre = parted.groupBy("value").agg(best.alias("c")).select("value", "c.*")
-            else:
-                large = parted.groupBy("value", "component").agg(F.count("*").alias("n"), best.alias("c"), F.max("central").alias("central"))
-                centre = large.groupBy("value").agg(F.min_by("c", F.struct("n", -F.col("central"))).alias("c")).select("value", "c.*")
-            pairs = x.join(centre, "value")
+        fits = f"least(x_n, y_n) * 100 >= {percent} * greatest(x_n, y_n) and least(x_s, y_s) * {100 + percent} >= {percent} * (x_n + y_n)"
+        x = parted.select("value", *[F.col(c).alias(f"x{k}") for c, k in SIDE])
+        one = F.struct(*[F.col(c).alias(f"y{k}") for c, k in SIDE])
+        if step == 0:
+            centre = parted.groupBy("value").agg(F.max_by(one, F.struct("central", -F.col("rep"))).alias("c")).select("value", "c.*")
+        elif step < star_rounds:
+            # another centre: the most connected one of the smallest component
+            small = parted.groupBy("value", "component").agg(F.count("*").alias("n"), F.max_by(one, F.struct("central", -F.col("rep"))).alias("c"), F.max("central").alias("central"))
+            centre = small.groupBy("value").agg(F.min_by("c", F.struct("n", -F.col("central"))).alias("c")).select("value", "c.*")
         else:
             # whoever is not in a list's largest component, against all of the list
             sizes = parted.groupBy("value", "component").agg(F.count("*").alias("n"))
             largest = sizes.groupBy("value").agg(F.max_by("component", F.struct("n", "component")).alias("top"))
-            rest = parted.join(largest, "value").where("component <> top").select("value", F.col("rep").alias("y"), F.col("n_shingles").alias("y_n"), F.col("component").alias("y_c"))
-            pairs = x.join(rest, "value")
-        pairs = pairs.where("x_c <> y_c").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            centre = parted.join(largest, "value").where("component <> top").select("value", *[F.col(c).alias(f"y{k}") for c, k in SIDE])
+        pairs = x.join(centre, "value").where("x_c <> y_c").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         margin = 5 * float(np.sqrt(percent / 100 * (1 - percent / 100) / size))
         likely = (
             pairs.join(sketch_of.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
@@ -129,11 +138,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         likely = staged(likely, "pairs")
         if likely.isEmpty():
             continue
-        wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("doc_id"), "doc_id", "left_anti")
-        new = staged(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(lambda b: _sets(b, width), "doc_id long, shingles array<long>"), "sets")
-        sets = new if sets is None else sets.union(new)
         found = (
             likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("ha")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("hb")), "b")

@@ -27,11 +27,11 @@ GRAM = 32
 #: Text for each of the partitions that anchors are dealt to.
 PARTITION_BYTES = 16 << 20
 #: Anchors that are dealt together by a task.
-BATCH_ANCHORS = 1 << 20
+BATCH_ANCHORS = 1 << 18
 #: An anchor in more different surroundings than this is dealt window by window.
 HOT = 4096
 #: Windows that are sorted at once.
-BATCH_WINDOWS = 1 << 20
+BATCH_WINDOWS = 1 << 18
 RANGES = "doc_id long, start int, n int"
 
 

@@ -64,5 +64,5 @@ def may_retry(mocks: DataFrame) -> DataFrame:
 
 def by_area(rows: DataFrame, order: list[str]) -> DataFrame:
     """The ids of each area in order, for printing."""
-    listed = F.sort_array(F.collect_list(F.struct(*order, "questao_id")))
-    return rows.groupBy("area").agg(F.transform(listed, lambda s: s["questao_id"]).alias("questoes"))
+    listed = F.sort_array(F.collect_list(F.struct(*order, F.col("questao_id").alias("__id"))))
+    return rows.groupBy("area").agg(F.transform(listed, lambda s: s["__id"]).alias("questoes"))

@@ -43,7 +43,10 @@ def term_predicate(column: Column, terms: tuple[str, ...], escape: bool = True)
             return F.contains(F.lower(text), F.lower(F.lit(term)))
         return text.ilike(f"%{term}%")
 
-    return reduce(lambda a, b: a | b, [F.exists(column, lambda p, t=t: like(p, t)) for t in terms])
+    def held(term: str) -> Column:
+        return F.exists(column, lambda p: like(p, term))
+
+    return reduce(lambda a, b: a | b, map(held, terms))
 
 
 def predicate(spec: SearchSpec) -> Column:
