@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certame import schemas
@@ -20,6 +20,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(found)
 
 
+def _row(rows: DataFrame, condition: Column) -> Column:
+    """condition, with a mention of a data column: Spark refuses queries that need the corrupt record alone, such as a count."""
+    return condition & (F.length(F.concat_ws("", F.col(rows.columns[0]).cast("string"), F.lit("x"))) > 0)
+
+
 def read_json(spark: SparkSession, path: str, schema: str = schemas.QUESTIONS) -> DataFrame:
     """Arrays of rows from a file, folder or pattern; no rows if nothing is there, bad files and rows are left out.
 
@@ -30,7 +35,7 @@ def read_json(spark: SparkSession, path: str, schema: str = schemas.QUESTIONS) -
     wide = f"{schema}, {CORRUPT} string"
     rows = spark.read.schema(wide).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
     rows = rows.withColumn("arquivo", F.input_file_name())
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT).withColumn("ano_arquivo", year_of_file(F.col("arquivo")))
+    return rows.where(_row(rows, F.col(CORRUPT).isNull())).drop(CORRUPT).withColumn("ano_arquivo", year_of_file(F.col("arquivo")))
 
 
 def read_json_strict(spark: SparkSession, path: str, schema: str = schemas.QUESTIONS) -> DataFrame:
@@ -44,7 +49,7 @@ def bad_files(spark: SparkSession, path: str) -> DataFrame:
     """Names of the files of which a row can't be read."""
     schema = f"{schemas.QUESTIONS}, {CORRUPT} string"
     rows = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return rows.withColumn("arquivo", F.input_file_name()).where(F.col(CORRUPT).isNotNull()).select("arquivo").distinct()
+    return rows.withColumn("arquivo", F.input_file_name()).where(_row(rows, F.col(CORRUPT).isNotNull())).select("arquivo").distinct()
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
