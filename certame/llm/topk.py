@@ -14,13 +14,19 @@ TOP = 20
 CANDIDATE_BLOCK, QUERY_BLOCK = 16384, 512
 #: Entries that a round reads from each list.
 DEPTH = 64
+#: Partitions that pairs of blocks are dealt to, at most; more pairs share them.
+MOST_TASKS = 20_000
 
 
 class SortedLists:
     """For each dimension the rows of a matrix in descending order of their value there."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
-        self.vectors, self.ids = vectors, ids
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray):
+        # whole numbers whose products stay below 2**24 are exact in 32 bits
+        both = [np.abs(x).max(initial=0.0) for x in (vectors, queries)]
+        small = all(np.array_equal(x, np.rint(x)) for x in (vectors, queries)) and both[0] * max(both) * vectors.shape[1] < 1 << 24
+        self.ids = ids
+        self.vectors = vectors = vectors.astype(np.float32) if small else vectors
         self.order = np.argsort(-vectors, axis=0, kind="stable").T.astype(np.int32).copy()
         self.values = np.take_along_axis(vectors.T, self.order, axis=1)
 
@@ -29,7 +35,7 @@ class SortedLists:
 
         Rounds read the lists from the end that the query's sign favours, deeper by a doubling step each,
         and score every row that they meet. What no list has shown yet scores at most the
-        sum of the query's weights times the values read last; the search ends when this bound is below the
+        sum of the query's weights times the values read last; the search ends when every row is met, or this bound is below the
         top-th score (equal scores could still win by their id).
         """
         n, use = len(self.ids), np.flatnonzero(query)
@@ -37,23 +43,25 @@ class SortedLists:
             rows = np.argsort(self.ids, kind="stable")
             rows = rows[self.ids[rows] != own][:top]
             return rows, np.zeros(len(rows))
-        weight = query[use]
-        order = np.where((weight > 0)[:, None], self.order[use], self.order[use, ::-1])
-        values = np.where((weight > 0)[:, None], self.values[use], self.values[use, ::-1])
+        up, down = use[query[use] > 0], use[query[use] < 0]
         seen = np.zeros(n, dtype=bool)
-        rows, scores, at = np.zeros(0, np.int64), np.zeros(0), 0
-        while at < n:
-            to = min(n, at + depth)
-            fresh = np.unique(order[:, at:to])
-            fresh = fresh[~seen[fresh]]
-            seen[fresh] = True
-            fresh = fresh[self.ids[fresh] != own]
-            rows, scores = np.append(rows, fresh), np.append(scores, self.vectors[fresh] @ query)
+        rows, scores, at, met = np.zeros(0, np.int64), np.zeros(0), 0, 0
+        query = query.astype(self.vectors.dtype)
+        while at < n and met < n:
+            to, before = min(n, at + depth), seen.copy()
+            seen[self.order[up, at:to]] = True
+            seen[self.order[down, n - to : n - at]] = True
+            fresh = np.flatnonzero(seen & ~before)
+            met += len(fresh)
+            # of most rows the scores come without a copy of their vectors
+            found = self.vectors[fresh] @ query if 4 * len(fresh) < n else (self.vectors @ query)[fresh]
+            other = self.ids[fresh] != own
+            rows, scores = np.append(rows, fresh[other]), np.append(scores, found[other])
             if len(rows) > top:
                 kth = np.partition(scores, len(scores) - top)[len(scores) - top]
                 keep = scores >= kth
                 rows, scores = rows[keep], scores[keep]
-                if weight @ values[:, to - 1] < kth:
+                if query[up] @ self.values[up, to - 1] + query[down] @ self.values[down, n - to] < kth:
                     break
             at, depth = to, 2 * depth
         best = np.lexsort((self.ids[rows], -scores))[:top]
@@ -84,15 +92,20 @@ def exact_top(vectors: DataFrame, queries: DataFrame, top: int = TOP, candidate_
     left = vectors.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
     right = queries.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
 
+    # a task for each pair of blocks, as long as they are not very many; both sides are dealt alike
+    tasks = min(candidates * asked, MOST_TASKS)
+    left, right = left.repartition(tasks, "cb", "qb"), right.repartition(tasks, "cb", "qb")
+
     def run(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own) and len(ask):
             width = own["v"].map(len).mode().iloc[0]
             own, ask = own[own["v"].map(len) == width], ask[ask["v"].map(len) == width]
             own = own.sort_values("vec_id", kind="stable")
-            lists = SortedLists(np.stack(own["v"].to_numpy()) if width else np.zeros((len(own), 0)), own["vec_id"].to_numpy())
+            asking = np.stack(ask["v"].to_numpy()) if len(ask) and width else np.zeros((0, width))
+            lists = SortedLists(np.stack(own["v"].to_numpy()) if width else np.zeros((len(own), 0)), own["vec_id"].to_numpy(), asking)
             for q, v in zip(ask["vec_id"].to_numpy(), ask["v"], strict=True):
-                rows, scores = lists.search(np.asarray(v), q, top)
+                rows, scores = lists.search(np.asarray(v, dtype=np.float64), q, top)
                 out.append(pd.DataFrame({"query_id": q, "vec_id": lists.ids[rows], "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
