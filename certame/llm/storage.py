@@ -10,6 +10,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, SparkSession] = {}
+#: Rows of an Arrow batch at most, where the session has Spark's own default: texts are long, and a batch stands in the JVM and in Python at once.
+BATCH_ROWS = 1000
+RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows, unless someone has set them."""
+    if spark.conf.get(RECORDS) == "10000":
+        spark.conf.set(RECORDS, BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +53,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     optimiser exact sizes for its choice of joins. The files go when the driver exits.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/certame/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _made[path] = spark
@@ -57,6 +67,7 @@ def drop_shuffles(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
