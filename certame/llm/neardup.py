@@ -65,7 +65,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     alone holds take their places first, so passages common to many documents list nobody
     unless they make up most of the sketch. Of the listed ones the full sets tell how much nobody else
     holds; who shares too little for a partner of any size drops out. A list's members are compared with its most
-    connected one (a star, not all pairs), found links merge, and what then still
+    connected one (a star, not all pairs), first in each member's largest list, then in all; found links merge, and what then still
     stands across components in a list is compared in full. The sketches' estimate filters,
     the full sets decide.
     """
@@ -98,25 +98,32 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     listed = listed.join(alone, "rep", "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own").where(f"common * 100 >= {percent} * n_shingles")
     least = listed.groupBy("value").agg(F.min("n_shingles").alias("least"))
     listed = staged(listed.join(least, "value").where(f"common * {100 + percent} >= {percent} * (n_shingles + greatest(least, n_shingles * {percent} / 100.0))").drop("least"), "lists")
+    # a passage puts the same members under each of its values: one of these lists is enough
+    marks = listed.groupBy("value").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("m1"), F.expr("bit_xor(xxhash64(rep, 1))").alias("m2")).where("n > 1")
+    listed = staged(listed.join(marks.groupBy("n", "m1", "m2").agg(F.min("value").alias("value")).select("value", F.col("n").alias("members")), "value"), "lists")
     drop_shuffles(spark)
 
     sketch_of = reps.select(F.col("rep"), F.col("sketch"))
     links = None
-    for step in range(star_rounds + 1):
+    for step in range(-1, star_rounds + 1):
         if links is None:
             parted = listed.withColumn("component", F.col("rep"))
         else:
             labels = components(links)
             parted = listed.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        if step < 0:  # the largest list of each member alone: a large group becomes one star, and the next steps pass it over
+            parted = parted.groupBy("rep").agg(F.max_by(F.struct(*parted.columns), F.struct("members", "value")).alias("l")).select("l.*")
         # lists within one component have nothing left to find
         open_lists = parted.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
         parted = staged(parted.join(open_lists, "value"), "parted")
         if parted.isEmpty():
+            if step < 0:
+                continue
             break
         fits = f"least(x_n, y_n) * 100 >= {percent} * greatest(x_n, y_n) and least(x_s, y_s) * {100 + percent} >= {percent} * (x_n + y_n)"
         x = parted.select("value", *[F.col(c).alias(f"x{k}") for c, k in SIDE])
         one = F.struct(*[F.col(c).alias(f"y{k}") for c, k in SIDE])
-        if step == 0:
+        if step <= 0:
             centre = parted.groupBy("value").agg(F.max_by(one, F.struct("central", -F.col("rep"))).alias("c")).select("value", "c.*")
         elif step < star_rounds:
             # another centre: the most connected one of the smallest component
