@@ -69,6 +69,21 @@ def test_near_duplicates_at_the_threshold(spark):
     assert got == brute.near_duplicates(rows)
 
 
+def test_near_duplicates_beyond_a_groups_centre(spark):
+    """One group whose members lie around the threshold from its centre, some linked by edits that they share, some by what both leave out."""
+    rng = random.Random(8)
+    base, odd = sentence(rng, 120).split(), sentence(rng, 3).split()
+    rows = []
+    for k in range(160):
+        w = base[: rng.choice((120, 120, 100, 86))]
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w) // 8) * 8] = rng.choice(odd)
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute.near_duplicates(rows)
+    assert len({c for _, c, _ in got.values()}) > 1
+
+
 def test_near_duplicates_of_repeated_rows_and_none(spark):
     rows = [(1, "one two three four five six"), (1, "one two three four five six"), (2, "One two three four five six"), (None, "one two three four five six")]
     got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows)).collect())
