@@ -18,8 +18,8 @@ RANK, OVERSAMPLE, POWER_STEPS = 128, 16, 2
 #: Words hash to so many document frequencies.
 DF_BUCKETS = 1 << 18
 SLAB = 1 << 13
-#: Words in more than this share of the documents have no weight.
-STOP_SHARE = 0.2
+#: Least weight of a benchmark's word, however many documents hold it, and most weight of any other word.
+LEAST_WEIGHT = 1.0
 #: Passages: PASSAGE_BLOCKS blocks of BLOCK_WORDS words, a passage from each block.
 BLOCK_WORDS, PASSAGE_BLOCKS = 8, 4
 COSINE = 0.3
@@ -83,10 +83,8 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     return summed(docs.select("doc_id", "text").mapInArrow(run, "slab int, part binary"), "df", DF_BUCKETS + 1)
 
 
-def weights_of(frequencies: np.ndarray, stop_share: float = STOP_SHARE) -> np.ndarray:
-    n = max(frequencies[-1], 1.0)
-    idf = np.log((n + 1) / (frequencies[:-1] + 1))
-    return np.where(frequencies[:-1] > max(stop_share * n, 10), 0.0, idf)
+def weights_of(frequencies: np.ndarray) -> np.ndarray:
+    return np.log((max(frequencies[-1], 1.0) + 1) / (frequencies[:-1] + 1))
 
 
 def randomised_svd(rows: DataFrame, terms: int, rank: int = RANK, steps: int = POWER_STEPS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -152,6 +150,11 @@ def build_index(spark: SparkSession, items: list[tuple[int, str, str | None]], w
         return None
     words = [_hash_text(t) for _, t, _ in items]
     vocabulary = np.unique(np.concatenate(words))
+    # an item that is in most documents keeps a weight, and no rare word beside it outweighs it for being elsewhere in no item
+    own = np.unique(_bucket(vocabulary))
+    floored = np.minimum(weights, LEAST_WEIGHT)
+    floored[own] = np.maximum(weights[own], LEAST_WEIGHT)
+    weights = floored
     weight = weights[_bucket(vocabulary)]
     rows = []
     for w in words:
@@ -193,7 +196,7 @@ def _search(words: np.ndarray, rows: np.ndarray, index: Index, cosine: float) ->
     norm = np.bincount(block, weights=weight * weight, minlength=first_block[-1])
     at = np.searchsorted(index.vocabulary, words)
     at[at == len(index.vocabulary)] = 0
-    hit = np.flatnonzero((index.vocabulary[at] == words) & (weight > 0))
+    hit = np.flatnonzero(index.vocabulary[at] == words)
     if not len(hit):
         return []
     row_of_block = np.repeat(np.arange(len(lengths)), blocks)
@@ -252,7 +255,7 @@ def _judge(docs: DataFrame, index: Index, cosine: float, verbatim: float, paraph
 def contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, verbatim: float = VERBATIM, paraphrase: float = PARAPHRASE, answer: float = ANSWER) -> DataFrame:
     """Every row of docs (doc_id, text) with the benchmark item (item_id, text, maybe answer) that it leaks, if any.
 
-    Word weights come from the document frequencies of all docs. The items' TF-IDF vectors are
+    Word weights come from the document frequencies of all docs; those of the items' words never fall below LEAST_WEIGHT. The items' TF-IDF vectors are
     reduced by a randomised SVD; overlapping passages of the documents are projected, and those with a cosine of at
     least `cosine` to an item are candidates. Around the best passage for each item the longest common
     subsequence of words decides: `verbatim` of the item's words, or `paraphrase` of them and

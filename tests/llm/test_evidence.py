@@ -120,6 +120,20 @@ def test_paraphrases_need_the_answer(spark):
     assert decontamination.contamination(docs.limit(0), benchmark).collect() == []
 
 
+def test_an_item_in_a_third_of_all_rows_is_found(spark):
+    """And one in every row; the leaks stand among words that are rare."""
+    rng = random.Random(12)
+    noise = lambda n: " ".join(f"w{rng.randint(0, 4000)}" for _ in range(n))
+    often, always = (" ".join(f"{c}{k}" for k in range(18)) for c in "ab")
+    benchmark = spark.createDataFrame([(1, often), (2, noise(30))], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"{noise(60)} {often if k % 3 == 0 else noise(18)} {noise(60)}") for k in range(90)], "doc_id long, text string")
+    got = {r.doc_id for r in decontamination.contamination(docs, benchmark).collect() if r.contaminated and r.item_id == 1}
+    assert got == set(range(0, 90, 3))
+    docs = spark.createDataFrame([(k, f"{noise(60)} {always} {noise(60)}") for k in range(60)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, always), (2, noise(30))], "item_id long, text string")
+    assert all(r.contaminated and r.item_id == 1 for r in decontamination.contamination(docs, benchmark).collect())
+
+
 def test_blocks_of_items_agree_with_one(spark, monkeypatch, sf_dir):
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     one = {r.doc_id: r.contaminated for r in decontamination.contamination(docs, bench).collect()}
