@@ -18,6 +18,8 @@ RANK, OVERSAMPLE, POWER_STEPS = 128, 16, 2
 #: Words hash to so many document frequencies.
 DF_BUCKETS = 1 << 18
 SLAB = 1 << 13
+#: Passages that are compared with items at a time.
+COMPARED = 1 << 16
 #: Least weight of a benchmark's word, however many documents hold it, and most weight of any other word.
 LEAST_WEIGHT = 1.0
 #: Passages: PASSAGE_BLOCKS blocks of BLOCK_WORDS words, a passage from each block.
@@ -130,6 +132,7 @@ class Index:
     latent: np.ndarray  # of each term, times its weight
     targets: np.ndarray  # unit vectors of the items
     weights: np.ndarray
+    masks: np.ndarray  # for each term and item the item's places that hold it, as bits; the last row, for other words, is empty
 
 
 def _answer(text: str) -> str:
@@ -166,7 +169,11 @@ def build_index(spark: SparkSession, items: list[tuple[int, str, str | None]], w
     targets = np.stack([np.array(v) @ basis[t] for t, v in rows])
     targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)
     answers = [_hash_text(a or _answer(t)) for _, t, a in items]
-    return Index([i for i, _, _ in items], words, answers, vocabulary, (basis * weight[:, None]).astype(np.float32), targets.astype(np.float32), weights.astype(np.float32))
+    masks = np.zeros((len(vocabulary) + 1, len(items)), dtype=np.uint64)
+    for k, w in enumerate(words):
+        if len(w) <= 64:
+            np.bitwise_or.at(masks, (np.searchsorted(vocabulary, w), k), np.uint64(1) << np.arange(len(w), dtype=np.uint64))
+    return Index([i for i, _, _ in items], words, answers, vocabulary, (basis * weight[:, None]).astype(np.float32), targets.astype(np.float32), weights.astype(np.float32), masks)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -183,27 +190,57 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - state.bit_count()
 
 
-def _search(words: np.ndarray, rows: np.ndarray, index: Index, cosine: float) -> list[tuple[int, int, int, float]]:
-    """(row, item, first word of the passage, cosine): for each row and item the passage of the highest cosine, if it reaches `cosine`."""
+def common_subsequences(words: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, index: Index) -> np.ndarray:
+    """Length of the longest common subsequence of words[lo:hi] and the item, for each of many; `at` is the place of each word in the vocabulary.
+
+    Items of up to 64 words are compared all at once, a bit for each word of an item and a step for each word of a stretch.
+    """
+    out = np.zeros(len(item), dtype=np.int64)
+    size = np.array([len(w) for w in index.words])[item]
+    for k in np.flatnonzero(size > 64):
+        near = words[lo[k] : hi[k]]
+        out[k] = common_subsequence(index.words[item[k]], near[np.isin(near, index.words[item[k]])])
+    short = np.flatnonzero(size <= 64)
+    short = short[np.argsort(lo[short] - hi[short], kind="stable")]
+    for first in range(0, len(short), COMPARED):
+        own = short[first : first + COMPARED]
+        begin, length, which = lo[own], hi[own] - lo[own], item[own]
+        full = np.uint64(2**64 - 1) >> (np.uint64(64) - size[own].astype(np.uint64))
+        state = full.copy()
+        active = np.searchsorted(-length, -np.arange(length[0]), side="left")
+        for t, n in enumerate(active.tolist()):
+            u = state[:n] & index.masks[at[begin[:n] + t], which[:n]]
+            state[:n] = ((state[:n] + u) | (state[:n] - u)) & full[:n]
+        out[own] = size[own] - np.bitwise_count(state)
+    return out
+
+
+def _places(words: np.ndarray, index: Index) -> np.ndarray:
+    """The place of each word in the vocabulary; the place after the last for all others."""
+    at = np.minimum(np.searchsorted(index.vocabulary, words), len(index.vocabulary) - 1)
+    return np.where(index.vocabulary[at] == words, at, len(index.vocabulary))
+
+
+def _search(words: np.ndarray, places: np.ndarray, rows: np.ndarray, index: Index, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, item, first word and cosine of every passage whose cosine to an item is `cosine` at least, by row."""
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
     lengths = np.diff(rows)
     blocks = -(-lengths // BLOCK_WORDS)
     first_block = np.append(0, np.cumsum(blocks))
     if not first_block[-1]:
-        return []
+        return none
     row_of_word = np.repeat(np.arange(len(lengths)), lengths)
     block = first_block[row_of_word] + (np.arange(len(words)) - rows[row_of_word]) // BLOCK_WORDS
     weight = index.weights[_bucket(words)]
     norm = np.bincount(block, weights=weight * weight, minlength=first_block[-1])
-    at = np.searchsorted(index.vocabulary, words)
-    at[at == len(index.vocabulary)] = 0
-    hit = np.flatnonzero(index.vocabulary[at] == words)
+    hit = np.flatnonzero(places < len(index.vocabulary))
     if not len(hit):
-        return []
+        return none
     row_of_block = np.repeat(np.arange(len(lengths)), blocks)
     # only blocks with words of the benchmark have a place in the latent space
     own, cuts = np.unique(block[hit], return_index=True)
     latent = np.zeros((first_block[-1], index.latent.shape[1]), dtype=np.float32)
-    latent[own] = np.add.reduceat(index.latent[at[hit]], cuts, axis=0)
+    latent[own] = np.add.reduceat(index.latent[places[hit]], cuts, axis=0)
     passage, size = latent.copy(), norm.copy()
     for k in range(1, PASSAGE_BLOCKS):
         if k < len(latent):
@@ -215,10 +252,8 @@ def _search(words: np.ndarray, rows: np.ndarray, index: Index, cosine: float) ->
     likely = np.flatnonzero(np.linalg.norm(passage, axis=1) >= np.maximum(cosine * size, 1e-9))
     score = passage[likely] @ index.targets.T / size[likely, None]
     p, item = np.nonzero(score >= cosine)
-    row, value = row_of_block[likely[p]], score[p, item]
-    order = np.lexsort((likely[p], -value, item, row))
-    best = order[np.append(True, (np.diff(row[order]) != 0) | (np.diff(item[order]) != 0))] if len(order) else order
-    return [(int(row[k]), int(item[k]), int(rows[row[k]] + (likely[p[k]] - first_block[row[k]]) * BLOCK_WORDS), float(value[k])) for k in best]
+    row = row_of_block[likely[p]]
+    return row, item, rows[row] + (likely[p] - first_block[row]) * BLOCK_WORDS, score[p, item].astype(np.float64)
 
 
 SCHEMA = "doc_id long, contaminated boolean, item_id long, cosine double, lcs double, answer double"
@@ -229,17 +264,22 @@ def _judge(docs: DataFrame, index: Index, cosine: float, verbatim: float, paraph
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
+        sizes = np.array([len(w) for w in index.words])
         for batch, data, at in text_slices(batches):
             words, rows = _words(data, at)
+            places = _places(words, index)
+            row, item, begin, value = _search(words, places, rows, index, cosine)
+            size = sizes[item]
+            lo, hi = np.maximum(rows[row], begin - size), np.minimum(rows[row + 1], begin + BLOCK_WORDS * PASSAGE_BLOCKS + size)
+            lcs = common_subsequences(words, places, lo, hi, item, index) / size
             best: dict[int, tuple] = {}
-            for row, item, begin, value in _search(words, rows, index, cosine):
-                own = index.words[item]
-                lo, hi = max(rows[row], begin - len(own)), min(rows[row + 1], begin + BLOCK_WORDS * PASSAGE_BLOCKS + len(own))
-                near = words[lo:hi]
-                lcs = common_subsequence(own, near) / len(own)
-                told = common_subsequence(index.answers[item], near) / max(len(index.answers[item]), 1)
-                leak = lcs >= verbatim or (lcs >= paraphrase and told >= answer)
-                best[row] = max(best.get(row, ()), (leak, lcs, value, told, -index.items[item]))
+            order = np.lexsort((-value, -lcs, row))
+            for k in order.tolist():
+                if (have := best.get(r := int(row[k]))) and (lcs[k], value[k]) < have[1:3] and (have[0] or lcs[k] < paraphrase):
+                    continue
+                told = common_subsequence(index.answers[item[k]], words[lo[k] : hi[k]]) / max(len(index.answers[item[k]]), 1)
+                leak = bool(lcs[k] >= verbatim or (lcs[k] >= paraphrase and told >= answer))
+                best[r] = max(best.get(r, ()), (leak, float(lcs[k]), float(value[k]), told, -index.items[item[k]]))
             out = [best.get(r) for r in range(batch.num_rows)]
             yield pa.record_batch(
                 [
@@ -257,8 +297,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
 
     Word weights come from the document frequencies of all docs; those of the items' words never fall below LEAST_WEIGHT. The items' TF-IDF vectors are
     reduced by a randomised SVD; overlapping passages of the documents are projected, and those with a cosine of at
-    least `cosine` to an item are candidates. Around the best passage for each item the longest common
-    subsequence of words decides: `verbatim` of the item's words, or `paraphrase` of them and
+    least `cosine` to an item are candidates. Around every such passage the longest common
+    subsequence of words decides, and the strongest counts: `verbatim` of the item's words, or `paraphrase` of them and
     `answer` of the answer's (the column answer, else the item's last sentence). Returns doc_id, contaminated,
     and of the strongest candidate item_id, cosine, lcs and answer (null if there is none; ties to the
     smaller item). Null or empty texts leak nothing; null or empty items are never leaked; repeated rows give a row each.

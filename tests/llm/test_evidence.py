@@ -134,6 +134,18 @@ def test_an_item_in_a_third_of_all_rows_is_found(spark):
     assert all(r.contaminated and r.item_id == 1 for r in decontamination.contamination(docs, benchmark).collect())
 
 
+def test_a_denser_stretch_does_not_hide_a_leak(spark):
+    """The item's words in another order, beside a leak that is parted by other words."""
+    rng = random.Random(13)
+    noise = lambda n: [f"w{rng.randint(0, 4000)}" for _ in range(n)]
+    item = [f"k{n}" for n in range(32)]
+    parted = [x for k, w in enumerate(item) for x in ((w, *noise(1)) if k % 2 else (w,))]
+    rows = [(1, [*item[::-1], *noise(200), *parted]), (2, [*item[::-1], *noise(248)])] + [(10 + k, noise(150)) for k in range(40)]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(noise(30)))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contamination(docs, benchmark).collect() if r.contaminated} == {(1, 1)}
+
+
 def test_blocks_of_items_agree_with_one(spark, monkeypatch, sf_dir):
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     one = {r.doc_id: r.contaminated for r in decontamination.contamination(docs, bench).collect()}
@@ -153,6 +165,17 @@ def test_common_subsequence():
         assert decontamination.common_subsequence(np.array(a, np.int64), np.array(b, np.int64)) == best[-1][-1]
 
 
+def test_common_subsequences_at_once(spark):
+    rng = random.Random(17)
+    items = [(k, " ".join(f"v{rng.randint(0, 30)}" for _ in range(n)), None) for k, n in enumerate((1, 5, 40, 63, 64, 65, 90))]
+    index = decontamination.build_index(spark, items, np.ones(decontamination.DF_BUCKETS))
+    words = decontamination._hash_text(" ".join(f"v{rng.randint(0, 40)}" for _ in range(500)))
+    found = [(lo, min(500, lo + rng.randint(1, 200)), rng.randrange(len(items))) for lo in (rng.randrange(490) for _ in range(200))]
+    lo, hi, item = (np.array(x) for x in zip(*found, strict=True))
+    got = decontamination.common_subsequences(words, decontamination._places(words, index), lo, hi, item, index)
+    assert got.tolist() == [decontamination.common_subsequence(index.words[k], words[a:b]) for a, b, k in found]
+
+
 def test_randomised_svd_finds_the_space(spark):
     rng = np.random.default_rng(0)
     a = rng.standard_normal((40, 5)) @ rng.standard_normal((5, 30))
