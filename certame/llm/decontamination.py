@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from certame.llm.kernels import LOWER, prefix_hash, span_hash, text_slices, word_spans
 
-#: Items of the benchmark that share a latent space and a pass over the documents.
+#: Items of the benchmark that share a latent space and a pass over the documents; pieces of long items count each.
 BLOCK_ITEMS = 256
-RANK, OVERSAMPLE, POWER_STEPS = 128, 16, 2
+#: Items of more than LONG words are sought by pieces of about PIECE words.
+LONG, PIECE = 64, 32
+OVERSAMPLE, POWER_STEPS = 16, 2
 #: Words hash to so many document frequencies.
 DF_BUCKETS = 1 << 18
 SLAB = 1 << 13
@@ -89,7 +91,7 @@ def weights_of(frequencies: np.ndarray) -> np.ndarray:
     return np.log((max(frequencies[-1], 1.0) + 1) / (frequencies[:-1] + 1))
 
 
-def randomised_svd(rows: DataFrame, terms: int, rank: int = RANK, steps: int = POWER_STEPS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def randomised_svd(rows: DataFrame, terms: int, rank: int, steps: int = POWER_STEPS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Right singular vectors (terms x rank) and singular values of the sparse matrix in rows (terms array<int>, weights array<double>).
 
     A seeded Gaussian range finder with power steps: a pass over the rows adds up A'(AQ) in
@@ -130,7 +132,8 @@ class Index:
     answers: list[np.ndarray]
     vocabulary: np.ndarray
     latent: np.ndarray  # of each term, times its weight
-    targets: np.ndarray  # unit vectors of the items
+    targets: np.ndarray  # unit vectors of the items' pieces
+    owners: np.ndarray  # of each piece, the item
     weights: np.ndarray
     masks: np.ndarray  # for each term and item the item's places that hold it, as bits; the last row, for other words, is empty
 
@@ -147,7 +150,25 @@ def _hash_text(text: str) -> np.ndarray:
     return _words(raw, np.array([0, len(raw)]))[0]
 
 
-def build_index(spark: SparkSession, items: list[tuple[int, str, str | None]], weights: np.ndarray, rank: int = RANK) -> Index | None:
+def _pieces(n: int) -> int:
+    return 1 if n <= LONG else -(-n // PIECE)
+
+
+def blocks_of(items: list[tuple[int, str, str | None]], most: int) -> list[list[tuple[int, str, str | None]]]:
+    """Cuts items into runs of `most` pieces at most; an item of more is a run of its own."""
+    out, room = [], 0
+    for x in items:
+        n = _pieces(len(_hash_text(x[1])))
+        if n > room or not out:
+            out.append([])
+            room = most
+        out[-1].append(x)
+        room -= n
+    return out
+
+
+def build_index(spark: SparkSession, items: list[tuple[int, str, str | None]], weights: np.ndarray) -> Index | None:
+    """The latent space has a dimension for each piece of an item, so that none is lost in it."""
     items = [(i, t, a) for i, t, a in items if t and len(_hash_text(t))]
     if not items:
         return None
@@ -160,12 +181,13 @@ def build_index(spark: SparkSession, items: list[tuple[int, str, str | None]], w
     weights = floored
     weight = weights[_bucket(vocabulary)]
     rows = []
-    for w in words:
+    pieces = [(k, x) for k, w in enumerate(words) for x in np.array_split(w, _pieces(len(w)))]
+    for _, w in pieces:
         term, n = np.unique(np.searchsorted(vocabulary, w), return_counts=True)
         v = n * weight[term]
         rows.append((term.tolist(), (v / max(np.linalg.norm(v), 1e-12)).tolist()))
     matrix = spark.createDataFrame(rows, "terms array<int>, weights array<double>")
-    basis, _ = randomised_svd(matrix, len(vocabulary), min(rank, len(items)))
+    basis, _ = randomised_svd(matrix, len(vocabulary), min(len(rows), len(vocabulary)))
     targets = np.stack([np.array(v) @ basis[t] for t, v in rows])
     targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)
     answers = [_hash_text(a or _answer(t)) for _, t, a in items]
@@ -173,7 +195,7 @@ def build_index(spark: SparkSession, items: list[tuple[int, str, str | None]], w
     for k, w in enumerate(words):
         if len(w) <= 64:
             np.bitwise_or.at(masks, (np.searchsorted(vocabulary, w), k), np.uint64(1) << np.arange(len(w), dtype=np.uint64))
-    return Index([i for i, _, _ in items], words, answers, vocabulary, (basis * weight[:, None]).astype(np.float32), targets.astype(np.float32), weights.astype(np.float32), masks)
+    return Index([i for i, _, _ in items], words, answers, vocabulary, (basis * weight[:, None]).astype(np.float32), targets.astype(np.float32), np.array([k for k, _ in pieces]), weights.astype(np.float32), masks)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -251,9 +273,14 @@ def _search(words: np.ndarray, places: np.ndarray, rows: np.ndarray, index: Inde
     # no cosine is above the share of a passage that lies in the latent space
     likely = np.flatnonzero(np.linalg.norm(passage, axis=1) >= np.maximum(cosine * size, 1e-9))
     score = passage[likely] @ index.targets.T / size[likely, None]
-    p, item = np.nonzero(score >= cosine)
+    p, piece = np.nonzero(score >= cosine)
+    item, value = index.owners[piece], score[p, piece].astype(np.float64)
+    if len(index.owners) > len(index.items):  # a passage and an item once, by the piece of the highest cosine
+        order = np.lexsort((-value, item, p))
+        order = order[np.append(True, (np.diff(p[order]) != 0) | (np.diff(item[order]) != 0))] if len(order) else order
+        p, item, value = p[order], item[order], value[order]
     row = row_of_block[likely[p]]
-    return row, item, rows[row] + (likely[p] - first_block[row]) * BLOCK_WORDS, score[p, item].astype(np.float64)
+    return row, item, rows[row] + (likely[p] - first_block[row]) * BLOCK_WORDS, value
 
 
 SCHEMA = "doc_id long, contaminated boolean, item_id long, cosine double, lcs double, answer double"
@@ -302,7 +329,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     `answer` of the answer's (the column answer, else the item's last sentence). Returns doc_id, contaminated,
     and of the strongest candidate item_id, cosine, lcs and answer (null if there is none; ties to the
     smaller item). Null or empty texts leak nothing; null or empty items are never leaked; repeated rows give a row each.
-    Items are taken in blocks of BLOCK_ITEMS; with more than one block, rows are merged by doc_id.
+    Long items are sought by pieces. Items are taken in blocks of BLOCK_ITEMS pieces; with more than one block, rows are merged by doc_id.
     """
     spark = docs.sparkSession
     weights = weights_of(document_frequencies(docs))
@@ -313,9 +340,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     found = []
     for k in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
-        index = build_index(spark, sorted(map(tuple, own.collect()), key=lambda x: (x[0], x[1])), weights)
-        if index:
-            found.append(_judge(docs, index, cosine, verbatim, paraphrase, answer))
+        for block in blocks_of(sorted(map(tuple, own.collect()), key=lambda x: (x[0], x[1])), BLOCK_ITEMS):
+            index = build_index(spark, block, weights)
+            if index:
+                found.append(_judge(docs, index, cosine, verbatim, paraphrase, answer))
     if not found:
         return docs.select(F.col("doc_id").cast("long"), F.lit(False).alias("contaminated"), *[F.lit(None).cast(t).alias(c) for c, t in (("item_id", "long"), ("cosine", "double"), ("lcs", "double"), ("answer", "double"))])
     if len(found) == 1:

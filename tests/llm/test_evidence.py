@@ -146,6 +146,38 @@ def test_a_denser_stretch_does_not_hide_a_leak(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.contamination(docs, benchmark).collect() if r.contaminated} == {(1, 1)}
 
 
+def test_latent_space_holds_every_item(spark):
+    """With more items than the space once had dimensions, and with pieces of long ones, each piece lies wholly in it."""
+    rng = random.Random(14)
+    noise = lambda n: " ".join(f"w{rng.randint(0, 1500)}" for _ in range(n))
+    items = [(k, noise(rng.randint(15, 59)), None) for k in range(200)] + [(200 + k, noise(100 + 100 * k), None) for k in range(2)]
+    index = decontamination.build_index(spark, items, np.ones(decontamination.DF_BUCKETS))
+    for k in range(200):
+        words = index.words[k]
+        v = index.latent[np.searchsorted(index.vocabulary, words)].sum(axis=0)
+        n = np.unique(words, return_counts=True)[1]
+        assert np.linalg.norm(v) == pytest.approx(np.linalg.norm(n), rel=1e-3)
+    assert np.bincount(index.owners).tolist()[198:] == [1, 1, 4, 7]
+
+
+def test_long_items_are_found(spark):
+    """Paraphrases of items of 100 to 1,000 words, and every item of blocks that are cut by their pieces."""
+    rng = random.Random(15)
+    noise = lambda n: [f"w{rng.randint(0, 3000)}" for _ in range(n)]
+    items = [(k, noise(n)) for k, n in enumerate((100, 300, 600, 1000))]
+    told = [w if k % 10 < 7 or k > len(own) - 10 else f"x{rng.randint(0, 3000)}" for _, own in items for k, w in enumerate(own)]
+    rows, at = [], 0
+    for i, own in items:
+        rows.append((i, " ".join([*noise(80), *told[at : at + len(own)], *noise(80)])))
+        at += len(own)
+    rows += [(100 + k, " ".join(noise(200))) for k in range(40)]
+    benchmark = spark.createDataFrame([(i, " ".join(own)) for i, own in items], "item_id long, text string")
+    got = decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), benchmark)
+    assert {(r.doc_id, r.item_id) for r in got.collect() if r.contaminated} == {(i, i) for i, _ in items}
+    blocks = decontamination.blocks_of([(i, " ".join(own), None) for i, own in items], 24)
+    assert [[i for i, _, _ in b] for b in blocks] == [[0, 1], [2], [3]]
+
+
 def test_blocks_of_items_agree_with_one(spark, monkeypatch, sf_dir):
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     one = {r.doc_id: r.contaminated for r in decontamination.contamination(docs, bench).collect()}
