@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -115,8 +117,62 @@ def blocks_of(text: str, gap: int = GAP) -> list[tuple[int, int]]:
 _cue = re.compile(CUE)
 
 
+@lru_cache(maxsize=1)
+def _template_words() -> list[tuple[list[str], Counter]]:
+    return [(w, Counter(w)) for _, text, _ in _compressors()[1] for w in [words_of(text)]]
+
+
+def notices(block: str) -> list[tuple]:
+    """Confirmed notices in a block that don't overlap, whatever stands beside them: (start, end, license, size_plain, size_template, saving, missing, extra).
+
+    Around every cue a window of each template's size is laid where it fits best, and ranked by what the template saves of that window.
+    """
+    plain, each = _compressors()
+    low = block.lower()
+    spans = [m.span() for m in re.finditer(r"[a-z0-9]+(?:\.[0-9]+)*", low)]
+    if len(low) != len(block) or not spans:  # lower-casing moved the places of words: keep the block's own
+        spans = [m.span() for m in re.finditer(r"[A-Za-z0-9]+(?:\.[0-9]+)*", block)]
+    words = [block[a:b].lower() for a, b in spans]
+    starts = [a for a, _ in spans]
+    cues = sorted({max(bisect_right(starts, m.start()) - 1, 0) for m in _cue.finditer(block)}) if words else []
+    found = set()
+    for k, (own, counts) in enumerate(_template_words()):
+        slack, done = int((1 - LEAST_WORDS) * len(own)) + 1, -1
+        for cue in cues:
+            # windows of neighbouring cues overlap; a cue within the last notice is settled
+            if cue < done:
+                continue
+            lo, hi = max(0, cue - len(own) - slack), min(len(words), cue + len(own) + slack)
+            near = words[lo:hi]
+            if (Counter(near) & counts).total() < LEAST_WORDS * len(own):
+                continue
+            match = SequenceMatcher(None, near, own, autojunk=False).find_longest_match()
+            a, b = max(0, match.a - match.b - slack), min(len(near), match.a - match.b + len(own) + slack)
+            runs = [m for m in SequenceMatcher(None, near[a:b], own, autojunk=False).get_matching_blocks() if m.size]
+            if not runs or sum(m.size for m in runs) < LEAST_WORDS * len(own):
+                continue
+            first, last = lo + a + runs[0].a, lo + a + runs[-1].a + runs[-1].size
+            if first <= cue < last or last > done:
+                start, end = spans[first][0], spans[last - 1][1]
+                missing, extra, confirmed = differences(block[start:end], each[k][1])
+                if confirmed:
+                    found.add((start, end, k, missing, extra))
+                    done = last
+    rows = []
+    for start, end, k, missing, extra in found:
+        raw = block[start:end].encode()
+        alone, size = len(plain.compress(raw)), len(each[k][2].compress(raw))
+        if 1 - size / alone >= LEAST_SAVING:
+            rows.append((start, end, each[k][0], alone, size, 1 - size / alone, missing, extra))
+    out = []
+    for row in sorted(rows, key=lambda r: (r[4] - r[3], r[2], r[0])):  # what saves most first
+        if all(row[1] <= o[0] or o[1] <= row[0] for o in out):
+            out.append(row)
+    return sorted(out)
+
+
 def scan(text: str) -> list[tuple]:
-    """A row of SCHEMA, without doc_id, for each block."""
+    """Rows of SCHEMA, without doc_id: for each block one, or one for each notice in it."""
     plain, each = _compressors()
     out = []
     for n, (start, end) in enumerate(blocks_of(text)):
@@ -135,7 +191,13 @@ def scan(text: str) -> list[tuple]:
                 best = row
                 break
             best = best or row
-        out.append(best or (n, start, end, None, alone, ranked[0][0], 1 - ranked[0][0] / alone, None, None, False))
+        best = best or (n, start, end, None, alone, ranked[0][0], 1 - ranked[0][0] / alone, None, None, False)
+        within = notices(block)
+        if best[-1] and {best[3]} >= {w[2] for w in within} and len(within) < 2:
+            within = []
+        if not within or (best[-1] and best[3] not in {w[2] for w in within}):
+            out.append(best)
+        out += [(n, start + w[0], start + w[1], *w[2:], True) for w in within]
     return out
 
 
@@ -146,7 +208,8 @@ def license_blocks(docs: DataFrame) -> DataFrame:
     with every template as raw dictionary; templates are ranked by what they save, and the first
     whose wording differs in few words, none of them telling (numbers, names, conditions), is confirmed. Without one the
     best-ranked is named, unconfirmed; if none saves LEAST_SAVING, license is null. Ties go to the
-    license first by name. Null, empty and plain texts give no row; a null doc_id is kept; repeated rows give theirs
+    license first by name. Notices within a block, beside prose or other notices, are sought in windows of each template's size and
+    have a row each, with their own places. Null, empty and plain texts give no row; a null doc_id is kept; repeated rows give theirs
     each. Texts of any length are read whole; documents without a cue never leave the JVM.
     """
 

@@ -246,6 +246,20 @@ def test_licenses(spark):
     assert licences.license_blocks(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_licenses_beside_prose_and_each_other():
+    mit, apache = licences.TEMPLATES["MIT"], licences.TEMPLATES["Apache-2.0"]
+    prose = "the town council met by the river and spoke of roads and of the harbour "
+    of = lambda text: [(r[3], text[r[1] : r[2]]) for r in licences.scan(text) if r[-1]]
+    for n in (1, 5, 30, 300):
+        for notice, name in ((apache[0], "Apache-2.0"), (mit[1], "MIT"), (apache[1], "Apache-2.0")):
+            assert [x for x, _ in of(f"{prose * n}{notice} {prose * n}")] == [name]
+    assert [x for x, _ in of("\n".join(f"Copyright {1990 + k} some holder" for k in range(10)) + "\n" + apache[0])] == ["Apache-2.0"]
+    for a, b in ((mit[0], apache[0]), (mit[1], apache[1])):
+        assert [x for x, _ in of(f"{a}\n{b}")] == ["MIT", "Apache-2.0"]
+        assert [x for x, _ in of(f"{a} {b}")] == ["MIT", "Apache-2.0"]
+    assert [x for x, _ in of(f"{apache[0]} {prose * 9}{apache[0]}")] == ["Apache-2.0"] * 2
+
+
 def test_licenses_of_documents(spark, sf_dir):
     """Every document with a line of the usual wordings is found, by the right name."""
     docs = {r.doc_id: r.text or "" for r in table(spark, sf_dir, "documents").collect()}
