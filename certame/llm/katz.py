@@ -22,8 +22,8 @@ from certame.llm.suffix_dedup import pack, unpack
 
 #: Words are 56-bit hashes; these two stand for a text's start and end.
 START, END = 1, 2
-#: Bigrams seen less often in training have no place in the table: their discounted count is zero.
-LEAST_COUNT = 2
+#: Bigrams seen less often in training have no place in the table; at 1 all have one.
+LEAST_COUNT = 1
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
 #: A history with this share of all tokens is split in SALTS.

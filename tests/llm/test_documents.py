@@ -247,6 +247,14 @@ def test_scores_of_edge_cases(spark):
     assert len(one) == 2 and all(r.doc_id is None and r.n_tokens == 3 for r in one)
 
 
+def test_bigrams_seen_once_are_in_the_model(spark, documents):
+    """Held against a model that keeps them, whatever the operator's own constant says."""
+    model, texts = brute.Katz(documents, 1, katz.DISCOUNTED), dict(documents)
+    assert sum(c == 1 for c in model.pairs.values()) > len(model.pairs) / 2
+    for r in katz.score(frame(spark, documents)).where("held_out").limit(20).collect():
+        assert r.score == pytest.approx(model.score(texts[r.doc_id]), rel=1e-6)
+
+
 def test_probabilities_add_up():
     """After every history the words and the unseen share make one."""
     rng = random.Random(4)
