@@ -74,19 +74,61 @@ def test_trust_and_distrust_spread(spark):
     assert url_filter.judge(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def solved(w: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Personalised PageRank as a linear system."""
+    return 0.15 * np.linalg.solve(np.eye(len(w)) - 0.85 * w.T, start)
+
+
 def test_spread_is_personalised_pagerank(spark):
+    """With the operator's own parameters: on a random graph, and on a ring, which is slow to settle."""
     rng = random.Random(8)
     n = 8
     w = np.array([[rng.random() if i != j and rng.random() < 0.3 else 0.0 for j in range(n)] for i in range(n)])
     out = w.sum(axis=1, keepdims=True)
     w = np.divide(w, out, out=np.zeros_like(w), where=out > 0)
-    edges = spark.createDataFrame([("k", str(i), str(j), float(w[i, j])) for i in range(n) for j in range(n) if w[i, j]], "kind string, a string, b string, w double")
-    seeds = spark.createDataFrame([("k", "0", 0.75), ("k", "3", 0.25)], "kind string, node string, s double")
+    ring = np.roll(np.eye(n), 1, axis=1)
+    kinds = {"k": w, "r": ring}
+    edges = spark.createDataFrame([(k, str(i), str(j), float(m[i, j])) for k, m in kinds.items() for i in range(n) for j in range(n) if m[i, j]], "kind string, a string, b string, w double")
+    seeds = spark.createDataFrame([(k, node, s) for k in kinds for node, s in (("0", 0.75), ("3", 0.25))], "kind string, node string, s double")
     start = np.zeros(n)
     start[0], start[3] = 0.75, 0.25
-    want = 0.15 * np.linalg.solve(np.eye(n) - 0.85 * w.T, start)
-    got = {int(r.node): r.s for r in url_filter.spread(edges, seeds, steps=60, tolerance=1e-9).collect()}
-    assert [got.get(i, 0.0) for i in range(n)] == pytest.approx(want.tolist(), abs=1e-5)
+    got = {(r.kind, int(r.node)): r.s for r in url_filter.spread(edges, seeds).collect()}
+    for k, m in kinds.items():
+        assert [got.get((k, i), 0.0) for i in range(n)] == pytest.approx(solved(m, start).tolist(), abs=1e-6)
+    with pytest.raises(RuntimeError, match="did not settle"):
+        url_filter.spread(edges, seeds, most=8)
+
+
+def test_verdicts_over_links_between_hosts(spark):
+    """judge() over pages that link across hosts, against a linear solver; far more pages are blocked than allowed."""
+    rng = random.Random(21)
+    hosts = [f"h{k}.{'net' if k < 4 else 'com' if k < 10 else 'io'}" for k in range(30)]
+    rows = []
+    for k, h in enumerate(hosts):
+        for n in range(rng.randint(1, 6) * (5 if 4 <= k < 10 else 1)):
+            path = "/de/" if k < 4 else "/en/" if k < 10 else "/x/"
+            to = [rng.choice(hosts) for _ in range(rng.randint(0, 3))]
+            rows.append((len(rows), f"https://{h}{path}{n}", "".join(f'<a href="//{t.upper()}/p">t</a>' for t in to)))
+    n = len(hosts)
+    links, seeds = np.zeros((n, n)), {"allow": np.zeros(n), "block": np.zeros(n)}
+    for _, url, html in rows:
+        a = hosts.index(re.match(r"https://([^/]+)", url)[1])
+        for t in re.findall(r'"//([^/]+)/', html):
+            b = hosts.index(t.lower())
+            links[a, b] += a != b
+        if a < 10:
+            seeds["allow" if a < 4 else "block"][a] += 1
+    share = lambda m: np.divide(m, m.sum(axis=1, keepdims=True), out=np.zeros_like(m), where=m.sum(axis=1, keepdims=True) > 0)
+    trust = solved(share(links), seeds["allow"] / seeds["allow"].sum())
+    distrust = solved(share(links.T), seeds["block"] / seeds["block"].sum())
+    verdicts = set()
+    for r in url_filter.judge(spark.createDataFrame(rows, PAGES)).collect():
+        k = hosts.index(r.host)
+        assert (r.trust, r.distrust) == pytest.approx((trust[k], distrust[k]), abs=1e-6)
+        if k >= 10:
+            verdicts.add(r.verdict)
+            assert r.verdict == ("block" if distrust[k] > trust[k] else "allow")
+    assert verdicts == {"allow", "block"}
 
 
 def test_leaks_of_documents(spark, sf_dir):
