@@ -1,7 +1,8 @@
 """Vectorised helpers that run inside tasks on Arrow batches of text.
 
-Texts stay UTF-8 bytes. Hashes are 64-bit polynomial prefix hashes, so that the
-hash of any substring costs two lookups; odd multipliers keep them invertible.
+Texts stay UTF-8 bytes. The hash of any substring costs two lookups in prefix sums
+of a polynomial modulo the prime 2**31 - 1, kept for two bases; a power of two as modulus would let texts be built that
+collide under every multiplier. Whoever takes equal hashes for equal texts holds them against the bytes (same_spans).
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: An odd multiplier and its inverse modulo 2**64.
+#: An odd multiplier and its inverse modulo 2**64: for choosing among k-grams and for joining hashes, where nothing rests on equality.
 MULT = 0x9E3779B97F4A7C15
 MULT_INV = pow(MULT, -1, 1 << 64)
+PRIME = (1 << 31) - 1
+#: The bases of the two lanes.
+BASES = (0x3C6EF372, 0x1B873593)
 SLICE_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -48,19 +52,95 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """q with q[i] = sum of (data[j] + 1) * MULT**j for j < i, modulo 2**64."""
-    q = np.empty(len(data) + 1, dtype=np.uint64)
-    q[0] = 0
+def rolling_hash(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every `width` bytes, modulo 2**64: cheap, and only for choosing."""
+    q = text_hash(data)
+    return mix((q[width:] - q[:-width]) * powers(MULT_INV, len(q))[: len(q) - width])
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2**62 (in place)."""
+    high = x >> np.uint64(31)
+    x &= np.uint64(PRIME)
+    x += high
+    return np.minimum(x, x - np.uint64(PRIME), out=x)  # below PRIME the difference wraps around to a large number
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo PRIME, kept between calls."""
+    have = _powers.get(-base)
+    if have is None or len(have) < n:
+        have = np.ones(1, dtype=np.uint64)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, _reduced(have * np.uint64(pow(base, len(have), PRIME)))])
+        have = have.astype(np.uint32)
+        if n <= 4 << 20:
+            _powers[-base] = have
+    return have[:n]
+
+
+def prefix_hash(data: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    """For each lane q with q[i] = sum of (data[j] + 1) * base**j for j < i, modulo PRIME."""
+    q = np.zeros((len(BASES), len(data) + 1), dtype=np.uint32)
+    for lane, base in enumerate(BASES):
+        power = prime_powers(base, len(data))
+        for lo in range(0, len(data), block):  # blocks that stay in the processor's cache
+            term = data[lo : lo + block].astype(np.uint64)
+            term += np.uint64(1)
+            term *= power[lo : lo + block]
+            term = _reduced(term)
+            term[0] += q[lane, lo]
+            q[lane, lo + 1 : lo + 1 + len(term)] = _reduced(np.cumsum(term))
+    return q
+
+
+def text_hash(data: np.ndarray) -> np.ndarray:
+    """Prefix sums for quick_hash(): one lane, modulo 2**64."""
+    q = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(MULT, len(data)), out=q[1:])
     return q
 
 
-def span_hash(q: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end], independent of where it stands."""
+def quick_hash(q: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of data[start:end] from text_hash(), for those who compare the bytes afterwards."""
     return mix((q[end] - q[start]) * powers(MULT_INV, len(q))[start])
 
 
+def span_value(q: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number below 2**62 for data[start:end], independent of where it stands."""
+    out = np.zeros(len(start), dtype=np.uint64)
+    for lane, base in enumerate(BASES):
+        there = prime_powers(pow(base, -1, PRIME), q.shape[1])
+        part = _reduced(_reduced(q[lane, end].astype(np.uint64) + np.uint64(PRIME) - q[lane, start]) * there[start])
+        out = (out << np.uint64(31)) | part
+    return out
+
+
+def span_hash(q: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """span_value() and the length, spread over 64 bits."""
+    return mix(span_value(q, start, end) + ((end - start).astype(np.uint64) << np.uint64(62)))
+
+
+def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_start: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """Whether the bytes data[start:end] are those of `other` from other_start on, for each span; `most` bytes at a time."""
+    size = (end - start).astype(np.int64)
+    out = np.ones(len(size), dtype=bool)
+    total = np.append(0, np.cumsum(size))
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + most, side="right")) - 1)
+        own = size[lo:hi]
+        span = np.repeat(np.arange(lo, hi), own)
+        step = np.arange(int(own.sum())) - np.repeat(total[lo:hi] - total[lo], own)
+        x, y = start[span] + step, other_start[span] + step
+        inside = y < len(other)
+        out[span[~inside]] = False
+        x, y, span = x[inside], y[inside], span[inside]
+        out[span[data[x] != other[y]]] = False
+        lo = hi
+    return out
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null counts as empty."""
     if column.null_count:

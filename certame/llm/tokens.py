@@ -3,8 +3,9 @@
 The pre-tokeniser of such a vocabulary never joins characters across the edge of
 a run of white space, save that a word takes one space before it. A text thus
 splits into pieces that are encoded each on its own; every distinct piece goes
-through the tokenizers library once, and repeated pieces cost a lookup. Texts
-with white space or control characters outside ASCII's usual six are encoded whole.
+through the tokenizers library once, and repeated pieces cost a lookup by hash. The ids of such a
+vocabulary spell out the text's bytes, so every text's ids are held against its bytes; a text with a piece whose hash
+another one shares is encoded whole, as are texts with white space or control characters outside ASCII's usual six.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from certame.llm.kernels import SPACE, prefix_hash, span_hash
+from certame.llm.kernels import SPACE, quick_hash, text_hash
 
 #: Pieces kept between batches by a Python worker; beyond it the memory starts anew.
 KEEP_PIECES = 3_000_000
@@ -70,6 +71,13 @@ def odd_rows(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(at, np.flatnonzero(odd), side="right") - 1)
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary: printable ones for themselves, all others from U+0100 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
 class PieceEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
@@ -81,6 +89,11 @@ class PieceEncoder:
         self.width = np.zeros(max(vocabulary.values()) + 2, dtype=np.int64)
         for token, i in vocabulary.items():  # one character stands for one byte
             self.width[i] = len(token)
+        self.spelt_at = np.append(0, np.cumsum(self.width))
+        byte_of = {c: b for b, c in byte_characters().items()}
+        self.spelt = np.zeros(int(self.spelt_at[-1]), dtype=np.uint8)
+        for token, i in vocabulary.items():
+            self.spelt[self.spelt_at[i] : self.spelt_at[i + 1]] = [byte_of.get(c, 0) for c in token]
         self.forget()
 
     def forget(self) -> None:
@@ -110,7 +123,7 @@ class PieceEncoder:
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and the offset of each row's first one."""
         start, end = pieces(data, at)
-        key = span_hash(prefix_hash(data), start, end)
+        key = quick_hash(text_hash(data), start, end)
         distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
         missing = ~np.isin(distinct, self.keys, assume_unique=True) if len(self.keys) else np.ones(len(distinct), bool)
         if missing.any():
@@ -125,11 +138,21 @@ class PieceEncoder:
         stop = np.cumsum(count)
         ids = self.ids[np.repeat(self.begin[slot] - (stop - count), count) + np.arange(int(stop[-1]) if len(stop) else 0)]
         rows = np.append(0, stop)[np.searchsorted(start, at)]
-        odd = odd_rows(data, at) if len(data) else ()
+        odd = odd_rows(data, at) if len(data) else np.zeros(0, np.int64)
+        odd = np.union1d(odd, self._misspelt(data, at, ids, rows))
         if len(odd):
             ids, rows = self._whole(data, at, ids, rows, odd)
         return ids, rows
 
+    def _misspelt(self, data: np.ndarray, at: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Rows whose ids do not spell out their bytes."""
+        width = self.width[ids]
+        stop = np.append(0, np.cumsum(width))
+        spelt = self.spelt[np.repeat(self.spelt_at[ids] - stop[:-1], width) + np.arange(int(stop[-1]))]
+        if np.array_equal(spelt, data):
+            return np.zeros(0, np.int64)
+        return np.array([r for r in range(len(at) - 1) if not np.array_equal(spelt[stop[rows[r]] : stop[rows[r + 1]]], data[at[r] : at[r + 1]])], dtype=np.int64)
+
     def _whole(self, data, at, ids, rows, odd):
         parts = [ids[a:b] for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
         for r in odd.tolist():
