@@ -2,8 +2,8 @@
 
 Every `length`-byte window belongs to one anchor: the k-gram of smallest hash in it (the
 leftmost of equals). Equal windows have equal anchors at equal places, so only
-anchors move between tasks, not all suffixes. Anchors whose whole surroundings repeat are settled by one
-hash; around the others the suffixes themselves are sorted, by merging runs with
+anchors move between tasks, not all suffixes. Anchors whose whole surroundings repeat are settled by a
+128-bit digest of those bytes; around the others the suffixes themselves are sorted, by merging runs with
 comparisons that find the common extension of two suffixes by binary search over prefix
 hashes. Windows that compare equal are held against their bytes.
 """
@@ -15,39 +15,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from certame.llm.kernels import MULT_INV, mix, powers, prefix_hash, span_hash, text_buffers, text_slices
-from certame.llm.storage import staged
+from certame.llm.kernels import MULT_INV, mix, powers, prefix_hash, quick_hash, rolling_hash, same_spans, span_value, text_buffers, text_hash, text_slices
+from certame.llm.storage import drop_shuffles, staged
 
 LENGTH = 100
 GRAM = 32
-#: Text for each of the partitions that anchors are dealt to.
-PARTITION_BYTES = 16 << 20
-#: Anchors that are dealt together by a task.
-BATCH_ANCHORS = 1 << 18
+#: Anchors whose repeats are settled together before they move.
+BATCH_ANCHORS = 1 << 17
 #: An anchor in more different surroundings than this is dealt window by window.
 HOT = 4096
 #: Windows that are sorted at once.
-BATCH_WINDOWS = 1 << 18
-RANGES = "doc_id long, start int, n int"
-
-
-def pack(**columns: np.ndarray) -> bytes:
-    """Columns as byte planes, compressed."""
-    parts = [b"".join((np.array([len(c), c.dtype.itemsize], "<i8").tobytes(), c.view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes())) for c in columns.values()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def unpack(raw: bytes, **kinds: str) -> dict[str, np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(raw), 0, {}
-    for name, kind in kinds.items():
-        n, width = np.frombuffer(raw, "<i8", 2, at).tolist()
-        out[name] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at + 16).reshape(width, n).T).view(kind).ravel()
-        at += 16 + n * width
-    return out
+BATCH_WINDOWS = 1 << 17
+#: A row of a table is told apart by doc_id and sub; sub is 0 but for rows that share a doc_id.
+ANCHOR = "fp long, c1 long, c2 long, doc_id long, sub long, start int, n int, off int"
+#: A window with this place of its anchor is known to start earlier, and has no bytes.
+SETTLED = -1
+WINDOW = "key long, doc_id long, sub long, start int, n int, off int, bytes binary"
+RANGE = "doc_id long, sub long, start int, n int"
 
 
 def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -58,12 +45,17 @@ def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - (width - reach)], keys[width - reach :]) if width > reach else keys
 
 
+def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    raw, digest = memoryview(data.tobytes()), hashlib.blake2b
+    out = b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(out, "<i8").reshape(-1, 2)
+
+
 def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
-    """For each run of windows with one anchor: row, start in the row, windows, place of the anchor, hashes of the k-gram and of all that the windows cover."""
+    """For each run of windows with one anchor: row, start in the row, windows, place of the anchor, hash of the k-gram and digest of all that the windows cover."""
     if len(data) < length:
-        return {k: np.zeros(0, t) for k, t in (("row", np.int64), ("start", np.int32), ("n", np.uint8), ("off", np.uint8), ("fp", np.uint64), ("ctx", np.uint64))}
-    q = prefix_hash(data)
-    grams = mix((q[gram:] - q[:-gram]) * powers(MULT_INV, len(q))[: len(q) - gram])
+        return {k: np.zeros(0, np.int64) for k in ("row", "start", "n", "off", "fp", "c1", "c2")}
+    grams = rolling_hash(data, gram)
     owner = (_sliding_min((grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64), length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
     valid = row[: len(owner)] == row[length - 1 :]
@@ -72,122 +64,102 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> dict[st
     start = np.flatnonzero(new)
     count = np.add.reduceat(valid, start, dtype=np.int64) if len(start) else np.zeros(0, np.int64)
     rows = row[start].astype(np.int64)
-    return {
-        "row": rows, "start": (start - at[rows]).astype(np.int32), "n": count.astype(np.uint8), "off": (owner[start] - start).astype(np.uint8),
-        "fp": grams[owner[start]], "ctx": span_hash(q, start, start + count - 1 + length),
-    }
-
-
-A_KINDS = {"fp": "<u8", "ctx": "<u8", "doc": "<i8", "start": "<i4", "n": "u1", "off": "u1"}
-D_KINDS = {"doc": "<i8", "start": "<i4", "n": "u1"}
+    around = _digests(data, start, start + count - 1 + length)
+    return {"row": rows, "start": start - at[rows], "n": count, "off": owner[start] - start, "fp": grams[owner[start]].view(np.int64), "c1": around[:, 0], "c2": around[:, 1]}
 
 
 def _new_key(*columns: np.ndarray) -> np.ndarray:
     """Marks the first row of each run of equal rows."""
     new = np.ones(len(columns[0]), dtype=bool)
-    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
     return new
 
 
-def _deal_anchors(batches: Iterator[pa.RecordBatch], parts: int, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _later(new: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Marks rows that stand after the first one of their run: in a document of larger id, or later in one of the same id."""
+    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
+    return (doc > doc[first]) | ((doc == doc[first]) & (start > start[first]))
+
+
+def _record(schema: str, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names = [c.split(" ") for c in schema.split(", ")]
+    return pa.record_batch([columns[k] if isinstance(columns[k], pa.Array) else pa.array(columns[k].astype(np.int64), pa.int64()).cast(kinds[t]) for k, t in names], [k for k, _ in names])
+
+
+def _column(batch: pa.RecordBatch, k: int) -> np.ndarray:
+    return np.asarray(batch.column(k).to_numpy(zero_copy_only=False), dtype=np.int64)
+
+
+def _find_anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Anchors of (doc_id, sub, text). What repeats among those of one batch is settled at once (fp null), so a hot anchor moves once for a batch."""
     kept: list[dict] = []
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        c = {k: np.concatenate([x[k] for x in kept]) for k in A_KINDS}
+    def flush() -> pa.RecordBatch:
+        c = {k: np.concatenate([x[k] for x in kept]) for k in kept[0]}
         kept.clear()
-        part = (c["fp"] >> np.uint64(33)) % np.uint64(parts)
-        order = np.lexsort((c["start"], c["doc"], c["ctx"], c["fp"], part))
-        c, part = {k: v[order] for k, v in c.items()}, part[order]
-        first = _new_key(c["fp"], c["ctx"])
-        # what repeats within this task is settled here, and goes where its document's hash sends it: a hot anchor adds one row for each task
-        again = ~first
-        there = (mix(c["doc"][again].astype(np.uint64)) >> np.uint64(33)) % np.uint64(parts)
-        by = np.argsort(there, kind="stable")
-        done, there = {k: c[k][again][by] for k in D_KINDS}, there[by]
-        c, part = {k: v[first] for k, v in c.items()}, part[first]
-        every = np.arange(parts, dtype=np.uint64)
-        a, b = np.append(np.searchsorted(part, every), len(part)), np.append(np.searchsorted(there, every), len(there))
-        full = [p for p in range(parts) if a[p] < a[p + 1] or b[p] < b[p + 1]]
-        yield pa.record_batch(
-            [pa.array(full, pa.int32()), pa.array([pack(**{k: v[a[p] : a[p + 1]] for k, v in c.items()}) for p in full], pa.binary()), pa.array([pack(**{k: v[b[p] : b[p + 1]] for k, v in done.items()}) for p in full], pa.binary())],
-            ["part", "found", "done"],
-        )
-
+        order = np.lexsort((c["start"], c["doc_id"], c["c2"], c["c1"], c["fp"]))
+        c = {k: v[order] for k, v in c.items()}
+        again = _later(_new_key(c["fp"], c["c1"], c["c2"]), c["doc_id"], c["start"])
+        c["fp"] = pa.array(c["fp"], pa.int64(), mask=again)
+        for k in ("c1", "c2"):
+            c[k] = np.where(again, 0, c[k])
+        return _record(ANCHOR, c)
+
+    size = 0
     for batch, data, at in text_slices(batches):
         x = anchors(data, at, length, gram)
-        x["doc"] = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)[x.pop("row")]
+        row = x.pop("row")
+        x["doc_id"], x["sub"] = _column(batch, 0)[row], _column(batch, 1)[row]
         kept.append(x)
-        if sum(len(k["fp"]) for k in kept) >= BATCH_ANCHORS:
-            yield from flush()
+        size += len(row)
+        if size >= BATCH_ANCHORS:
+            yield flush()
+            size = 0
     if kept:
-        yield from flush()
+        yield flush()
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges of window starts to remove (fp null), and anchors whose windows have to be compared."""
+def _hot_repeats(data: np.ndarray, begin: np.ndarray, c: dict[str, np.ndarray], own: np.ndarray, length: int) -> np.ndarray:
+    """Of the rows `own`, each a window under its hash, those whose bytes start earlier among them."""
+    own = own[np.lexsort((c["start"][own], c["doc_id"][own], c["key"][own]))]
+    new = _new_key(c["key"][own])
+    first = begin[own[np.flatnonzero(new)[np.cumsum(new) - 1]]]
+    return own[_later(new, c["doc_id"][own], c["start"][own]) & same_spans(data, begin[own], begin[own] + length, data, first)]
 
-    def rows(fp, hot, doc, start, n, off):
-        return pa.record_batch([pa.array(fp, pa.int64()) if fp is not None else pa.nulls(len(doc), pa.int64()), pa.array(hot), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n.astype(np.int32), pa.int32()), pa.array(off.astype(np.int32), pa.int32())], ["fp", "hot", "doc_id", "start", "n", "off"])
 
-    found = []
-    for batch in batches:
-        for a, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            found.append(unpack(a, **A_KINDS))
-            done = unpack(d, **D_KINDS)
-            yield rows(None, np.zeros(len(done["doc"]), bool), done["doc"], done["start"], done["n"], done["n"])
-    if not found:
-        return
-    c = {k: np.concatenate([x[k] for x in found]) for k in A_KINDS}
-    order = np.lexsort((c["start"], c["doc"], c["ctx"], c["fp"]))
-    c = {k: v[order] for k, v in c.items()}
-    anchor = _new_key(c["fp"])
-    first = _new_key(c["fp"], c["ctx"])
-    again = ~first
-    yield rows(None, np.zeros(int(again.sum()), bool), c["doc"][again], c["start"][again], c["n"][again], c["off"][again])
-    group = np.cumsum(anchor) - 1
-    kinds = np.bincount(group, weights=first).astype(np.int64)[group]
-    part = first & (kinds > 1)
-    yield rows(c["fp"][part].view(np.int64), kinds[part] > HOT, c["doc"][part], c["start"][part], c["n"][part], c["off"][part])
-
-
-W_KINDS = {"key": "<u8", "doc": "<i8", "start": "<i4", "n": "u1", "off": "u1", "text": "u1"}
-
-
-def _deal_windows(batches: Iterator[pa.RecordBatch], parts: int, length: int) -> Iterator[pa.RecordBatch]:
-    """Bytes around the anchors that the last column lists for each text."""
+def _find_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The bytes around the anchors that the last column lists for each text of (doc_id, sub, text, around); windows of hot anchors each alone, under their own hash."""
     for batch, data, at in text_slices(batches):
-        listed = batch.column(2)
+        listed = batch.column(3)
         inner = listed.flatten()
         row = np.repeat(np.arange(batch.num_rows), np.diff(listed.offsets.to_numpy()))
-        fp, hot, start, n, off = (inner.field(k).to_numpy(zero_copy_only=False) for k in range(5))
-        doc = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        hot = hot.astype(bool)
-        if hot.any():  # each of its windows alone, under its own hash
+        fp, hot, start, n, off = (np.asarray(inner.field(k).to_numpy(zero_copy_only=False), dtype=np.int64) for k in range(5))
+        doc, sub, hot = _column(batch, 0), _column(batch, 1), hot.astype(bool)
+        if hot.any():
             times = np.where(hot, n, 1)
             step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
             row, fp, start, off, n, hot = (np.repeat(x, times) for x in (row, fp, start, off, n, hot))
-            start, off, n = start + step, np.where(hot, 0, off), np.where(hot, 1, n)
-        begin = at[row] + start
-        key = fp.astype(np.int64).view(np.uint64)
+            start, off, n = start + np.where(hot, step, 0), np.where(hot, 0, off), np.where(hot, 1, n)
+            begin = at[row] + start
+            fp = np.where(hot, quick_hash(text_hash(data), begin, begin + length).view(np.int64), fp)
+        c = {"key": fp, "doc_id": doc[row], "sub": sub[row], "start": start, "n": n, "off": off}
+        begin, size = at[row] + start, n + length - 1
         if hot.any():
-            key = np.where(hot, span_hash(prefix_hash(data), begin, begin + length), key)
-        part = (mix(key) >> np.uint64(33)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        part, size = part[order], (n + length - 1)[order]
-        edge = np.append(np.searchsorted(part, np.arange(parts, dtype=np.uint64)), len(part))
-        total = np.cumsum(size)
-        where = np.repeat(begin[order] - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)
-        text, cuts = data[where], np.append(0, total)
-        out = {"key": key[order], "doc": doc[row][order], "start": start[order].astype("<i4"), "n": n[order].astype(np.uint8), "off": off[order].astype(np.uint8)}
-        full = [p for p in range(parts) if edge[p] < edge[p + 1]]
-        yield pa.record_batch([pa.array(full, pa.int32()), pa.array([pack(**{k: v[edge[p] : edge[p + 1]] for k, v in out.items()}, text=text[cuts[edge[p]] : cuts[edge[p + 1]]]) for p in full], pa.binary())], ["part", "found"])
+            done = _hot_repeats(data, begin, c, np.flatnonzero(hot), length)
+            size[done], c["off"][done], c["key"][done] = 0, SETTLED, mix(c["doc_id"][done].view(np.uint64)).view(np.int64)
+        total = np.append(0, np.cumsum(size))
+        text = data[np.repeat(begin - total[:-1], size) + np.arange(int(total[-1]))]
+        c["bytes"] = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(total.astype(np.int32).tobytes()), pa.py_buffer(text.tobytes())])
+        yield _record(WINDOW, c)
 
 
 class Suffixes:
     """Comparison of windows of a buffer by prefix hashes."""
 
     def __init__(self, data: np.ndarray, length: int):
-        self.data, self.length, self.q, self.inverse = data, length, prefix_hash(data), powers(MULT_INV, len(data) + 1)
+        self.data, self.length, self.q, self.inverse = data, length, text_hash(data), powers(MULT_INV, len(data) + 1)
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common extension, up to `length`, by binary search."""
@@ -231,67 +203,101 @@ class Suffixes:
         return order
 
     def equal_bytes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        out = np.ones(len(x), dtype=bool)
-        for k in range(self.length):
-            out &= self.data[x + k] == self.data[y + k]
-        return out
+        return same_spans(self.data, x, x + self.length, self.data, y)
 
 
 def repeated_windows(data: np.ndarray, at: np.ndarray, group: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     """Numbers of the windows whose bytes also start earlier, by (doc, start), in a window of their group."""
+    if not len(at):
+        return np.zeros(0, np.int64)
     by = np.lexsort((start, doc, group))
     suffixes = Suffixes(data, length)
     order = by[suffixes.sort(at[by], group[by])]
     x, y = order[:-1], order[1:]
     same = (group[x] == group[y]) & (suffixes.common(at[x], at[y]) == length)
     told = np.flatnonzero(same)
-    wrong = told[~suffixes.equal_bytes(at[x[told]], at[y[told]])]
+    wrong = group[x[told[~suffixes.equal_bytes(at[x[told]], at[y[told]])]]]
+    # a collision within a window may also have parted equal ones: each value of another hash must make one run
+    values = span_value(prefix_hash(data), at, at + length)[order]
+    by_value = np.lexsort((values, group[order]))
+    g, v = group[order][by_value], values[by_value]
+    of, runs = np.unique(group[order][np.append(True, ~same)], return_counts=True)
+    kinds = np.bincount(np.searchsorted(of, g[_new_key(g, v)]), minlength=len(of))
+    wrong = np.union1d(wrong, of[runs != kinds])
     if len(wrong):  # two texts with one hash: their groups are compared by their bytes alone
-        bad = np.isin(group, np.unique(group[x[wrong]]))
+        bad = np.isin(group, wrong)
         rest = repeated_windows(data, at[~bad], group[~bad], doc[~bad], start[~bad], length)
-        seen, plain = set(), []
+        seen: dict[tuple, tuple] = {}
+        plain = []
         for i in sorted(np.flatnonzero(bad).tolist(), key=lambda i: (doc[i], start[i])):
-            window = (int(group[i]), data[at[i] : at[i] + length].tobytes())
-            if window in seen:
+            first = seen.setdefault((int(group[i]), data[at[i] : at[i] + length].tobytes()), (doc[i], start[i]))
+            if first < (doc[i], start[i]):
                 plain.append(i)
-            seen.add(window)
         return np.append(np.flatnonzero(~bad)[rest], np.array(plain, dtype=np.int64))
-    return order[1:][same]  # the sort keeps the earliest of equals first
+    # the sort keeps the earliest of equals first
+    return order[_later(np.append(True, ~same), doc[order], start[order])]
+
+
+def _windows_of(c: dict[str, np.ndarray], text: np.ndarray, at: np.ndarray, length: int) -> dict[str, np.ndarray]:
+    """The windows of rows (sorted by key) that also start earlier: number of the row, step from its start."""
+    n = c["n"]
+    item = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+    # windows of one anchor are equal only where the anchor stands at one place
+    place = c["off"][item] - step
+    low = int(place.min(initial=0))
+    group = (np.cumsum(_new_key(c["key"]))[item]) * (int(place.max(initial=0)) - low + 1) + place - low
+    several = np.unique(group, return_inverse=True, return_counts=True)
+    use = np.flatnonzero(several[2][several[1]] > 1)
+    item, step, group = item[use], step[use], group[use]
+    again = repeated_windows(text, at[item] + step, group, c["doc_id"][item], c["start"][item] + step, length)
+    return {"item": item[again], "step": step[again]}
 
 
 def _sort_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    found = [unpack(raw, **W_KINDS) for batch in batches for raw in batch.column(1).to_pylist()]
-    if not found:
-        return
-    c = {k: np.concatenate([x[k] for x in found]) for k in W_KINDS}
-    text = c.pop("text")
-    size = c["n"].astype(np.int64) + length - 1
-    begin = np.cumsum(size) - size
-    order = np.argsort(c["key"], kind="stable")
-    total = np.cumsum(c["n"][order].astype(np.int64))
-    new = np.flatnonzero(_new_key(c["key"][order]))
-    cuts, at = [0], 0
-    for k in np.append(new[1:], len(order)).tolist():  # whole keys, about BATCH_WINDOWS at once
-        if total[k - 1] - at >= BATCH_WINDOWS or k == len(order):
-            cuts.append(k)
-            at = total[k - 1]
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        own = order[lo:hi]
-        span = size[own]
-        stop = np.cumsum(span)
-        buffer = text[np.repeat(begin[own] - (stop - span), span) + np.arange(int(stop[-1]))]
-        n = c["n"][own].astype(np.int64)
-        item = np.repeat(np.arange(len(own)), n)
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        key = np.cumsum(_new_key(c["key"][own]))[item]
-        # windows of one anchor are equal only where the anchor stands at one place
-        group = key * 256 + (c["off"][own].astype(np.int64)[item] - step)
-        several = np.unique(group, return_inverse=True, return_counts=True)
-        use = np.flatnonzero(several[2][several[1]] > 1)
-        item, step, group = item[use], step[use], group[use]
-        doc, start = c["doc"][own][item], c["start"][own][item].astype(np.int64) + step
-        again = repeated_windows(buffer, (stop - span)[item] + step, group, doc, start, length)
-        yield pa.record_batch([pa.array(doc[again], pa.int64()), pa.array(start[again].astype(np.int32)), pa.array(np.ones(len(again), np.int32))], ["doc_id", "start", "n"])
+    """Ranges of windows that also start earlier, of rows of WINDOW in the order of key, doc_id, start.
+
+    Whole keys are sorted, about BATCH_WINDOWS windows at once. A key of many more windows has them alone, as hot ones; of
+    what is equal its first row stays for the rest of the key, so memory is bounded by the different windows of a hash.
+    """
+    kept: list[pa.RecordBatch] = []
+
+    def settle(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+        c = {k: _column(batch, i) for i, k in enumerate(("key", "doc_id", "sub", "start", "n", "off"))}
+        raw = batch.column(6)
+        offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+        text = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(raw) else np.zeros(0, np.uint8)
+        again = _windows_of(c, text, offsets[:-1] - offsets[0], length)
+        item = again["item"]
+        found = {"doc_id": c["doc_id"][item], "sub": c["sub"][item], "start": c["start"][item] + again["step"], "n": np.ones(len(item), np.int64)}
+        gone = np.zeros(batch.num_rows, bool)
+        gone[item] = True
+        return _record(RANGE, found), batch.filter(pa.array(~gone | (c["n"] > 1)))
+
+    size = 0
+    for batch in batches:
+        done = _column(batch, 5) == SETTLED
+        if done.any():
+            yield batch.filter(pa.array(done)).select([k.split(" ")[0] for k in RANGE.split(", ")])
+            batch = batch.filter(pa.array(~done))
+        if not batch.num_rows:
+            continue
+        kept.append(batch)
+        size += int(_column(batch, 4).sum())
+        if size < BATCH_WINDOWS:
+            continue
+        whole = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+        key = _column(whole, 0)
+        edge = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+        if edge:
+            yield settle(whole.slice(0, edge))[0]
+        rest = whole.slice(edge)
+        if (_column(rest, 4) == 1).all() and rest.num_rows >= BATCH_WINDOWS // 2:
+            found, rest = settle(rest)
+            yield found
+        kept, size = [rest], int(_column(rest, 4).sum())
+    if kept:
+        yield settle(pa.Table.from_batches(kept).combine_chunks().to_batches()[0])[0]
 
 
 def merged(ranges: np.ndarray, length: int) -> np.ndarray:
@@ -333,40 +339,66 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
-    """(doc_id, ranges) for the documents of docs (doc_id, text) with windows that also start earlier: ranges of their starts, as (start, n).
-
-    Earlier: in a document of smaller doc_id, or before in the same one. Texts are UTF-8 bytes, null counts as
-    empty; rows without doc_id take no part.
+def _told_apart(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with a column __sub: 0, or, for rows that share a doc_id, a hash of their text; and whether there are such."""
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    twice = staged(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id", F.lit(True).alias("__twice")), "twice")
+    if twice.isEmpty():
+        return docs.withColumn("__sub", F.lit(0).cast("long")), False
+    docs = docs.join(twice, "doc_id", "left").withColumn("__sub", F.when(F.col("__twice"), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(0)).drop("__twice")
+    return docs, True
+
+
+def _repeated(known: DataFrame, length: int, gram: int) -> DataFrame:
+    """doc_id, sub, ranges for rows of known (doc_id, sub, text), of which none has the doc_id and sub of another."""
+    found = known.mapInArrow(lambda b: _find_anchors(b, length, gram), ANCHOR)
+    # equal surroundings: all but the earliest are repeats; anchors that repeat within their batch are past this
+    same = Window.partitionBy("fp", "c1", "c2", F.when(F.col("fp").isNull(), F.col("doc_id"))).orderBy("doc_id", "start")
+    again = F.col("fp").isNull() | (F.struct("doc_id", "start") > F.first(F.struct("doc_id", "start")).over(same))
+    settled = staged(found.select("fp", "doc_id", "sub", "start", "n", "off", again.alias("again")).drop("c1", "c2"), "anchors")
+    drop_shuffles(known.sparkSession)
+    firsts = settled.where("not again")
+    kinds = staged(firsts.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1").select("fp", (F.col("kinds") > HOT).alias("hot")), "kinds")
+    compare = firsts.join(kinds, "fp").groupBy("doc_id", "sub").agg(F.collect_list(F.struct("fp", "hot", "start", "n", "off")).alias("around"))
+    windows = known.join(compare, ["doc_id", "sub"]).select("doc_id", "sub", "text", "around").mapInArrow(lambda b: _find_windows(b, length), WINDOW)
+    windows = windows.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(lambda b: _sort_windows(b, length), RANGE)
+    return settled.where("again").select("doc_id", "sub", "start", "n").union(windows).groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+
+
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """docs with a column __sub, and (doc_id, sub, ranges) for the rows with windows that also start earlier: ranges of their starts, as (start, n).
+
+    Earlier: in a document of smaller doc_id, or before in one of the same doc_id. Texts are UTF-8 bytes, null counts as
+    empty; rows without doc_id take no part. gram: bytes of an anchor, at most `length`.
     """
-    known = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8, -(-size // partition_bytes))
-    # rows of one part stand together after the exchange, whatever else shares its partition
-    dealt = known.mapInArrow(lambda b: _deal_anchors(b, parts, length, gram), "part int, found binary, done binary").repartition(parts, "part")
-    settled = staged(dealt.mapInArrow(_settle, "fp long, hot boolean, doc_id long, start int, n int, off int"), "anchors")
-    compare = settled.where("fp is not null").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "hot", "start", "n", "off")).alias("around"))
-    windows = known.join(compare, "doc_id").mapInArrow(lambda b: _deal_windows(b, parts, length), "part int, found binary").repartition(parts, "part").mapInArrow(lambda b: _sort_windows(b, length), RANGES)
-    return settled.where("fp is null").select("doc_id", "start", "n").union(windows).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-
-
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    if length < 1 or (gram is not None and not 1 <= gram <= length):
+        raise ValueError("length and gram must be positive, and gram at most length")
+    docs, several = _told_apart(docs)
+    known = docs.where("doc_id is not null").select("doc_id", F.col("__sub").alias("sub"), F.coalesce("text", F.lit("")).alias("text"))
+    own = known.where("sub = 0").union(known.where("sub <> 0").dropDuplicates(["doc_id", "sub"])) if several else known
+    return docs, _repeated(own, length, gram or max(1, min(GRAM, length // 3)))
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> DataFrame:
     """Removes from each text of docs (doc_id, text) every byte covered by a `length`-byte string that also starts earlier.
 
-    Overlaps count, and strings are judged on the input. A null doc_id has nothing removed, nor makes others
-    repeat. Rows that share a doc_id count as one document, and get its removals each. Returns
-    doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes) and spans.
+    Overlaps count, and strings are judged on the input. Earlier is a smaller doc_id, or the same doc_id and a
+    smaller start: of repeated rows none is earlier than the other, so they remove nothing from each other. A null doc_id has nothing removed,
+    nor makes others repeat. Null text counts as empty; texts of any length are taken whole; an empty table gives no rows; other columns, whatever
+    their names, are left aside. Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of
+    the remaining bytes) and spans.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    return docs.join(repeated_ranges(docs, length, gram), "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(lambda b: _cut(b, length), OUT)
+    docs, ranges = repeated_ranges(docs.select("doc_id", "text"), length, gram)
+    return docs.withColumnRenamed("__sub", "sub").join(ranges, ["doc_id", "sub"], "left").select("doc_id", "text", "ranges").mapInArrow(lambda b: _cut(b, length), OUT)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> DataFrame:
     """docs with what suffix_dedup() removes cut from text; all other columns stay, n_chars (if there) is counted anew.
 
-    A character that is cut in part goes whole. A text that is removed in full becomes empty; null stays null.
+    A character that is cut in part goes whole. A text that is removed in full becomes empty; null stays null; an empty table stays so.
     """
-    ranges = repeated_ranges(docs, length, gram).select(F.col("doc_id").alias("__of"), F.col("ranges").alias("__ranges"))
+    told, ranges = repeated_ranges(docs, length, gram)
+    ranges = ranges.select(F.col("doc_id").alias("__of"), F.col("sub").alias("__at"), F.col("ranges").alias("__ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -381,5 +413,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 batch = batch.set_column(k, batch.schema.field(k), pa.array([None if t is None else len(t) for t in texts], batch.column(k).type))
             yield batch
 
-    joined = docs.join(ranges, docs["doc_id"] == ranges["__of"], "left").drop("__of")
+    joined = told.join(ranges, (told["doc_id"] == ranges["__of"]) & (told["__sub"] == ranges["__at"]), "left").select(*docs.columns, "__ranges")
     return joined.mapInArrow(run, docs.schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,65 @@ def test_suffix_dedup_without_ids_and_rows(spark):
     assert suffix_dedup.suffix_dedup(frame(spark, [])).collect() == []
 
 
+def test_suffix_dedup_of_repeated_rows(spark):
+    """Equal rows take nothing from each other; rows of one doc_id with other texts are cut each by what starts earlier."""
+    rng = random.Random(31)
+    a, b = sentence(rng, 50), sentence(rng, 50)
+    rows = [(1, a), (1, a), (2, f"{a} {b}"), (2, b), (3, b), (None, a)]
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.suffix_dedup(frame(spark, rows)).collect())
+    n, m = len(a), len(b)
+    assert got == sorted([(0, n, 0), (1, n, 0), (1, n, 0), (2, n + 1 + m, n + m), (2, m, 0), (3, m, m)]) or got == sorted([(0, n, 0), (1, n, 0), (1, n, 0), (2, n + 1 + m, n + m + 1), (2, m, 0), (3, m, m)])
+
+
+@pytest.mark.parametrize("length", [7, 20, 400])
+def test_suffix_dedup_of_other_lengths(spark, length):
+    rng = random.Random(length)
+    passage = sentence(rng, 220)
+    rows = [(k, f"{sentence(rng, 40)} {passage[rng.randint(0, 300) :]} {sentence(rng, 40)}") for k in range(12)] + [(20, None), (21, "a" * 900)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(frame(spark, rows), length).collect()}
+    assert got == brute.suffix_dedup(rows, length)
+    with pytest.raises(ValueError):
+        suffix_dedup.suffix_dedup(frame(spark, rows), 10, 20)
+
+
+def test_suffix_dedup_of_hot_anchors(spark, monkeypatch):
+    """A passage in many different surroundings, dealt window by window, and in small batches."""
+    rng = random.Random(33)
+    passage = sentence(rng, 25)
+    rows = [(k, f"{sentence(rng, 30)} {passage} {sentence(rng, 30)}") for k in range(60)] + [(100, passage * 3)]
+    for name, value in (("HOT", 3), ("BATCH_WINDOWS", 64), ("BATCH_ANCHORS", 50)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(frame(spark, rows)).collect()}
+    assert got == brute.suffix_dedup(rows)
+    cut = suffix_dedup._sort_windows
+    windows = sorted(passage[i : i + 100] for i in range(len(passage) - 99)) * 5
+    made = suffix_dedup._record(suffix_dedup.WINDOW, {"key": np.sort(np.arange(len(windows)) % 2), "doc_id": np.arange(len(windows)), "sub": np.zeros(len(windows)), "start": np.zeros(len(windows)), "n": np.ones(len(windows)), "off": np.zeros(len(windows)), "bytes": pa.array([w.encode() for w in windows])})
+    first = {}
+    want = {d for d, (k, w) in enumerate(zip(made.column(0).to_pylist(), windows, strict=True)) if first.setdefault((k, w), d) != d}
+    assert {d for b in cut(iter([made.slice(i, 7) for i in range(0, len(windows), 7)]), 100) for d in b.column(0).to_pylist()} == want
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of n letters that collide under every odd multiplier modulo a power of two."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_built_to_collide(spark, n):
+    """Each is a text of its own to every operator."""
+    x, y = thue_morse(n)
+    rows = [(1, x), (2, y), (3, f"{x} {y} {x}"), (4, f"{y} {x} {y}"), (5, "other words")]
+    ids = ids_of(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows)).collect()} == brute.near_duplicates(rows)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(frame(spark, rows)).collect()} == brute.suffix_dedup(rows)
+    check_packing(packing.pack(frame(spark, rows)).collect(), ids)
+    assert {r.doc_id: r.ids for r in token_files.tokenised(frame(spark, rows)).collect()} == {d: [*i, 2] for d, i in ids.items()}
+    want = brute.base_scores(rows)
+    for r in katz.score(frame(spark, rows)).collect():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4]
+
+
 def test_repeats_are_cut_and_columns_stay(spark):
     rng = random.Random(2)
     passage = sentence(rng, 60)
