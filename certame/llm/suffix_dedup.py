@@ -2,10 +2,11 @@
 
 Every `length`-byte window belongs to one anchor: the k-gram of smallest hash in it (the
 leftmost of equals). Equal windows have equal anchors at equal places, so only
-anchors move between tasks, not all suffixes. Anchors whose whole surroundings repeat are settled by a
-128-bit digest of those bytes; around the others the suffixes themselves are sorted, by merging runs with
+anchors move between tasks, not all suffixes. Anchors of one k-gram whose whole surroundings repeat are settled by a
+64-bit cryptographic digest of those bytes; around the others the suffixes themselves are sorted, by merging runs with
 comparisons that find the common extension of two suffixes by binary search over prefix
-hashes. Windows that compare equal are held against their bytes.
+hashes. Windows that compare equal are held against their bytes. Frequent k-grams are known from a first pass;
+their anchors are dealt by their surroundings, and their windows one by one.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ LENGTH = 100
 GRAM = 32
 #: Anchors whose repeats are settled together before they move.
 BATCH_ANCHORS = 1 << 17
-#: An anchor in more different surroundings than this is dealt window by window.
-HOT = 4096
+#: A k-gram that makes up this share of all anchors is frequent, and one that HOT rows have after their batches settled theirs.
+HOT_SHARE, HOT = 1e-4, 4096
 #: Windows that are sorted at once.
 BATCH_WINDOWS = 1 << 17
 #: A row of a table is told apart by doc_id and sub; sub is 0 but for rows that share a doc_id.
-ANCHOR = "fp long, c1 long, c2 long, doc_id long, sub long, start int, n int, off int"
+ANCHOR = "key long, around long, hot boolean, doc_id long, sub long, start int, n int, off int"
 #: A window with this place of its anchor is known to start earlier, and has no bytes.
 SETTLED = -1
 WINDOW = "key long, doc_id long, sub long, start int, n int, off int, bytes binary"
@@ -47,14 +48,13 @@ def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
 
 def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     raw, digest = memoryview(data.tobytes()), hashlib.blake2b
-    out = b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
-    return np.frombuffer(out, "<i8").reshape(-1, 2)
+    return np.frombuffer(b"".join([digest(raw[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), "<i8")
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
-    """For each run of windows with one anchor: row, start in the row, windows, place of the anchor, hash of the k-gram and digest of all that the windows cover."""
+    """For each run of windows with one anchor: row, start in the row, windows, place of the anchor, hash of the k-gram."""
     if len(data) < length:
-        return {k: np.zeros(0, np.int64) for k in ("row", "start", "n", "off", "fp", "c1", "c2")}
+        return {k: np.zeros(0, np.int64) for k in ("row", "start", "n", "off", "fp")}
     grams = rolling_hash(data, gram)
     owner = (_sliding_min((grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64), length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
@@ -64,8 +64,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> dict[st
     start = np.flatnonzero(new)
     count = np.add.reduceat(valid, start, dtype=np.int64) if len(start) else np.zeros(0, np.int64)
     rows = row[start].astype(np.int64)
-    around = _digests(data, start, start + count - 1 + length)
-    return {"row": rows, "start": start - at[rows], "n": count, "off": owner[start] - start, "fp": grams[owner[start]].view(np.int64), "c1": around[:, 0], "c2": around[:, 1]}
+    return {"row": rows, "start": start - at[rows], "n": count, "off": owner[start] - start, "fp": grams[owner[start]].view(np.int64)}
 
 
 def _new_key(*columns: np.ndarray) -> np.ndarray:
@@ -92,26 +91,59 @@ def _column(batch: pa.RecordBatch, k: int) -> np.ndarray:
     return np.asarray(batch.column(k).to_numpy(zero_copy_only=False), dtype=np.int64)
 
 
-def _find_anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Anchors of (doc_id, sub, text). What repeats among those of one batch is settled at once (fp null), so a hot anchor moves once for a batch."""
+def frequent_anchors(known: DataFrame, length: int, gram: int, share: float = HOT_SHARE) -> np.ndarray:
+    """Sorted hashes of the k-grams that make up a noticeable share of all anchors: 2 / share at most.
+
+    A batch sends those that reach `share` of its own anchors. Which ones are split is a matter of layout alone: no result rests on it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+        for _, data, at in text_slices(batches):
+            kept.append(anchors(data, at, length, gram)["fp"])
+            size += len(kept[-1])
+            if size >= BATCH_ANCHORS:
+                yield count(np.concatenate(kept))
+                kept, size = [], 0
+        if size:
+            yield count(np.concatenate(kept))
+
+    def count(fp: np.ndarray) -> pa.RecordBatch:
+        found, n = np.unique(fp, return_counts=True)
+        top = n >= max(2, share * len(fp))
+        return pa.record_batch([pa.array(np.append(found[top], 0)), pa.array(np.append(n[top], 0)), pa.array(np.append(np.zeros(int(top.sum()), np.int64), len(fp)))], ["fp", "n", "every"])
+
+    sums = known.select("sub", "text").mapInArrow(run, "fp long, n long, every long").groupBy("fp").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
+    got = sums.orderBy(F.desc("every"), F.desc("n"), "fp").limit(int(2 / share) + 1).collect()
+    total = got[0].every if got else 0
+    return np.array(sorted(r.fp for r in got if r.n >= share * total / 2), dtype=np.int64)
+
+
+def _find_anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Anchors of (doc_id, sub, text), under the hash of their k-gram, or, of frequent ones, of k-gram and surroundings.
+
+    What repeats among those of one batch is settled at once (key null), so surroundings that repeat move once for a batch.
+    """
     kept: list[dict] = []
 
     def flush() -> pa.RecordBatch:
         c = {k: np.concatenate([x[k] for x in kept]) for k in kept[0]}
         kept.clear()
-        order = np.lexsort((c["start"], c["doc_id"], c["c2"], c["c1"], c["fp"]))
+        order = np.lexsort((c["start"], c["doc_id"], c["around"], c["key"]))
         c = {k: v[order] for k, v in c.items()}
-        again = _later(_new_key(c["fp"], c["c1"], c["c2"]), c["doc_id"], c["start"])
-        c["fp"] = pa.array(c["fp"], pa.int64(), mask=again)
-        for k in ("c1", "c2"):
-            c[k] = np.where(again, 0, c[k])
+        again = _later(_new_key(c["key"], c["around"]), c["doc_id"], c["start"])
+        c["key"], c["around"] = pa.array(c["key"], pa.int64(), mask=again), np.where(again, 0, c["around"])
+        c["hot"] = pa.array(c["hot"])
         return _record(ANCHOR, c)
 
     size = 0
     for batch, data, at in text_slices(batches):
         x = anchors(data, at, length, gram)
-        row = x.pop("row")
+        row, fp = x.pop("row"), x.pop("fp")
         x["doc_id"], x["sub"] = _column(batch, 0)[row], _column(batch, 1)[row]
+        begin = at[row] + x["start"]
+        x["around"], x["hot"] = _digests(data, begin, begin + x["n"] - 1 + length), np.isin(fp, frequent)
+        x["key"] = np.where(x["hot"], mix(fp.view(np.uint64) ^ x["around"].view(np.uint64)).view(np.int64), fp)
         kept.append(x)
         size += len(row)
         if size >= BATCH_ANCHORS:
@@ -351,18 +383,22 @@ def _told_apart(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 def _repeated(known: DataFrame, length: int, gram: int) -> DataFrame:
     """doc_id, sub, ranges for rows of known (doc_id, sub, text), of which none has the doc_id and sub of another."""
-    found = known.mapInArrow(lambda b: _find_anchors(b, length, gram), ANCHOR)
-    # equal surroundings: all but the earliest are repeats; anchors that repeat within their batch are past this
-    same = Window.partitionBy("fp", "c1", "c2", F.when(F.col("fp").isNull(), F.col("doc_id"))).orderBy("doc_id", "start")
-    again = F.col("fp").isNull() | (F.struct("doc_id", "start") > F.first(F.struct("doc_id", "start")).over(same))
-    settled = staged(found.select("fp", "doc_id", "sub", "start", "n", "off", again.alias("again")).drop("c1", "c2"), "anchors")
+    frequent = frequent_anchors(known, length, gram)
+    found = known.mapInArrow(lambda b: _find_anchors(b, length, gram, frequent), ANCHOR)
+    # rows that their batch has settled stand alone, by their document
+    key = ["key", F.when(F.col("key").isNull(), F.col("doc_id"))]
+    by_key, same = Window.partitionBy(*key), Window.partitionBy(*key, "around").orderBy("doc_id", "start")
+    again = F.col("key").isNull() | (F.struct("doc_id", "start") > F.first(F.struct("doc_id", "start")).over(same))
+    # only where a k-gram has several surroundings are there windows to compare
+    several = F.col("hot") | (F.min("around").over(by_key) < F.max("around").over(by_key))
+    hot = F.col("hot") | (F.count("*").over(by_key) > HOT)
+    settled = found.withColumns({"again": again, "several": several, "hot": hot}).where("again or several")
+    settled = staged(settled.select(F.when(~F.col("again"), F.col("key")).alias("key"), F.col("hot") & ~F.col("again"), "doc_id", "sub", "start", "n", "off").toDF("key", "hot", "doc_id", "sub", "start", "n", "off"), "anchors")
     drop_shuffles(known.sparkSession)
-    firsts = settled.where("not again")
-    kinds = staged(firsts.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1").select("fp", (F.col("kinds") > HOT).alias("hot")), "kinds")
-    compare = firsts.join(kinds, "fp").groupBy("doc_id", "sub").agg(F.collect_list(F.struct("fp", "hot", "start", "n", "off")).alias("around"))
+    compare = settled.where("key is not null").groupBy("doc_id", "sub").agg(F.collect_list(F.struct("key", "hot", "start", "n", "off")).alias("around"))
     windows = known.join(compare, ["doc_id", "sub"]).select("doc_id", "sub", "text", "around").mapInArrow(lambda b: _find_windows(b, length), WINDOW)
     windows = windows.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(lambda b: _sort_windows(b, length), RANGE)
-    return settled.where("again").select("doc_id", "sub", "start", "n").union(windows).groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    return settled.where("key is null").select("doc_id", "sub", "start", "n").union(windows).groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> tuple[DataFrame, DataFrame]:

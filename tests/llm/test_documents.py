@@ -139,8 +139,12 @@ def test_suffix_dedup_of_hot_anchors(spark, monkeypatch):
     rows = [(k, f"{sentence(rng, 30)} {passage} {sentence(rng, 30)}") for k in range(60)] + [(100, passage * 3)]
     for name, value in (("HOT", 3), ("BATCH_WINDOWS", 64), ("BATCH_ANCHORS", 50)):
         monkeypatch.setattr(suffix_dedup, name, value)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(frame(spark, rows)).collect()}
-    assert got == brute.suffix_dedup(rows)
+    for none in (True, False):
+        if none:
+            monkeypatch.setattr(suffix_dedup, "frequent_anchors", lambda *_: np.zeros(0, np.int64))
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(frame(spark, rows)).collect()}
+        assert got == brute.suffix_dedup(rows)
+        monkeypatch.undo()
     cut = suffix_dedup._sort_windows
     windows = sorted(passage[i : i + 100] for i in range(len(passage) - 99)) * 5
     made = suffix_dedup._record(suffix_dedup.WINDOW, {"key": np.sort(np.arange(len(windows)) % 2), "doc_id": np.arange(len(windows)), "sub": np.zeros(len(windows)), "start": np.zeros(len(windows)), "n": np.ones(len(windows)), "off": np.zeros(len(windows)), "bytes": pa.array([w.encode() for w in windows])})
