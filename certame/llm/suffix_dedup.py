@@ -383,6 +383,7 @@ def _told_apart(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 def _repeated(known: DataFrame, length: int, gram: int) -> DataFrame:
     """doc_id, sub, ranges for rows of known (doc_id, sub, text), of which none has the doc_id and sub of another."""
+    drop_shuffles(known.sparkSession)
     frequent = frequent_anchors(known, length, gram)
     found = known.mapInArrow(lambda b: _find_anchors(b, length, gram, frequent), ANCHOR)
     # rows that their batch has settled stand alone, by their document
@@ -398,7 +399,11 @@ def _repeated(known: DataFrame, length: int, gram: int) -> DataFrame:
     compare = settled.where("key is not null").groupBy("doc_id", "sub").agg(F.collect_list(F.struct("key", "hot", "start", "n", "off")).alias("around"))
     windows = known.join(compare, ["doc_id", "sub"]).select("doc_id", "sub", "text", "around").mapInArrow(lambda b: _find_windows(b, length), WINDOW)
     windows = windows.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(lambda b: _sort_windows(b, length), RANGE)
-    return settled.where("key is null").select("doc_id", "sub", "start", "n").union(windows).groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    found = settled.where("key is null").select("doc_id", "sub", "start", "n").union(windows).groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    # written, so that the texts' way to the windows leaves the disk before their way to the ranges
+    found = staged(found, "ranges")
+    drop_shuffles(known.sparkSession)
+    return found
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> tuple[DataFrame, DataFrame]:
