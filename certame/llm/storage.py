@@ -33,16 +33,34 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _delete(path: str, spark: SparkSession) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _remove() -> None:
     for path, spark in _made.items():
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(path, spark)
         except Exception:  # the session has ended; the folder's own cleaning takes over
             return
 
 
+def keep_until_exit(spark: SparkSession, path: str) -> str:
+    """Notes a folder that goes when the driver exits."""
+    _made[path] = spark
+    return path
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes the files of tables from staged() that no later step reads."""
+    for df in tables:
+        files = df.inputFiles()
+        for path in [p for p in _made if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files[:1])]:
+            _delete(path, _made.pop(path))
+
+
 atexit.register(_remove)
 
 
@@ -55,8 +73,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/certame/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _made[path] = spark
+    df.write.option("compression", "zstd").parquet(keep_until_exit(spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

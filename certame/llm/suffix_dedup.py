@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from certame.llm.kernels import MULT_INV, mix, powers, prefix_hash, quick_hash, rolling_hash, same_spans, span_value, text_buffers, text_hash, text_slices
-from certame.llm.storage import drop_shuffles, staged
+from certame.llm.storage import drop_shuffles, removed, staged
 
 LENGTH = 100
 GRAM = 32
@@ -31,7 +31,8 @@ HOT_SHARE, HOT = 1e-4, 4096
 #: Windows that are sorted at once.
 BATCH_WINDOWS = 1 << 17
 #: A row of a table is told apart by doc_id and sub; sub is 0 but for rows that share a doc_id.
-ANCHOR = "key long, around long, hot boolean, doc_id long, sub long, start int, n int, off int"
+#: place holds start, n and off in 31, 16 and 16 bits, and is negative for frequent ones.
+ANCHOR = "key long, around long, doc_id long, sub long, place long"
 #: A window with this place of its anchor is known to start earlier, and has no bytes.
 SETTLED = -1
 WINDOW = "key long, doc_id long, sub long, start int, n int, off int, bytes binary"
@@ -129,11 +130,10 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int, fre
     def flush() -> pa.RecordBatch:
         c = {k: np.concatenate([x[k] for x in kept]) for k in kept[0]}
         kept.clear()
-        order = np.lexsort((c["start"], c["doc_id"], c["around"], c["key"]))
+        order = np.lexsort((c["place"], c["doc_id"], c["around"], c["key"]))
         c = {k: v[order] for k, v in c.items()}
-        again = _later(_new_key(c["key"], c["around"]), c["doc_id"], c["start"])
+        again = _later(_new_key(c["key"], c["around"]), c["doc_id"], c["place"])
         c["key"], c["around"] = pa.array(c["key"], pa.int64(), mask=again), np.where(again, 0, c["around"])
-        c["hot"] = pa.array(c["hot"])
         return _record(ANCHOR, c)
 
     size = 0
@@ -142,9 +142,10 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int, fre
         row, fp = x.pop("row"), x.pop("fp")
         x["doc_id"], x["sub"] = _column(batch, 0)[row], _column(batch, 1)[row]
         begin = at[row] + x["start"]
-        x["around"], x["hot"] = _digests(data, begin, begin + x["n"] - 1 + length), np.isin(fp, frequent)
-        x["key"] = np.where(x["hot"], mix(fp.view(np.uint64) ^ x["around"].view(np.uint64)).view(np.int64), fp)
-        kept.append(x)
+        around, hot = _digests(data, begin, begin + x["n"] - 1 + length), np.isin(fp, frequent)
+        place = (x["start"] << 32) | (x["n"] << 16) | x["off"] | np.where(hot, np.int64(-(2**63)), 0)
+        key = np.where(hot, mix(fp.view(np.uint64) ^ around.view(np.uint64)).view(np.int64), fp)
+        kept.append({"key": key, "around": around, "doc_id": x["doc_id"], "sub": x["sub"], "place": place})
         size += len(row)
         if size >= BATCH_ANCHORS:
             yield flush()
@@ -388,13 +389,18 @@ def _repeated(known: DataFrame, length: int, gram: int) -> DataFrame:
     found = known.mapInArrow(lambda b: _find_anchors(b, length, gram, frequent), ANCHOR)
     # rows that their batch has settled stand alone, by their document
     key = ["key", F.when(F.col("key").isNull(), F.col("doc_id"))]
-    by_key, same = Window.partitionBy(*key), Window.partitionBy(*key, "around").orderBy("doc_id", "start")
-    again = F.col("key").isNull() | (F.struct("doc_id", "start") > F.first(F.struct("doc_id", "start")).over(same))
+    by_key, same = Window.partitionBy(*key), Window.partitionBy(*key, "around").orderBy("doc_id", "place")
+    again = F.col("key").isNull() | (F.struct("doc_id", "place") > F.first(F.struct("doc_id", "place")).over(same))
     # only where a k-gram has several surroundings are there windows to compare
-    several = F.col("hot") | (F.min("around").over(by_key) < F.max("around").over(by_key))
-    hot = F.col("hot") | (F.count("*").over(by_key) > HOT)
-    settled = found.withColumns({"again": again, "several": several, "hot": hot}).where("again or several")
-    settled = staged(settled.select(F.when(~F.col("again"), F.col("key")).alias("key"), F.col("hot") & ~F.col("again"), "doc_id", "sub", "start", "n", "off").toDF("key", "hot", "doc_id", "sub", "start", "n", "off"), "anchors")
+    several = (F.col("place") < 0) | (F.min("around").over(by_key) < F.max("around").over(by_key))
+    hot = (F.col("place") < 0) | (F.count("*").over(by_key) > HOT)
+    place = F.col("place").bitwiseAND(2**63 - 1)
+    settled = (
+        found.select(F.when(~again, F.col("key")).alias("key"), (hot & ~again).alias("hot"), "doc_id", "sub", "place", (again | several).alias("use"))
+        .where("use")
+        .select("key", "hot", "doc_id", "sub", F.shiftright(place, 32).cast("int").alias("start"), F.shiftright(place, 16).bitwiseAND(65535).cast("int").alias("n"), place.bitwiseAND(65535).cast("int").alias("off"))
+    )
+    settled = staged(settled, "anchors")
     drop_shuffles(known.sparkSession)
     compare = settled.where("key is not null").groupBy("doc_id", "sub").agg(F.collect_list(F.struct("key", "hot", "start", "n", "off")).alias("around"))
     windows = known.join(compare, ["doc_id", "sub"]).select("doc_id", "sub", "text", "around").mapInArrow(lambda b: _find_windows(b, length), WINDOW)
@@ -402,6 +408,7 @@ def _repeated(known: DataFrame, length: int, gram: int) -> DataFrame:
     found = settled.where("key is null").select("doc_id", "sub", "start", "n").union(windows).groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     # written, so that the texts' way to the windows leaves the disk before their way to the ranges
     found = staged(found, "ranges")
+    removed(settled)
     drop_shuffles(known.sparkSession)
     return found
 
@@ -412,8 +419,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = No
     Earlier: in a document of smaller doc_id, or before in one of the same doc_id. Texts are UTF-8 bytes, null counts as
     empty; rows without doc_id take no part. gram: bytes of an anchor, at most `length`.
     """
-    if length < 1 or (gram is not None and not 1 <= gram <= length):
-        raise ValueError("length and gram must be positive, and gram at most length")
+    if not 1 <= length < 1 << 16 or (gram is not None and not 1 <= gram <= length):
+        raise ValueError("length must be between 1 and 65535, and gram between 1 and length")
     docs, several = _told_apart(docs)
     known = docs.where("doc_id is not null").select("doc_id", F.col("__sub").alias("sub"), F.coalesce("text", F.lit("")).alias("text"))
     own = known.where("sub = 0").union(known.where("sub <> 0").dropDuplicates(["doc_id", "sub"])) if several else known

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from certame.llm.kernels import list_array, text_slices
-from certame.llm.storage import shared_dir
+from certame.llm.storage import keep_until_exit, shared_dir
 from certame.llm.tokens import default_tokenizer, encoder
 
 END = 2
@@ -85,8 +85,8 @@ def token_positions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_table(docs: DataFrame, end_id: int = END, tokenizer: str | None = None) -> DataFrame:
-    """Writes docs to a new folder in the shared place and returns token_positions() of it."""
+    """Writes docs to a new folder in the shared place, which goes when the driver exits, and returns token_positions() of it."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/certame/tokens-{uuid.uuid4().hex}"
+    path = keep_until_exit(spark, f"{shared_dir(spark)}/certame/tokens-{uuid.uuid4().hex}")
     write_token_files(docs, path, end_id, tokenizer)
     return token_positions(spark, path)
