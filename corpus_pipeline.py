@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certame.llm import decontamination, language, neardup, packing, suffix_dedup
-from certame.llm.storage import shared_dir, small_batches, staged, table, without
+from certame.llm.storage import keep_until_exit, removed, shared_dir, small_batches, staged, table, without
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +64,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/certame/stage-{name}-{uuid.uuid4().hex}"
+        path = keep_until_exit(spark, f"{shared_dir(spark)}/certame/stage-{name}-{uuid.uuid4().hex}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            removed(before)
+        before = docs
     return docs
