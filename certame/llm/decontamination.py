@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from certame.llm.kernels import LOWER, prefix_hash, span_hash, text_slices, word_spans
 
-#: Items of the benchmark that share a latent space and a pass over the documents; pieces of long items count each.
+#: Items of the benchmark that share a latent space; pieces of long items count each.
 BLOCK_ITEMS = 256
 #: Items of more than LONG words are sought by pieces of about PIECE words.
 LONG, PIECE = 64, 32
@@ -286,27 +286,32 @@ def _search(words: np.ndarray, places: np.ndarray, rows: np.ndarray, index: Inde
 SCHEMA = "doc_id long, contaminated boolean, item_id long, cosine double, lcs double, answer double"
 
 
-def _judge(docs: DataFrame, index: Index, cosine: float, verbatim: float, paraphrase: float, answer: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # BLOCK_ITEMS items and DF_BUCKETS weights
+def _judge(docs: DataFrame, blocks: list[Index], cosine: float, verbatim: float, paraphrase: float, answer: float) -> DataFrame:
+    # a block holds BLOCK_ITEMS items, about 15 MB; all of them meet every text in one pass
+    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+    def leaks(words: np.ndarray, rows: np.ndarray, index: Index, best: dict[int, tuple]) -> None:
+        """Puts the strongest candidate of each row into best: (leak, lcs, cosine, answer, -item)."""
         sizes = np.array([len(w) for w in index.words])
+        places = _places(words, index)
+        row, item, begin, value = _search(words, places, rows, index, cosine)
+        size = sizes[item]
+        lo, hi = np.maximum(rows[row], begin - size), np.minimum(rows[row + 1], begin + BLOCK_WORDS * PASSAGE_BLOCKS + size)
+        lcs = common_subsequences(words, places, lo, hi, item, index) / size
+        order = np.lexsort((-value, -lcs, row))
+        for k in order.tolist():
+            if (have := best.get(r := int(row[k]))) and (lcs[k], value[k]) < have[1:3] and (have[0] or lcs[k] < paraphrase):
+                continue
+            told = common_subsequence(index.answers[item[k]], words[lo[k] : hi[k]]) / max(len(index.answers[item[k]]), 1)
+            leak = bool(lcs[k] >= verbatim or (lcs[k] >= paraphrase and told >= answer))
+            best[r] = max(best.get(r, ()), (leak, float(lcs[k]), float(value[k]), told, -index.items[item[k]]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in text_slices(batches):
             words, rows = _words(data, at)
-            places = _places(words, index)
-            row, item, begin, value = _search(words, places, rows, index, cosine)
-            size = sizes[item]
-            lo, hi = np.maximum(rows[row], begin - size), np.minimum(rows[row + 1], begin + BLOCK_WORDS * PASSAGE_BLOCKS + size)
-            lcs = common_subsequences(words, places, lo, hi, item, index) / size
             best: dict[int, tuple] = {}
-            order = np.lexsort((-value, -lcs, row))
-            for k in order.tolist():
-                if (have := best.get(r := int(row[k]))) and (lcs[k], value[k]) < have[1:3] and (have[0] or lcs[k] < paraphrase):
-                    continue
-                told = common_subsequence(index.answers[item[k]], words[lo[k] : hi[k]]) / max(len(index.answers[item[k]]), 1)
-                leak = bool(lcs[k] >= verbatim or (lcs[k] >= paraphrase and told >= answer))
-                best[r] = max(best.get(r, ()), (leak, float(lcs[k]), float(value[k]), told, -index.items[item[k]]))
+            for block in shared:
+                leaks(words, rows, block.value, best)
             out = [best.get(r) for r in range(batch.num_rows)]
             yield pa.record_batch(
                 [
@@ -328,28 +333,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     subsequence of words decides, and the strongest counts: `verbatim` of the item's words, or `paraphrase` of them and
     `answer` of the answer's (the column answer, else the item's last sentence). Returns doc_id, contaminated,
     and of the strongest candidate item_id, cosine, lcs and answer (null if there is none; ties to the
-    smaller item). Null or empty texts leak nothing; null or empty items are never leaked; repeated rows give a row each.
-    Long items are sought by pieces. Items are taken in blocks of BLOCK_ITEMS pieces; with more than one block, rows are merged by doc_id.
+    smaller item). Null or empty texts leak nothing; null or empty items are never leaked; repeated rows, and rows without doc_id, give a row each;
+    very long texts are searched whole; an empty table gives no rows; other columns, whatever their names, are left aside.
+    Long items are sought by pieces. Items make blocks of BLOCK_ITEMS pieces with a latent space each; every text meets all blocks in one
+    pass. The items go through the driver and to every task: a benchmark is bounded, at about 15 MB for 256 pieces.
     """
     spark = docs.sparkSession
     weights = weights_of(document_frequencies(docs))
     told = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text", told.alias("answer"))
-    n = items.count()
-    parts = max(1, -(-n // BLOCK_ITEMS) if n <= BLOCK_ITEMS else -(-2 * n // BLOCK_ITEMS))
-    found = []
-    for k in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
-        for block in blocks_of(sorted(map(tuple, own.collect()), key=lambda x: (x[0], x[1])), BLOCK_ITEMS):
-            index = build_index(spark, block, weights)
-            if index:
-                found.append(_judge(docs, index, cosine, verbatim, paraphrase, answer))
+    blocks = blocks_of(sorted(map(tuple, items.collect()), key=lambda x: (x[0], x[1])), BLOCK_ITEMS)
+    found = [index for index in (build_index(spark, block, weights) for block in blocks) if index]
     if not found:
         return docs.select(F.col("doc_id").cast("long"), F.lit(False).alias("contaminated"), *[F.lit(None).cast(t).alias(c) for c, t in (("item_id", "long"), ("cosine", "double"), ("lcs", "double"), ("answer", "double"))])
-    if len(found) == 1:
-        return found[0]
-    every = found[0]
-    for other in found[1:]:
-        every = every.union(other)
-    best = F.max_by(F.struct("contaminated", "item_id", "cosine", "lcs", "answer"), F.struct("contaminated", F.coalesce("lcs", F.lit(-1.0)), F.coalesce("cosine", F.lit(-1.0)), -F.coalesce("item_id", F.lit(0))))
-    return every.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.*")
+    return _judge(docs, found, cosine, verbatim, paraphrase, answer)
