@@ -36,7 +36,8 @@ def op6_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_top_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.scaled(table(spark, sf_dir, "embeddings"))
-    return topk.exact_top(vectors, vectors.where("vec_id % 20 = 0")).withColumn("score", F.col("score").cast("long"))
+    found = topk.exact_top(vectors, vectors.where("vec_id % 20 = 0"))
+    return found.withColumn("score", F.col("whole")).drop("whole")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
