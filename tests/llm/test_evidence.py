@@ -228,6 +228,33 @@ def test_blocks_of_items_agree_with_one(spark, monkeypatch, sf_dir):
     assert set(one) == set(many) and np.mean([one[d] == many[d] for d in one]) >= 0.99
 
 
+def test_rows_keep_their_identity_over_blocks(spark, monkeypatch):
+    """Null and repeated ids, and more items than a block holds: a row for each row."""
+    rng = random.Random(23)
+    noise = lambda n: " ".join(f"w{rng.randint(0, 4000)}" for _ in range(n))
+    items = [(k, noise(12)) for k in range(40)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(None, noise(30)), (None, f"{noise(30)} {items[39][1]}"), (7, items[3][1]), (7, noise(20)), (8, None)]
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 16)
+    got = decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    assert sorted(((r.doc_id or 0, r.contaminated, r.item_id if r.contaminated else None) for r in got), key=str) == sorted([(0, False, None), (0, True, 39), (7, True, 3), (7, False, None), (8, False, None)], key=str)
+
+
+def test_paraphrases_are_recalled(spark):
+    """100 planted ones that keep three quarters of an item's words in order, and its last sentence; and as many texts without."""
+    rng = random.Random(24)
+    noise = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    items, rows = [], []
+    for k in range(100):
+        question, answer = noise(rng.randint(16, 40)), noise(6)
+        items.append((k, f"{' '.join(question)}. {' '.join(answer)}"))
+        told = [w if rng.random() < 0.75 else f"x{rng.randint(0, 5000)}" for w in question]
+        rows += [(k, " ".join([*noise(60), *told, *answer, *noise(60)])), (1000 + k, " ".join(noise(150)))]
+    got = decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sum(r.contaminated and r.item_id == r.doc_id for r in got) >= 90
+    assert not any(r.contaminated for r in got if r.doc_id >= 1000)
+
+
 def test_common_subsequence():
     rng = random.Random(7)
     for _ in range(200):
@@ -273,6 +300,32 @@ def test_top_search_of_edge_cases(spark):
     assert topk.exact_top(few.limit(0), few.limit(0)).collect() == []
 
 
+def test_top_search_of_large_numbers(spark):
+    """Products beyond what doubles tell apart, and beyond long."""
+    rng = random.Random(19)
+    big = [(i, [float(rng.choice([2**40, -(2**40), 2**30, 3]) + rng.randint(0, 9)) for _ in range(3)]) for i in range(60)]
+    vectors = spark.createDataFrame(big, "vec_id long, v array<double>")
+    got = {(r.query_id, r.rank, r.vec_id, r.whole) for r in topk.exact_top(vectors, vectors.where("vec_id % 20 = 0"), candidate_block=16).collect()}
+    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+    for q in (0, 20, 40):
+        dot = {i: sum(int(a) * int(b) for a, b in zip(big[q][1], v, strict=True)) for i, v in big if i != q}
+        own = sorted((r for r in got if r[0] == q), key=lambda r: r[1])
+        assert [r[3] for r in own] == [clip(x) for x in sorted(dot.values(), reverse=True)[:20]]
+        assert all(r[3] == clip(dot[r[2]]) for r in own)
+    huge = spark.createDataFrame([(i, [1e10, 3e38 * (i % 3 - 1), 0.5]) for i in range(0, 60, 10)], "vec_id long, embedding array<float>")
+    rows = topk.exact_top(topk.scaled(huge), topk.scaled(huge).where("vec_id % 20 = 0")).collect()
+    assert len(rows) == 15 and max(r.whole for r in rows) == 2**63 - 1 and min(r.whole for r in rows) == -(2**63)
+
+
+def test_top_search_of_repeated_rows_and_lengths(spark):
+    """Each row of a vec_id is a candidate; which length counts does not hang on blocks."""
+    rows = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [2.0, 1.0]), (20, [1.0, 1.0]), (20, [3.0, 3.0]), (3, [9.0]), (4, [9.0]), (5, [9.0, 9.0, 9.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    for block in (1, 2, 100):
+        found = topk.exact_top(vectors, vectors.where("vec_id = 20"), candidate_block=block)
+        assert sorted((r.rank, r.vec_id, r.whole) for r in found.collect()) == [(1, 1, 3), (2, 1, 3), (3, 2, 3)]
+
+
 def test_licenses(spark):
     mit, apache = licences.TEMPLATES["MIT"][1], licences.TEMPLATES["Apache-2.0"][1]
     rows = [
