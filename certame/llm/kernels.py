@@ -121,7 +121,7 @@ def span_hash(q: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(span_value(q, start, end) + ((end - start).astype(np.uint64) << np.uint64(62)))
 
 
-def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_start: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_start: np.ndarray, most: int = 1 << 18) -> np.ndarray:
     """Whether the bytes data[start:end] are those of `other` from other_start on, for each span; `most` bytes at a time."""
     size = (end - start).astype(np.int64)
     out = np.ones(len(size), dtype=bool)

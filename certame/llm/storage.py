@@ -78,7 +78,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
+    """Lets Spark's cleaner remove the shuffle files of plans that are no longer referenced.
+
+    The event of the last query keeps its plan until another one follows, so a small query goes first.
+    """
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
