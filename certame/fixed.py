@@ -65,6 +65,8 @@ PER_ROW, BUBBLE, BUBBLE_GAP, BUBBLE_RADIUS = 5, 14, 3, 7
 FILLED, CLEAR_LEAD, DOUBTFUL = 0.35, 0.10, 0.5
 # Markers of an answer sheet's corners.
 MARKER_SIDES, MARKER_ASPECT = (0.004, 0.08), (0.5, 2.0)
+# Fixed value: how far, as a share of its length, a marker's outline may lie from its simplified one.
+MARKER_SLACK = 0.06
 THRESHOLD_BLOCK, THRESHOLD_OFFSET, BLUR = 21, 8, 7
 # Marks, colours, and limits.
 MEDALS = ((90, "ouro"), (70, "prata"), (50, "bronze"))

@@ -240,6 +240,28 @@ def prompt(area: Column, stem: Column, task: Column, skills: dict[str, str]) ->
     )
 
 
+def explain_prompt(ano: Column, numero: Column, stem: Column, task: Column, options: Column, key: Column) -> Column:
+    """Asks why the key is right and the other options are wrong."""
+    from certame.functions.arrays import option_lines
+
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.concat(
+        F.lit("Explique, de forma clara e didática, como se resolve a questão.\n\nENEM "), text(ano), F.lit(", questão "), text(numero), F.lit("\n\n"), F.array_join(stem, "\n\n"), F.lit("\n\n"), text(task),
+        F.lit("\n\nAlternativas:\n"), text(option_lines(options)), F.lit("\n\nGabarito: "), text(key),
+        F.lit("\n\nDiga por que essa alternativa é a correta e por que as demais estão erradas."),
+    )
+
+
+def search_prompt(asked: Column, areas: tuple[str, ...]) -> Column:
+    """Asks for search terms, an area and a skill as JSON; null for an empty question."""
+    listed = " | ".join(f'"{a}"' for a in areas)
+    told = F.concat(
+        F.lit('Banco de questões do ENEM. Procura-se: "'), strip(asked),
+        F.lit(f'"\n\nResponda APENAS com JSON:\n"termos": de 1 a 3 palavras-chave que os textos devem conter\n"area": uma de {listed}, ou null\n"competencia": código de H01 a H30, ou null'),
+    )
+    return F.when(strip(asked) != "", told)
+
+
 def json_object(c: Column) -> Column:
     """from the first { to the last }."""
     return F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from certame import fixed
 from certame.functions.arrays import map_put, map_without, put_image, without_path
 
+#: Buckets that new rows are numbered in.
+ID_BUCKETS = 1024
+
 
 def latest_per_key(rows: DataFrame, key: tuple[str, ...], order: list[str]) -> DataFrame:
     """The last row of each key. One aggregate, so rows of a key meet pre-reduced, however many they are."""
@@ -46,10 +49,18 @@ def upsert(old: DataFrame, new: DataFrame, key: tuple[str, ...], columns: tuple[
 
 
 def insert_or_patch(old: DataFrame, new: DataFrame, next_id: int) -> DataFrame:
-    """M3: rows with an id change theirs; rows without one come in, with ids from next_id on."""
+    """M3: rows with an id change theirs; rows without one come in, with ids from next_id on, without gaps.
+
+    Ids follow the rows' contents, so a task that runs again gives the same: a row's place in its hash bucket, after the rows of the buckets before.
+    """
     patched = upsert(old, new.where("id is not null"), ("id",))
-    fresh = new.where("id is null").withColumn("id", F.lit(next_id) + F.monotonically_increasing_id())
-    return patched.unionByName(fresh, allowMissingColumns=True)
+    fresh = new.where("id is null").drop("id").withColumn("__row", F.to_json(F.struct(*[c for c in new.columns if c != "id"])))
+    fresh = fresh.withColumn("__in", F.pmod(F.xxhash64("__row"), F.lit(ID_BUCKETS)))
+    # a row for each bucket
+    before = fresh.groupBy("__in").agg(F.count("*").alias("n")).select("__in", (F.sum("n").over(Window.orderBy("__in")) - F.col("n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__in").orderBy("__row"))
+    numbered = fresh.join(F.broadcast(before), "__in").withColumn("id", F.lit(next_id) + F.col("__before") + place - 1).drop("__in", "__row", "__before")
+    return patched.unionByName(numbered, allowMissingColumns=True)
 
 
 def delete(rows: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:

@@ -60,9 +60,10 @@ def first_existing(wanted: DataFrame, files: DataFrame) -> DataFrame:
 
 def with_key(mocks: DataFrame, keys: DataFrame) -> DataFrame:
     """Mocks (evento, turno, ...) with their key (evento, turno, gabarito); a key without turno serves every shift, one with it goes first."""
-    k = keys.select(F.col("evento").alias("k_evento"), F.col("turno").alias("k_turno"), "gabarito")
-    both = mocks.join(k, (F.col("evento") == F.col("k_evento")) & (F.col("k_turno").isNull() | (F.col("k_turno") == F.col("turno"))), "left")
-    return both.groupBy(*mocks.columns).agg(F.max_by("gabarito", F.struct(F.col("k_turno").isNotNull(), "gabarito")).alias("gabarito"))
+    own = keys.where("turno is not null").groupBy("evento", "turno").agg(F.max("gabarito").alias("__own"))
+    common = keys.where("turno is null").groupBy("evento").agg(F.max("gabarito").alias("__common"))
+    found = mocks.join(own, ["evento", "turno"], "left").join(common, "evento", "left")
+    return found.select(*[F.col(c) for c in mocks.columns], F.coalesce("__own", "__common").alias("gabarito"))
 
 
 def unmapped(files: DataFrame, mapping: DataFrame, key: str = "nome") -> DataFrame:

@@ -37,21 +37,22 @@ def versions(current: DataFrame) -> DataFrame:
 def next_version(state: DataFrame, answers: DataFrame, by: str = "usuario_id") -> DataFrame:
     """The retry table after a round.
 
-    state: usuario_id, questao_id, versao_tt, zerada; answers: usuario_id, questao_id, acertou. What was
-    answered right is mastered (zerada); what was missed again moves to the user's next version.
+    state: usuario_id, questao_id, versao_tt, acertou, zerada; answers: usuario_id, questao_id, acertou. What was
+    answered right is mastered (zerada, acertou); what was missed again moves to the user's next version and is neither. A question
+    with both answers counts as missed; one without an answer stays as it is.
     """
-    told = answers.groupBy(by, "questao_id").agg(F.bool_or(F.coalesce("acertou", F.lit(False))).alias("certa"))
+    told = answers.groupBy(by, "questao_id").agg(F.bool_and(F.coalesce("acertou", F.lit(False))).alias("certa"))
     joined = state.join(told, [by, "questao_id"], "left").join(current_version(state, by), by, "left")
     return joined.select(
         by, "questao_id",
         F.when(F.col("certa") == F.lit(False), F.col("versao") + 1).otherwise(F.col("versao_tt")).cast("int").alias("versao_tt"),
-        F.when(F.col("certa"), True).otherwise(F.coalesce("zerada", F.lit(False))).alias("zerada"),
+        F.coalesce("certa", "acertou", F.lit(False)).alias("acertou"), F.coalesce("certa", "zerada", F.lit(False)).alias("zerada"),
     )
 
 
 def round_counts(state: DataFrame, answers: DataFrame, by: str = "usuario_id") -> DataFrame:
     """M8: mastered, repeated and the new version, for each user with answers."""
-    told = answers.groupBy(by, "questao_id").agg(F.bool_or(F.coalesce("acertou", F.lit(False))).alias("certa"))
+    told = answers.groupBy(by, "questao_id").agg(F.bool_and(F.coalesce("acertou", F.lit(False))).alias("certa"))
     got = told.join(state.select(by, "questao_id"), [by, "questao_id"], "left_semi")
     counts = got.groupBy(by).agg(F.count_if("certa").alias("zeradas"), F.count_if(~F.col("certa")).alias("repetidas"))
     return counts.join(current_version(state, by), by).select(by, "zeradas", "repetidas", (F.col("versao") + 1).alias("nova_versao"))

@@ -24,6 +24,8 @@ class SearchSpec:
     year_to: int | None = None
     page: int = 1
     page_size: int = fixed.PAGE_SIZE
+    #: Only these questions (P6); a list too long for a condition is a table for among().
+    ids: tuple[int, ...] = ()
     #: Sampling applies tipo to the national exam only; a search applies it to every source.
     sampling: bool = False
     #: % and _ in terms stand for themselves.
@@ -55,6 +57,8 @@ def predicate(spec: SearchSpec) -> Column:
     parts = [F.col("fonte") == source, ~F.col("anulada")]
     known = fixed.SOURCE_FILTERS.get(source, ()) + ("area",) + (("tipo",) if not spec.sampling or source == "ENEM" else ())
     parts += [F.col(k) == v for k, v in spec.filters.items() if k in known and v not in (None, "", 0)]
+    if spec.ids:
+        parts.append(F.col("id").isin(*spec.ids))
     if "ano" in known:
         parts += years(F.col("ano"), spec.year_from, spec.year_to)
     terms = tuple(t.strip() for t in spec.terms if t.strip())
@@ -63,6 +67,21 @@ def predicate(spec: SearchSpec) -> Column:
     return reduce(lambda a, b: a & b, parts)
 
 
+def among(questions: DataFrame, ids: DataFrame) -> DataFrame:
+    """Questions whose id is in a table of ids; repeated ids count once."""
+    return questions.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def labelled(rows: DataFrame, labels: DataFrame, code: str, label: str) -> DataFrame:
+    """The label of a code (labels from schemas.dimension), or the code itself where it has none."""
+    return rows.join(labels, code, "left").withColumn(label, F.coalesce(label, code))
+
+
+def file_order(questions: DataFrame, dia: str) -> DataFrame:
+    """The questions of one day by their number, as in the files; equal numbers by id."""
+    return questions.where(F.col("dia") == dia).orderBy(F.col("numero").asc_nulls_last(), "id")
+
+
 def list_order() -> list[Column]:
     """O1: newest year first, undated ones before, then by number; ids break ties."""
     return [F.col("ano").desc_nulls_first(), F.col("numero").asc_nulls_last(), F.col("id").asc()]

@@ -62,8 +62,8 @@ def binarize(img: np.ndarray) -> np.ndarray:
     return np.where(soft <= _smooth(soft, fixed.THRESHOLD_BLOCK) - fixed.THRESHOLD_OFFSET, 255, 0).astype(np.uint8)
 
 
-def _boxes(mask: np.ndarray) -> np.ndarray:
-    """(x, y, width, height, pixels) of the 8-connected regions, by labels that sink to their neighbourhood's least."""
+def _regions(mask: np.ndarray) -> list[np.ndarray]:
+    """Pixels (x, y) of the 8-connected regions, by labels that sink to their neighbourhood's least."""
     labels = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
     big = mask.size + 1
     while True:
@@ -77,23 +77,66 @@ def _boxes(mask: np.ndarray) -> np.ndarray:
             break
         labels = new
     y, x = np.nonzero(labels)
-    _, which, n = np.unique(labels[y, x], return_inverse=True, return_counts=True)
-    lo = lambda v: np.minimum.reduceat(v[np.argsort(which, kind="stable")], np.cumsum(n) - n)
-    hi = lambda v: np.maximum.reduceat(v[np.argsort(which, kind="stable")], np.cumsum(n) - n)
-    return np.stack([lo(x), lo(y), hi(x) - lo(x) + 1, hi(y) - lo(y) + 1, n], axis=1) if len(n) else np.zeros((0, 5), int)
+    which = labels[y, x]
+    order = np.argsort(which, kind="stable")
+    cuts = np.flatnonzero(np.diff(which[order])) + 1
+    return np.split(np.stack([x, y], axis=1)[order], cuts) if len(order) else []
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull, in turn."""
+
+    def half(own: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for p in own:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    own = sorted(set(map(tuple, points.tolist())))
+    return np.array(half(own) + half(own[::-1]) or own, dtype=float)
+
+
+def corners(outline: np.ndarray, share: float = fixed.MARKER_SLACK) -> int:
+    """How many corners are left of an outline if none that is dropped lies further off than `share` of its length."""
+    n = len(outline)
+    if n < 3:
+        return n
+    slack = share * np.linalg.norm(outline - np.roll(outline, -1, axis=0), axis=1).sum()
+
+    def between(i: int, j: int) -> int:
+        own = outline[np.arange(i + 1, j) % n]
+        if not len(own):
+            return 0
+        a, b = outline[i % n], outline[j % n]
+        d = b - a
+        off = np.abs(d[0] * (own[:, 1] - a[1]) - d[1] * (own[:, 0] - a[0])) / np.linalg.norm(d) if d.any() else np.linalg.norm(own - a, axis=1)
+        k = int(off.argmax())
+        return 0 if off[k] <= slack else 1 + between(i, i + 1 + k) + between(i + 1 + k, j)
+
+    far = int(np.linalg.norm(outline - outline[0], axis=1).argmax())
+    return 2 + between(0, far) + between(far, n)
 
 
 def markers(binary: np.ndarray) -> np.ndarray | None:
-    """V2: the centre of each quarter's marker: a squarish region of fitting size, nearest to the quarter's outer middle; None without all four."""
+    """V2: the centre of each quarter's marker: a region whose outline has a fitting area, a squarish box and three to six corners, nearest to the quarter's outer middle; None without all four."""
     h, w = binary.shape
     least, most = (w * s * h * s for s in fixed.MARKER_SIDES)
+    centres = []
+    for points in _regions(binary > 0):
+        width, height = points.max(axis=0) - points.min(axis=0) + 1
+        if width * height < least or not fixed.MARKER_ASPECT[0] < width / height < fixed.MARKER_ASPECT[1]:
+            continue
+        outline = hull(points)
+        x, y = outline.T
+        area = abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2
+        if least <= area <= most and 3 <= corners(outline) <= 6:
+            centres.append(points.min(axis=0) + np.array([width, height]) // 2)
+    if not centres:
+        return None
+    cx, cy = np.array(centres, dtype=float).T
     found = []
-    boxes = _boxes(binary > 0)
-    boxes = boxes[(boxes[:, 4] >= least) & (boxes[:, 4] <= most)]
-    aspect = boxes[:, 2] / np.maximum(boxes[:, 3], 1)
-    # a filled square covers its box; rings and strokes do not
-    boxes = boxes[(aspect > fixed.MARKER_ASPECT[0]) & (aspect < fixed.MARKER_ASPECT[1]) & (boxes[:, 4] > 0.6 * boxes[:, 2] * boxes[:, 3])]
-    cx, cy = boxes[:, 0] + boxes[:, 2] // 2, boxes[:, 1] + boxes[:, 3] // 2
     for top in (True, False):
         for left in (True, False):
             inside = ((cx <= w // 2) if left else (cx >= w // 2)) & ((cy <= h // 2) if top else (cy >= h // 2))
@@ -102,7 +145,7 @@ def markers(binary: np.ndarray) -> np.ndarray | None:
             far = (cx - w * (1 if left else 7) / 8) ** 2 + (cy - h * (1 if top else 7) / 8) ** 2
             k = np.flatnonzero(inside)[np.argmin(far[inside])]
             found.append((cx[k], cy[k]))
-    return np.array(found, dtype=float)
+    return np.array(found)
 
 
 def ordered(points: np.ndarray) -> np.ndarray:

@@ -151,18 +151,22 @@ def retry_list(spark, sf_dir):
     return review.retry_list(last_answers(spark, sf_dir), questions(spark, sf_dir)).select("usuario_id", "questao_id", "area", "inicio")
 
 
-NEXT = f"""{RETRY}, estado AS (SELECT usuario_id, questao_id, (questao_id % 3 + 1)::INTEGER AS versao_tt, questao_id % 5 = 0 AS zerada FROM ultimas),
+NEXT = f"""{RETRY}, estado AS (SELECT usuario_id, questao_id, (questao_id % 3 + 1)::INTEGER AS versao_tt, questao_id % 7 = 0 AS acertou, questao_id % 5 = 0 AS zerada FROM ultimas),
  v AS (SELECT usuario_id, max(versao_tt) AS versao FROM estado GROUP BY 1), novas AS (SELECT usuario_id, questao_id, acertou FROM ultimas WHERE questao_id % 2 = 0)"""
 
 
 def state_and_answers(spark, sf_dir):
     last = last_answers(spark, sf_dir)
-    state = last.select("usuario_id", "questao_id", (F.col("questao_id") % 3 + 1).cast("int").alias("versao_tt"), (F.col("questao_id") % 5 == 0).alias("zerada"))
+    state = last.select("usuario_id", "questao_id", (F.col("questao_id") % 3 + 1).cast("int").alias("versao_tt"), (F.col("questao_id") % 7 == 0).alias("acertou"), (F.col("questao_id") % 5 == 0).alias("zerada"))
     return state, last.where("questao_id % 2 = 0").select("usuario_id", "questao_id", "acertou")
 
 
-@query(f"""WITH {NEXT} SELECT e.usuario_id, e.questao_id, CASE WHEN n.acertou = false THEN versao + 1 ELSE versao_tt END::INTEGER AS versao_tt, CASE WHEN n.acertou THEN true ELSE zerada END AS zerada
-  FROM estado e LEFT JOIN novas n ON n.usuario_id = e.usuario_id AND n.questao_id = e.questao_id JOIN v ON v.usuario_id = e.usuario_id""")
+# two updates, one after the other: what is right is mastered, then what is wrong moves on
+@query(f"""WITH {NEXT}, certas AS (SELECT e.usuario_id, e.questao_id, e.versao_tt, coalesce(n.acertou, e.acertou) AS acertou, coalesce(n.acertou, e.zerada) AS zerada
+    FROM estado e LEFT JOIN novas n ON n.usuario_id = e.usuario_id AND n.questao_id = e.questao_id AND n.acertou),
+  erradas AS (SELECT usuario_id, questao_id FROM novas WHERE NOT acertou)
+  SELECT usuario_id, questao_id, (versao + 1)::INTEGER AS versao_tt, false AS acertou, false AS zerada FROM certas SEMI JOIN erradas USING (usuario_id, questao_id) JOIN v USING (usuario_id)
+  UNION ALL SELECT * FROM certas ANTI JOIN erradas USING (usuario_id, questao_id)""")
 def next_retry_version(spark, sf_dir):
     return review.next_version(*state_and_answers(spark, sf_dir))
 

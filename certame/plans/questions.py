@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from certame import fixed
-from certame.functions import arrays
+from certame.functions import arrays, text
 from certame.functions.numbers import bubble_grid, decision, spread_page
 from certame.operators import changes, exams, inventory, search
 from certame.operators.search import SearchSpec
 from certame.plans.adapter import ANSWERS_SQL, AREAS_SQL, GRADED_SQL, LETTERS_SQL, QUESTIONS_SQL, answers, questions
 from certame.plans.answers import graded
 from certame.plans.registry import query
+from certame.schemas import dimension
 
 LISTED = "ORDER BY ano DESC NULLS FIRST, numero NULLS LAST, id"
 LIGHT = "id, numero, ano, dia, area, competencia, gabarito"
@@ -21,9 +22,9 @@ def light(df):
     return df.select(*search.LIGHT)
 
 
-@query(f"WITH {QUESTIONS_SQL} SELECT {LIGHT} FROM questoes WHERE fonte = 'ENEM' AND NOT anulada AND ano BETWEEN 2010 AND 2018 AND area = '{fixed.MATEMATICA}' AND tipo = 'PROVA' {LISTED} LIMIT 12 OFFSET 12")
+@query(f"WITH {QUESTIONS_SQL} SELECT {LIGHT} FROM questoes WHERE fonte = 'ENEM' AND NOT anulada AND ano BETWEEN 2010 AND 2018 AND area = '{fixed.NATUREZA}' AND tipo = 'PROVA' {LISTED} LIMIT 12 OFFSET 12")
 def search_enem(spark, sf_dir):
-    return light(search.search(questions(spark, sf_dir), SearchSpec(filters={"area": fixed.MATEMATICA, "tipo": "PROVA", "evento": "CICLO_ZERO", "dia": ""}, year_from=2010, year_to=2018, page=2)))
+    return light(search.search(questions(spark, sf_dir), SearchSpec(filters={"area": fixed.NATUREZA, "tipo": "PROVA", "evento": "CICLO_ZERO", "dia": ""}, year_from=2010, year_to=2018, page=2)))
 
 
 @query(f"WITH {QUESTIONS_SQL} SELECT {LIGHT} FROM questoes WHERE fonte = 'EXATO' AND NOT anulada AND evento = 'CICLO_ZERO' AND turno = 'TARDE' {LISTED} LIMIT 12")
@@ -234,3 +235,66 @@ def spread_pages(spark, sf_dir):
     w = Window.partitionBy("ano")
     n = questions(spark, sf_dir).withColumns({"i": F.row_number().over(w.orderBy("id")) - 1, "c": F.count("*").over(w)})
     return n.select("id", F.coalesce("pagina_pdf", spread_page(F.col("i"), F.col("c"), 2, F.lit(32))).alias("pagina"))
+
+
+def _values(labels: dict[str, str]) -> str:
+    return "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in labels.items()) + ")"
+
+
+@query(f"WITH {QUESTIONS_SQL} SELECT q.id, coalesce(e.r, q.evento) AS rotulo, coalesce(d.r, q.dia) AS dia_rotulo FROM questoes q LEFT JOIN {_values(fixed.EVENT_LABELS)} e(c, r) ON e.c = q.evento LEFT JOIN {_values(fixed.DAY_LABELS)} d(c, r) ON d.c = q.dia")
+def event_and_day_labels(spark, sf_dir):
+    events, days = dimension(spark, fixed.EVENT_LABELS, "evento", "rotulo"), dimension(spark, fixed.DAY_LABELS, "dia", "dia_rotulo")
+    return search.labelled(search.labelled(questions(spark, sf_dir), events, "evento", "rotulo"), days, "dia", "dia_rotulo").select("id", "rotulo", "dia_rotulo")
+
+
+@query(f"WITH {QUESTIONS_SQL} SELECT id, numero, row_number() OVER (ORDER BY numero NULLS LAST, id) AS lugar FROM questoes WHERE dia = 'dia2'")
+def file_order(spark, sf_dir):
+    rows = search.file_order(questions(spark, sf_dir), "dia2")
+    listed = rows.agg(F.collect_list(F.struct("numero", "id")).alias("l"))  # one day of one bank: the file that is listed
+    return listed.select(F.posexplode("l").alias("k", "r")).select("r.id", "r.numero", (F.col("k") + 1).cast("long").alias("lugar"))
+
+
+@query(f"WITH {QUESTIONS_SQL} SELECT id, fonte FROM questoes WHERE id IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 7)")
+def questions_among(spark, sf_dir):
+    ids = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity = 7").select(F.col("l_partkey").alias("id"))
+    return search.among(questions(spark, sf_dir), ids).select("id", "fonte")
+
+
+@query(f"WITH {QUESTIONS_SQL} SELECT {LIGHT} FROM questoes WHERE fonte = 'ENEM' AND NOT anulada AND id IN (3, 6, 9, 12, 30) {LISTED} LIMIT 12")
+def search_ids(spark, sf_dir):
+    return light(search.search(questions(spark, sf_dir), SearchSpec(ids=(3, 6, 9, 12, 30))))
+
+
+@query(f"""WITH {QUESTIONS_SQL} SELECT id, 'Explique, de forma clara e didática, como se resolve a questão.' || chr(10) || chr(10) || 'ENEM ' || coalesce(ano::VARCHAR, '') || ', questão ' || numero || chr(10) || chr(10)
+  || p_name || chr(10) || chr(10) || p_type || chr(10) || chr(10) || p_brand || chr(10) || chr(10) || coalesce(comando, '') || chr(10) || chr(10) || 'Alternativas:' || chr(10)
+  || 'A) ' || p_size || chr(10) || 'B) ' || (p_size + 1) || chr(10) || 'C) ' || (p_size + 2) || chr(10) || 'D) ' || (p_size + 3) || chr(10) || 'E) ' || (p_size + 4)
+  || chr(10) || chr(10) || 'Gabarito: ' || coalesce(gabarito, '') || chr(10) || chr(10) || 'Diga por que essa alternativa é a correta e por que as demais estão erradas.' AS pedido FROM questoes""")
+def explain_prompts(spark, sf_dir):
+    pedido = text.explain_prompt(*[F.col(c) for c in ("ano", "numero", "enunciado", "comando", "alternativas", "gabarito")])
+    return questions(spark, sf_dir).select("id", pedido.alias("pedido"))
+
+
+@query(f"WITH {QUESTIONS_SQL} SELECT id FROM questoes WHERE competencia IS NULL OR competencia = ''")
+def unclassified_questions(spark, sf_dir):
+    return search.unclassified(questions(spark, sf_dir)).select("id")
+
+
+@query(f"WITH {QUESTIONS_SQL} SELECT id FROM questoes WHERE contains(p_name, 'green') OR contains(p_type, 'green') OR contains(p_brand, 'green')")
+def placeholder_questions(spark, sf_dir):
+    return search.placeholder_left(questions(spark, sf_dir), "green").select("id")
+
+
+@query("SELECT doc_id, text FROM documents ORDER BY doc_id DESC NULLS FIRST LIMIT 500")
+def latest_texts(spark, sf_dir):
+    return search.latest(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
+
+
+@query("""WITH n AS (SELECT p_partkey AS k, p_name FROM part), old AS (SELECT k AS id, p_name AS titulo FROM n WHERE k % 2 = 0), maior AS (SELECT coalesce(max(id), 0) AS m FROM old)
+  SELECT count(*) AS linhas, count(DISTINCT id) AS ids, max(id) AS ultimo, sum(id)::BIGINT AS soma, count(*) FILTER (titulo = 'novo') AS trocadas FROM (
+  SELECT id, CASE WHEN id % 10 = 0 THEN 'novo' ELSE titulo END AS titulo FROM old UNION ALL SELECT m + row_number() OVER (ORDER BY k), p_name FROM n, maior WHERE k % 2 = 1)""")
+def insert_or_patch_totals(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("titulo"))
+    old = part.where("id % 2 = 0")
+    new = old.where("id % 10 = 0").withColumn("titulo", F.lit("novo")).union(part.where("id % 2 = 1").withColumn("id", F.lit(None).cast("long")))
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return changes.insert_or_patch(old, new, top + 1).agg(F.count("*").alias("linhas"), F.count_distinct("id").alias("ids"), F.max("id").alias("ultimo"), F.sum("id").alias("soma"), F.count_if(F.col("titulo") == "novo").alias("trocadas"))

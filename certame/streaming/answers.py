@@ -40,7 +40,7 @@ EXPIRED = "simulado_id long, respostas long, expirou boolean"
 
 
 def expire(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Counts a mock's events until its time (three minutes a question from its start) is over by event time."""
+    """Counts a mock's events until its time is over by event time; then its one row goes out and its state goes."""
     if state.hasTimedOut:
         n = state.get[0]
         state.remove()
@@ -55,7 +55,11 @@ def expire(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
 
 
 def timeouts(events: DataFrame, late: str = "1 minute") -> DataFrame:
-    """Events (simulado_id, ts, iniciado_em, total_questoes) to a row for each mock whose time has run out."""
+    """Events (simulado_id, ts, iniciado_em, total_questoes) to one row for each mock whose time has run out.
+
+    A mock ends three minutes a question after its start. Events after its end don't count; those before it that come after the
+    watermark has passed the end are late, and Spark leaves them out, so no state starts anew.
+    """
     end = (F.unix_millis("iniciado_em") + F.col("total_questoes") * (fixed.MINUTES_PER_QUESTION * 60_000)).cast("long")
-    timed = events.withColumn("fim_ms", end).withWatermark("ts", late)
+    timed = events.withColumn("fim_ms", end).where(F.unix_millis("ts") <= F.col("fim_ms")).withWatermark("ts", late)
     return timed.groupBy("simulado_id").applyInPandasWithState(expire, EXPIRED, "n long, fim long", "append", GroupStateTimeout.EventTimeTimeout)

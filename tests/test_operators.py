@@ -116,10 +116,10 @@ def test_pending_changes(spark):
 
 
 def test_retry_versions(spark):
-    state = spark.createDataFrame([("u", 1, 1, False), ("u", 2, 3, False), ("v", 1, None, None)], "usuario_id string, questao_id long, versao_tt int, zerada boolean")
-    told = spark.createDataFrame([("u", 1, True), ("u", 2, None), ("w", 9, True)], "usuario_id string, questao_id long, acertou boolean")
-    got = {(r.usuario_id, r.questao_id): (r.versao_tt, r.zerada) for r in review.next_version(state, told).collect()}
-    assert got == {("u", 1): (1, True), ("u", 2): (4, False), ("v", 1): (None, False)}
+    state = spark.createDataFrame([("u", 1, 1, False, False), ("u", 2, 3, True, True), ("u", 3, 3, True, True), ("u", 4, 1, True, True), ("v", 1, None, None, None)], "usuario_id string, questao_id long, versao_tt int, acertou boolean, zerada boolean")
+    told = spark.createDataFrame([("u", 1, True), ("u", 2, None), ("u", 4, True), ("u", 4, False), ("w", 9, True)], "usuario_id string, questao_id long, acertou boolean")
+    got = {(r.usuario_id, r.questao_id): (r.versao_tt, r.acertou, r.zerada) for r in review.next_version(state, told).collect()}
+    assert got == {("u", 1): (1, True, True), ("u", 2): (4, False, False), ("u", 3): (3, True, True), ("u", 4): (4, False, False), ("v", 1): (None, False, False)}
 
 
 def test_clicks_leave_the_last_run(spark):
@@ -215,13 +215,15 @@ def test_stream_of_mocks_that_run_out(spark, tmp_path):
     shape = "simulado_id long, ts timestamp, iniciado_em timestamp, total_questoes int"
     start = datetime(2024, 1, 1, 10, 0)
     rows = [[(1, datetime(2024, 1, 1, 10, 1), start, 2), (1, datetime(2024, 1, 1, 10, 2), start, 2)], [(2, datetime(2024, 1, 1, 12, 0), datetime(2024, 1, 1, 11, 59), 60)], [(2, datetime(2024, 1, 1, 12, 5), datetime(2024, 1, 1, 11, 59), 60)]]
+    # after its end, and before it but after the watermark: neither counts, nor gives a second row
+    rows += [[(1, datetime(2024, 1, 1, 12, 6), start, 2), (1, datetime(2024, 1, 1, 10, 3), start, 2)], [(2, datetime(2024, 1, 1, 12, 9), datetime(2024, 1, 1, 11, 59), 60)]]
     stream = answers.timeouts(answers.event_stream(spark, source, shape)) if spark.createDataFrame(rows[0], shape).coalesce(1).write.parquet(source) is None else None
     for k, own in enumerate(rows):
         if k:
             spark.createDataFrame(own, shape).coalesce(1).write.mode("append").parquet(source)
         stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
-    got = {r.simulado_id: (r.respostas, r.expirou) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {1: (2, True)}
+    got = [(r.simulado_id, r.respostas, r.expirou) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert got == [(1, 2, True)]
 
 
 def test_blank_sheets_are_refused():
