@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from certame.llm.kernels import mix, text_slices, word_hashes
 from certame.llm.storage import drop_shuffles, staged
 
-#: Words are 56-bit hashes; these two stand for a text's start and end.
+#: Words are 64-bit hashes; these two stand for a text's start and end.
 START, END = 1, 2
 #: Bigrams seen less often in training have no place in the table; at 1 all have one.
 LEAST_COUNT = 1
@@ -31,7 +31,6 @@ HOT_SHARE, SALTS = 1 / 1000, 16
 PARTITION_TOKENS = 1_250_000
 BATCH_TOKENS = 750_000
 HELD_OUT = (7, 2)
-LOW = np.uint64((1 << 40) - 1)
 
 
 def pack(**columns: np.ndarray) -> bytes:
@@ -55,7 +54,7 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def _parts(h: np.ndarray, w: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
-    salt = np.where(np.isin(h, hot), (w & LOW) % np.uint64(SALTS), np.uint64(0)) if len(hot) else np.uint64(0)
+    salt = np.where(np.isin(h, hot), w % np.uint64(SALTS), np.uint64(0)) if len(hot) else np.uint64(0)
     return ((mix(h + salt * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
@@ -64,7 +63,6 @@ def _pairs(batches: Iterator[pa.RecordBatch], training: bool, most: int = BATCH_
     ids, found, n = [], [], 0
     for batch, data, at in text_slices(batches):
         words, rows = word_hashes(data, at)
-        words >>= np.uint64(8)
         own = batch.column(0).to_pylist()
         size = np.diff(rows) + 1
         first = np.cumsum(size) - size
@@ -93,18 +91,7 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _bytes(values: np.ndarray, width: int) -> np.ndarray:
-    """The low bytes of integers, as planes pack() takes."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).view(f"V{width}").ravel()
-
-
-def _whole(values: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(values), 8), np.uint8)
-    out[:, : values.dtype.itemsize] = values.view(np.uint8).reshape(len(values), -1)
-    return out.view("<u8").ravel()
-
-
-PAIR_KINDS = {"h": "<u8", "run": "<u4", "w": "V7", "n": "<u4"}
+PAIR_KINDS = {"h": "<u8", "run": "<u4", "w": "<u8", "n": "<u4"}
 
 
 def _deal(part: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
@@ -126,7 +113,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], parts: int, hot: np.ndarray)
         for p, a, b in _deal(part, parts):
             head = _runs(h[a:b])
             run = np.diff(np.append(head, b - a)).astype("<u4")
-            out.append((p, pack(h=np.diff(h[a:b][head], prepend=np.uint64(0)), run=run, w=_bytes(w[a:b], 7), n=n[a:b].astype("<u4"))))
+            out.append((p, pack(h=np.diff(h[a:b][head], prepend=np.uint64(0)), run=run, w=w[a:b], n=n[a:b].astype("<u4"))))
         if out:
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["part", "found"])
 
@@ -140,7 +127,7 @@ def _add_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
     for batch in batches:
         for raw in batch.column(1).to_pylist():
             x = unpack(raw, **PAIR_KINDS)
-            got.append((np.repeat(np.cumsum(x["h"], dtype=np.uint64), x["run"]), _whole(x["w"]), x["n"].astype(np.int64)))
+            got.append((np.repeat(np.cumsum(x["h"], dtype=np.uint64), x["run"]), x["w"], x["n"].astype(np.int64)))
     if not got:
         return
     h, w, n = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -262,7 +249,7 @@ def fit(docs: DataFrame, least: int = LEAST_COUNT) -> Model:
 
 
 WORDS = {"w": "<u8", "c": "<i8", "p": "<f8", "a": "<f8"}
-ASK = {"h": "<u8", "run": "<u4", "w": "V5", "doc": "<u4"}
+ASK = {"h": "<u8", "run": "<u4", "w": "<u8", "times": "<u4", "doc": "<u4"}
 NAMES = {"ids": "<i8", "null": "u1"}
 ASKED, WORD, PAIR, NAMED = range(4)
 
@@ -292,9 +279,11 @@ def _ask(batches: Iterator[pa.RecordBatch], parts: int, hot: np.ndarray) -> Iter
         h, w, doc, part = h[order], w[order], doc[order], part[order]
         out = []
         for p, a, b in _deal(part, parts):
-            head = _runs(h[a:b])
-            run = np.diff(np.append(head, b - a)).astype("<u4")
-            out.append((p, pack(h=np.diff(h[a:b][head], prepend=np.uint64(0)), run=run, w=_bytes(w[a:b], 5), doc=doc[a:b].astype("<u4"))))
+            pair = _runs(h[a:b], w[a:b])
+            hs, ws = h[a:b][pair], w[a:b][pair]
+            head = _runs(hs)
+            run, times = (np.diff(np.append(x, n)).astype("<u4") for x, n in ((head, len(pair)), (pair, b - a)))
+            out.append((p, pack(h=np.diff(hs[head], prepend=np.uint64(0)), run=run, w=ws, times=times, doc=doc[a:b].astype("<u4"))))
         # the documents that the batch numbers, once
         out.append((batch_id % parts, pack(ids=np.array([i or 0 for i in ids], np.int64), null=np.array([i is None for i in ids], np.uint8))))
         kinds = [ASKED] * (len(out) - 1) + [NAMED]
@@ -324,12 +313,12 @@ def _answer(batches: Iterator[pa.RecordBatch], unknown: float) -> Iterator[pa.Re
     order = np.argsort(words["w"], kind="stable")
     words = {k: v[order] for k, v in words.items()}
     # a bigram is looked up by the hash of both, and then held against both
-    key = mix(pairs["h"] ^ mix(pairs["w"] & LOW))
+    key = mix(pairs["h"] ^ mix(pairs["w"]))
     order = np.argsort(key, kind="stable")
     key, pairs = key[order], {k: v[order] for k, v in pairs.items()}
     for n, raw in asked:
         x = unpack(raw, **ASK)
-        head, doc, w = np.cumsum(x["h"], dtype=np.uint64), x["doc"].astype(np.int64), _whole(x["w"])
+        head, doc, w = np.cumsum(x["h"], dtype=np.uint64), x["doc"].astype(np.int64), x["w"]
         size = int(doc.max()) + 1
         at = np.searchsorted(words["w"], head)
         at[at == len(words["w"])] = 0
@@ -340,11 +329,13 @@ def _answer(batches: Iterator[pa.RecordBatch], unknown: float) -> Iterator[pa.Re
         # the history's backoff weight, and its own probability as the word of the token before
         score = take("a", 0.0) + np.where(start, 0.0, np.where(count > 0, take("p", 0.0), unknown))
         base = np.log10(count + 1.0)
-        of = np.repeat(np.arange(len(head)), x["run"])
+        of = np.repeat(np.arange(len(head)), x["run"])  # the history of each pair
         h = head[of]
         k = np.searchsorted(key, own := mix(h ^ mix(w)))
         k[k == len(key)] = 0
-        gain = np.where((key[k] == own) & (pairs["h"][k] == h), pairs["y"][k], 0.0) if len(key) else np.zeros(len(h))
+        gain = np.where((pairs["h"][k] == h) & (pairs["w"][k] == w), pairs["y"][k], 0.0) if len(key) else np.zeros(len(h))
+        pair = np.repeat(np.arange(len(h)), x["times"])  # the pair of each token
+        gain, of = gain[pair], of[pair]
         total = np.bincount(doc, weights=score[of] + gain, minlength=size)
         bases, knows, tokens = np.bincount(doc, weights=base[of], minlength=size), np.bincount(doc, weights=(count > 0)[of], minlength=size), np.bincount(doc, minlength=size)
         some = np.flatnonzero(tokens)
