@@ -185,12 +185,12 @@ def frequent_words(docs: DataFrame, share: float = HOT_SHARE) -> tuple[int, np.n
         for _, h, _, _ in _pairs(batches, False):
             w, n = np.unique(h, return_counts=True)
             top = n >= share * len(h)
-            yield pa.record_batch([pa.array(np.append(w[top], 0).astype(np.int64)), pa.array(np.append(n[top], len(h)).astype(np.int64))], ["w", "n"])
+            yield pa.record_batch([pa.array(np.append(w[top].view(np.int64), 0)), pa.array(np.append(n[top], len(h)).astype(np.int64))], ["w", "n"])
 
     sums = docs.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     got = {w: n for w, n in sums.orderBy(F.desc("n"), "w").limit(int(2 / share) + 1).collect()}
     total = got.pop(0, 0)
-    return total, np.array(sorted(w for w, n in got.items() if n >= share * total / 2), dtype=np.uint64)
+    return total, np.array(sorted(w for w, n in got.items() if n >= share * total / 2), dtype=np.int64).view(np.uint64)
 
 
 PACKED = {"h": "<u8", "w": "<u8", "y": "<f8"}
