@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certame.llm.kernels import LOWER, prefix_hash, span_hash, text_slices, word_spans
+from certame.llm.kernels import LOWER, quick_hash, text_hash, text_slices, word_spans
 
 #: Items of the benchmark that share a latent space; pieces of long items count each.
 BLOCK_ITEMS = 256
@@ -39,7 +39,8 @@ NO_WORD[48:58] = NO_WORD[65:91] = NO_WORD[97:123] = NO_WORD[128:] = False
 def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = LOWER[data]
     start, end, rows = word_spans(low, at, NO_WORD)
-    return span_hash(prefix_hash(low), start, end), rows
+    # the share of an item's words that a passage holds decides, so the quick hash will do
+    return quick_hash(text_hash(low), start, end), rows
 
 
 def _bucket(words: np.ndarray) -> np.ndarray:
