@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from certame.llm.kernels import mix, text_slices, word_hashes
-from certame.llm.storage import drop_shuffles, staged
+from certame.llm.storage import drop_shuffles, removed, staged
 
 #: Words are 64-bit hashes; these two stand for a text's start and end.
 START, END = 1, 2
@@ -228,6 +228,7 @@ def fit(docs: DataFrame, least: int = LEAST_COUNT) -> Model:
     kept = F.least(F.lit(1.0), F.col("n") / (F.col("n") + 1) / (F.col("m") / F.col("n")))
     mass = mass.select("h", "n", kept.alias("keep"), F.log10((1 - kept * F.col("m") / F.col("n")) / (1 - F.col("u"))).alias("a"))
     mass = staged(mass, "backoff")
+    drop_shuffles(docs.sparkSession)
 
     def shelve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,6 +245,7 @@ def fit(docs: DataFrame, least: int = LEAST_COUNT) -> Model:
     words = counts.unionByName(histories.where(F.col("h") == START).select(F.col("h").alias("w"), F.lit(0).cast("long").alias("c")))
     words = words.join(mass.select(F.col("h").alias("w"), "a"), "w", "left").select("w", "c", F.when(F.col("c") > 0, F.log10(prob)).otherwise(0.0).alias("p"), F.coalesce("a", F.lit(0.0)).alias("a"))
     words = staged(words, "words")
+    removed(counted, histories, mass)
     drop_shuffles(docs.sparkSession)
     return Model(words, pairs, tokens, distinct, float(np.log10(unknown)), parts, hot)
 
