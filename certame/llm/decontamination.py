@@ -22,6 +22,8 @@ DF_BUCKETS = 1 << 18
 SLAB = 1 << 13
 #: Passages that are compared with items at a time.
 COMPARED = 1 << 16
+#: Blocks of words that are projected at a time.
+COMPARED_BLOCKS = 512
 #: Least weight of a benchmark's word, however many documents hold it, and most weight of any other word.
 LEAST_WEIGHT = 1.0
 #: Passages: PASSAGE_BLOCKS blocks of BLOCK_WORDS words, a passage from each block.
@@ -244,6 +246,32 @@ def _places(words: np.ndarray, index: Index) -> np.ndarray:
     return np.where(index.vocabulary[at] == words, at, len(index.vocabulary))
 
 
+def _latent(terms: np.ndarray, latent: np.ndarray) -> np.ndarray:
+    """For each block the sum of its words' places in the latent space; `terms` holds the words of the benchmark first, then the number past the last term."""
+    out = np.zeros((len(terms), latent.shape[1]), dtype=latent.dtype)
+    for k in range(terms.shape[1]):
+        own = np.flatnonzero(terms[:, k] < len(latent))
+        if not len(own):
+            break
+        if len(own) == len(out):
+            out += latent[terms[:, k]]
+        else:
+            out[own] += latent[terms[own, k]]
+    return out
+
+
+def _passages(blocks: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The sum of each block and the PASSAGE_BLOCKS - 1 after it, as far as they belong to the same row."""
+    out = blocks.copy()
+    for k in range(1, min(PASSAGE_BLOCKS, len(blocks))):
+        inside = row[k:] == row[:-k]
+        if inside.all():
+            out[:-k] += blocks[k:]
+        else:
+            out[:-k] += blocks[k:] * inside[:, None]
+    return out
+
+
 def _search(words: np.ndarray, places: np.ndarray, rows: np.ndarray, index: Index, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, item, first word and cosine of every passage whose cosine to an item is `cosine` at least, by row."""
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
@@ -253,35 +281,36 @@ def _search(words: np.ndarray, places: np.ndarray, rows: np.ndarray, index: Inde
     if not first_block[-1]:
         return none
     row_of_word = np.repeat(np.arange(len(lengths)), lengths)
-    block = first_block[row_of_word] + (np.arange(len(words)) - rows[row_of_word]) // BLOCK_WORDS
+    place = np.arange(len(words)) - rows[row_of_word]
+    block = first_block[row_of_word] + place // BLOCK_WORDS
     weight = index.weights[_bucket(words)]
-    norm = np.bincount(block, weights=weight * weight, minlength=first_block[-1])
-    hit = np.flatnonzero(places < len(index.vocabulary))
-    if not len(hit):
-        return none
+    size = np.bincount(block, weights=weight * weight, minlength=first_block[-1])
     row_of_block = np.repeat(np.arange(len(lengths)), blocks)
-    # only blocks with words of the benchmark have a place in the latent space
-    own, cuts = np.unique(block[hit], return_index=True)
-    latent = np.zeros((first_block[-1], index.latent.shape[1]), dtype=np.float32)
-    latent[own] = np.add.reduceat(index.latent[places[hit]], cuts, axis=0)
-    passage, size = latent.copy(), norm.copy()
-    for k in range(1, PASSAGE_BLOCKS):
-        if k < len(latent):
-            inside = row_of_block[k:] == row_of_block[:-k]
-            passage[:-k] += latent[k:] * inside[:, None]
-            size[:-k] += norm[k:] * inside
-    size = np.sqrt(size)
-    # no cosine is above the share of a passage that lies in the latent space
-    likely = np.flatnonzero(np.linalg.norm(passage, axis=1) >= np.maximum(cosine * size, 1e-9))
-    score = passage[likely] @ index.targets.T / size[likely, None]
-    p, piece = np.nonzero(score >= cosine)
-    item, value = index.owners[piece], score[p, piece].astype(np.float64)
+    terms = np.full((first_block[-1], BLOCK_WORDS), len(index.vocabulary))
+    terms[block, place % BLOCK_WORDS] = places
+    terms.sort(axis=1)  # words of the benchmark first
+    size = np.sqrt(_passages(size[:, None], row_of_block)[:, 0])
+    got = []
+    for lo in range(0, len(terms), COMPARED_BLOCKS):  # portions that stay in the processor's cache
+        hi = min(lo + COMPARED_BLOCKS, len(terms))
+        # the last passages reach into the blocks of the next portion
+        near = slice(lo, hi + PASSAGE_BLOCKS - 1)
+        passage = _passages(_latent(terms[near], index.latent), row_of_block[near])[: hi - lo]
+        # no cosine is above the share of a passage that lies in the latent space
+        likely = np.flatnonzero(np.sqrt(np.einsum("ij,ij->i", passage, passage)) >= np.maximum(cosine * size[lo:hi], 1e-9))
+        score = passage[likely] @ index.targets.T
+        score /= size[lo + likely, None]
+        flat = np.flatnonzero(score >= cosine)
+        q, piece = np.divmod(flat, score.shape[1])
+        got.append((lo + likely[q], piece, score.ravel()[flat]))
+    p, piece, value = (np.concatenate(x) for x in zip(*got, strict=True))
+    item, value = index.owners[piece], value.astype(np.float64)
     if len(index.owners) > len(index.items):  # a passage and an item once, by the piece of the highest cosine
         order = np.lexsort((-value, item, p))
         order = order[np.append(True, (np.diff(p[order]) != 0) | (np.diff(item[order]) != 0))] if len(order) else order
         p, item, value = p[order], item[order], value[order]
-    row = row_of_block[likely[p]]
-    return row, item, rows[row] + (likely[p] - first_block[row]) * BLOCK_WORDS, value
+    row = row_of_block[p]
+    return row, item, rows[row] + (p - first_block[row]) * BLOCK_WORDS, value
 
 
 SCHEMA = "doc_id long, contaminated boolean, item_id long, cosine double, lcs double, answer double"
