@@ -20,6 +20,8 @@ PRIME = (1 << 31) - 1
 #: The bases of the two lanes.
 BASES = (0x3C6EF372, 0x1B873593)
 SLICE_BYTES = 1 << 20
+#: For kernels that hold many numbers for each byte.
+SMALL_SLICE = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from certame.llm.kernels import LOWER, list_array, text_slices
+from certame.llm.kernels import LOWER, SMALL_SLICE, list_array, text_slices
 from certame.llm.storage import staged
 
 #: No language: what is likelier drawn evenly from all features than from any language.
@@ -68,7 +68,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> TextModel:
     sample = docs.select("doc_id", "text", "lang").where("lang is not null").join(F.broadcast(chosen.distinct()), "doc_id").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, at in text_slices(batches):
+        for batch, data, at in text_slices(batches, most=SMALL_SLICE):
             names, kind = np.unique(np.array(batch.column(0).to_pylist(), dtype=object).astype(str), return_inverse=True)
             bucket, row = features(data, at)
             n = np.bincount(kind[row] * BUCKETS + bucket, minlength=len(names) * BUCKETS)
@@ -105,7 +105,7 @@ def identify(rows: DataFrame, model: TextModel, accept: float = ACCEPT) -> DataF
     shared = model.table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, at in text_slices(batches):
+        for batch, data, at in text_slices(batches, most=SMALL_SLICE):
             bucket, row = features(data, at)
             n = np.bincount(row, minlength=batch.num_rows)
             log = np.stack([np.bincount(row, weights=shared[bucket, k], minlength=batch.num_rows) for k in range(len(names))], axis=1).astype(np.float64)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from certame.llm.components import components
-from certame.llm.kernels import list_array, set_digest, shingle_sets, text_slices, word_hashes
+from certame.llm.kernels import SMALL_SLICE, list_array, set_digest, shingle_sets, text_slices, word_hashes
 from certame.llm.storage import drop_shuffles, staged
 
 WIDTH = 5
@@ -24,7 +24,7 @@ SIDE = (("rep", ""), ("n_shingles", "_n"), ("common", "_s"), ("component", "_c")
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], width: int, size: int) -> Iterator[pa.RecordBatch]:
-    for batch, data, at in text_slices(batches):
+    for batch, data, at in text_slices(batches, most=SMALL_SLICE):
         n, digest, low = [], [], []
         for values in shingle_sets(*word_hashes(data, at), width):
             n.append(len(values))
@@ -35,7 +35,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int, size: int) -> Itera
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch, data, at in text_slices(batches):
+    for batch, data, at in text_slices(batches, most=SMALL_SLICE):
         low = list(shingle_sets(*word_hashes(data, at), width))
         yield pa.record_batch([batch.column(0), list_array(np.concatenate(low).view(np.int64), np.append(0, np.cumsum([len(x) for x in low])), pa.int64())], ["doc_id", "shingles"])
 

@@ -15,10 +15,10 @@ BATCH_ROWS = 1000
 RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to BATCH_ROWS rows, unless someone has set them."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Sets the session's Arrow batches to `rows` rows, unless someone has set them."""
     if spark.conf.get(RECORDS) == "10000":
-        spark.conf.set(RECORDS, BATCH_ROWS)
+        spark.conf.set(RECORDS, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:

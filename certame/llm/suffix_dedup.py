@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from certame.llm.kernels import MULT_INV, mix, powers, prefix_hash, quick_hash, rolling_hash, same_spans, span_value, text_buffers, text_hash, text_slices
+from certame.llm.kernels import MULT_INV, SMALL_SLICE, mix, powers, prefix_hash, quick_hash, rolling_hash, same_spans, span_value, text_buffers, text_hash, text_slices
 from certame.llm.storage import drop_shuffles, removed, staged
 
 LENGTH = 100
@@ -100,7 +100,7 @@ def frequent_anchors(known: DataFrame, length: int, gram: int, share: float = HO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
-        for _, data, at in text_slices(batches):
+        for _, data, at in text_slices(batches, most=SMALL_SLICE):
             kept.append(anchors(data, at, length, gram)["fp"])
             size += len(kept[-1])
             if size >= BATCH_ANCHORS:
@@ -137,7 +137,7 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int, fre
         return _record(ANCHOR, c)
 
     size = 0
-    for batch, data, at in text_slices(batches):
+    for batch, data, at in text_slices(batches, most=SMALL_SLICE):
         x = anchors(data, at, length, gram)
         row, fp = x.pop("row"), x.pop("fp")
         x["doc_id"], x["sub"] = _column(batch, 0)[row], _column(batch, 1)[row]
