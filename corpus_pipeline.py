@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from certame.llm import decontamination, language, neardup, packing, suffix_dedup
 from certame.llm.storage import keep_until_exit, removed, shared_dir, small_batches, staged, table, without
 
+#: Rows of an Arrow batch: executors keep the memory of all stages before.
+PIPELINE_BATCH_ROWS = 250
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled rows know stay; the others, and those without letters, go."""
-    small_batches(spark)
+    small_batches(spark, PIPELINE_BATCH_ROWS)
     docs = docs.where("doc_id is not null")
     found = language.identify(language.document_rows(docs), language.train(docs))
     return without(docs, found.where("not accepted").select(F.col("key").alias("doc_id")))
@@ -34,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stand earlier in the corpus are cut from the texts; every document stays."""
-    small_batches(spark)
+    small_batches(spark, PIPELINE_BATCH_ROWS)
     return suffix_dedup.without_repeats(docs)
 
 
@@ -46,7 +49,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 token ids, in pieces of documents."""
-    small_batches(spark)
+    small_batches(spark, PIPELINE_BATCH_ROWS)
     return packing.pack(docs)
 
 
