@@ -22,11 +22,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests, one machine), a temporary one is set."""
+    """The folder named in spark.checkpoint.dir; where it is unset, a temporary one on one machine (tests), and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         at = spark.sparkContext.getCheckpointDir()
         if at is None:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="certame-"))
             at = spark.sparkContext.getCheckpointDir()
         named = at
