@@ -165,6 +165,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
             yield batch.slice(lo, hi - lo), data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
             lo = hi
+    # Spark keeps the process for later tasks
+    pa.default_memory_pool().release_unused()
 
 
 def word_spans(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
