@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certame.llm import decontamination, katz, language, licences, neardup, packing, suffix_dedup, token_files, topk, url_filter
+from certame.llm import decontamination, filter_audit, katz, language, licences, neardup, packing, suffix_dedup, token_files, topk, url_filter
 from certame.llm.storage import table
 
 
@@ -52,6 +52,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_near_duplicates, op4_decontamination, op5_packing, op6_katz_score, op7_top_search, op8_suffix_dedup, op9_licenses, op10_token_files)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
-ORACLES: dict[str, str] = {}
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_near_duplicates, op4_decontamination, op5_packing, op6_katz_score, op7_top_search, op8_suffix_dedup, op9_licenses, op10_token_files, op11_filter_audit)}
+
+ORACLES: dict[str, str] = {"op11_filter_audit": filter_audit.SQL}
