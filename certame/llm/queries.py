@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certame.llm import decontamination, filter_audit, katz, language, licences, neardup, packing, suffix_dedup, token_files, topk, url_filter
+from certame.llm import decontamination, divergence, filter_audit, katz, language, licences, neardup, packing, secrets, suffix_dedup, token_files, topk, url_filter
 from certame.llm.storage import table
 
 
@@ -56,6 +56,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_near_duplicates, op4_decontamination, op5_packing, op6_katz_score, op7_top_search, op8_suffix_dedup, op9_licenses, op10_token_files, op11_filter_audit)}
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.find_secrets(docs, secrets.train(secrets.labelled_samples(docs))))
 
-ORACLES: dict[str, str] = {"op11_filter_audit": filter_audit.SQL}
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_near_duplicates, op4_decontamination, op5_packing, op6_katz_score, op7_top_search, op8_suffix_dedup, op9_licenses, op10_token_files, op11_filter_audit, op12_secret_scan, op13_source_divergence)}
+
+ORACLES: dict[str, str] = {"op11_filter_audit": filter_audit.SQL, "op13_source_divergence": divergence.SQL}
