@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from certame.llm.storage import staged
@@ -34,11 +34,19 @@ def mask_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     E is failed by a row whose text also stands under a smaller doc_id. A doc_id is good (toxic) if any of its labels says so.
     """
     rows = staged(failures(docs), "failures")
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    named = rows.where("doc_id is not null")
     told = labels.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("quality") == 1).alias("good"), F.bool_or(F.col("toxic") == 1).alias("toxic"))
-    copied = F.when(F.col("doc_id") > F.col("first"), 1 << LETTERS.index("E")).otherwise(0)
-    marked = rows.join(first, "digest", "left").join(told, "doc_id", "left")
-    return marked.groupBy("part", (F.col("mask") + copied).alias("mask")).agg(F.count("*").alias("n"), F.count_if("good").alias("good"), F.count_if("toxic").alias("toxic"))
+    cell = ["digest", "part", "mask", "good", "toxic"]
+    by_id = named.join(told, "doc_id", "left").groupBy("doc_id", *cell).agg(F.count("*").alias("n"))
+    # copies of one text meet as a row for each part and label, before they move
+    cells = by_id.groupBy(*cell).agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "n")).alias("lead"))
+    first = F.min("lead.doc_id").over(Window.partitionBy("digest"))
+    alone = F.when(F.col("lead.doc_id") == F.col("first"), F.col("lead.n")).otherwise(0)
+    both = F.array(F.struct("mask", alone.alias("n")), F.struct((F.col("mask") + (1 << LETTERS.index("E"))).alias("mask"), (F.col("n") - alone).alias("n")))
+    split = cells.withColumn("first", first).select("part", "good", "toxic", F.inline(both))
+    nameless = rows.where("doc_id is null").groupBy("part", "mask").agg(F.count("*").alias("n")).select("part", F.lit(None).cast("boolean").alias("good"), F.lit(None).cast("boolean").alias("toxic"), "mask", "n")
+    of = lambda label: F.sum(F.when(F.col(label), F.col("n")).otherwise(0)).alias(label)
+    return split.unionByName(nameless).groupBy("part", "mask").agg(F.sum("n").alias("n"), of("good"), of("toxic"))
 
 
 def subset_sums(cells: str) -> Column:
@@ -82,8 +90,8 @@ def steps(passed: DataFrame) -> DataFrame:
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """What each step of each order of five filters does in each part (source) of docs (doc_id, text, source).
 
-    Texts are read once, for a mask and a digest a row; from there on sums move. A text with very many copies is
-    one key of an outer join, which Spark splits by size. Null text is empty (fails A), null source is the part ''; a row without a doc_id has no
+    Texts are read once, for a mask and a digest a row; from there on sums move. A text with very many copies is summed by part and label
+    before its copies meet. Null text is empty (fails A), null source is the part ''; a row without a doc_id has no
     smaller one, no label, and counts in its part. Rows that share a doc_id count each and are no copies of each other. Very long
     texts are read whole. Equal texts are told by SHA-256. An empty table gives no rows; other columns are left alone.
     """
