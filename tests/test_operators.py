@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from certame.functions import numbers
 from certame.operators import answer_key, changes, grading, models, review, search
 from certame.sources import files, sinks
-from certame.streaming import answers
 
 MINI = "id long, fonte string, tipo string, ano int, dia string, numero int, area string, competencia string, enunciado array<string>, comando string, gabarito string, anulada boolean, evento string, turno string, provedor string"
 
@@ -196,36 +195,6 @@ def test_patience_with_a_limited_model():
     assert [w for w in waits if w] == [65, 120]
 
 
-EVENTS = "event_id long, ts timestamp, usuario_id string, questao_id long, acertou boolean"
-
-
-def test_stream_keeps_the_last_answer(spark, tmp_path):
-    source, table, check = (str(tmp_path / k) for k in ("in", "table", "check"))
-    key, order = ("usuario_id", "questao_id"), ["ts", "event_id"]
-    first = [(1, datetime(2024, 1, 1, 10, 0), "u", 1, False), (1, datetime(2024, 1, 1, 10, 0), "u", 1, False), (2, datetime(2024, 1, 1, 10, 1), "u", 2, True)]
-    for rows in (first, [(3, datetime(2024, 1, 1, 10, 2), "u", 1, True)]):
-        spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(source)
-        answers.latest_answers(answers.event_stream(spark, source, EVENTS), key, order, table, check).awaitTermination()
-    got = {(r.usuario_id, r.questao_id): r.acertou for r in answers.current(spark, table, key, order).collect()}
-    assert got == {("u", 1): True, ("u", 2): True}
-
-
-def test_stream_of_mocks_that_run_out(spark, tmp_path):
-    source = str(tmp_path / "in")
-    shape = "simulado_id long, ts timestamp, iniciado_em timestamp, total_questoes int"
-    start = datetime(2024, 1, 1, 10, 0)
-    rows = [[(1, datetime(2024, 1, 1, 10, 1), start, 2), (1, datetime(2024, 1, 1, 10, 2), start, 2)], [(2, datetime(2024, 1, 1, 12, 0), datetime(2024, 1, 1, 11, 59), 60)], [(2, datetime(2024, 1, 1, 12, 5), datetime(2024, 1, 1, 11, 59), 60)]]
-    # after its end, and before it but after the watermark: neither counts, nor gives a second row
-    rows += [[(1, datetime(2024, 1, 1, 12, 6), start, 2), (1, datetime(2024, 1, 1, 10, 3), start, 2)], [(2, datetime(2024, 1, 1, 12, 9), datetime(2024, 1, 1, 11, 59), 60)]]
-    stream = answers.timeouts(answers.event_stream(spark, source, shape)) if spark.createDataFrame(rows[0], shape).coalesce(1).write.parquet(source) is None else None
-    for k, own in enumerate(rows):
-        if k:
-            spark.createDataFrame(own, shape).coalesce(1).write.mode("append").parquet(source)
-        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
-    got = [(r.simulado_id, r.respostas, r.expirou) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
-    assert got == [(1, 2, True)]
-
-
 def test_blank_sheets_are_refused():
     from certame.operators import sheets
 
