@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from certame import fixed
+from certame.operators import ranks
 
 
 def area_rank(area: Column) -> Column:
@@ -46,25 +47,20 @@ def layout(rows: DataFrame, by: str) -> DataFrame:
     Order: area, year, number, id. The first half of an area stands in column 1; answer
     sheets have rows of five and pages of ten.
     """
-    order = [area_rank(F.col("area")), F.col("ano").asc_nulls_last(), F.col("numero").asc_nulls_last(), F.col("id")]
-    numbered = rows.withColumn("num", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    area = Window.partitionBy(by, "area")
-    place = F.row_number().over(area.orderBy("num"))
-    return numbered.withColumns({
-        "area_inicio": F.min("num").over(area),
-        "area_fim": F.max("num").over(area),
-        "coluna": F.when(place <= F.ceil(F.count("*").over(area) / 2), 1).otherwise(2),
-        "linha": F.floor((F.col("num") - 1) / 5).cast("int"),
-        "pagina": F.floor((F.col("num") - 1) / 10).cast("int"),
-    })
+    order = [area_rank(F.col("area")).asc(), F.col("ano").asc_nulls_last(), F.col("numero").asc_nulls_last(), F.col("id").asc()]
+    numbered = ranks.placed(rows, [by], order, "num").drop("__g")
+    within = ranks.placed(numbered, [by, "area"], [F.col("num")], "__place").drop("__g")  # areas without a rank may alternate
+    areas = numbered.groupBy(by, "area").agg(F.min("num").alias("area_inicio"), F.max("num").alias("area_fim"), F.count("*").alias("__size"))
+    return ranks.joined(within, areas, [by, "area"]).withColumns({
+        "coluna": F.when(F.col("__place") <= F.ceil(F.col("__size") / 2), 1).otherwise(2),
+        "linha": F.floor((F.col("num") - 1) / 5),
+        "pagina": F.floor((F.col("num") - 1) / 10),
+    }).drop("__place", "__size")
 
 
 def islands(rows: DataFrame, by: str, order: list[Column], value: str) -> DataFrame:
     """Runs of equal neighbours: (by, grupo, value, inicio, fim)."""
-    w = Window.partitionBy(by).orderBy(*order)
-    marked = rows.withColumn("num", F.row_number().over(w)).withColumn("novo", F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1))
-    grouped = marked.withColumn("grupo", F.sum("novo").over(w))
-    return grouped.groupBy(by, "grupo", value).agg(F.min("num").alias("inicio"), F.max("num").alias("fim"))
+    return ranks.runs(rows, [by], order, value)
 
 
 def recent(mocks: DataFrame, n: int = 5) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from certame import fixed
+from certame.operators import ranks
 
 LIGHT = ("id", "numero", "ano", "dia", "area", "competencia", "gabarito")
 
@@ -78,8 +79,9 @@ def labelled(rows: DataFrame, labels: DataFrame, code: str, label: str) -> DataF
 
 
 def file_order(questions: DataFrame, dia: str) -> DataFrame:
-    """The questions of one day by their number, as in the files; equal numbers by id."""
-    return questions.where(F.col("dia") == dia).orderBy(F.col("numero").asc_nulls_last(), "id")
+    """The questions of one day with lugar, their place by number as in the files, from 1; equal numbers by id."""
+    rows = ranks.ordered(questions.where(F.col("dia") == dia), [F.col("numero").asc_nulls_last(), F.col("id").asc()], "lugar")
+    return rows.withColumn("lugar", F.col("lugar") + 1)
 
 
 def list_order() -> list[Column]:
@@ -124,8 +126,9 @@ def source_counts(questions: DataFrame) -> DataFrame:
 
 def neighbours(questions: DataFrame, by: str = "fonte") -> DataFrame:
     """Ids of the questions before and after, by year and number within a source."""
-    order = Window.partitionBy(by).orderBy(F.col("ano").asc_nulls_last(), F.col("numero").asc_nulls_last(), F.col("id"))
-    return questions.select("id", by, F.lag("id").over(order).alias("anterior"), F.lead("id").over(order).alias("proximo"))
+    order = [F.col("ano").asc_nulls_last(), F.col("numero").asc_nulls_last(), F.col("id").asc()]
+    along = ranks.ordered(questions.select("id", by, "ano", "numero"), [F.col(by), *order])
+    return ranks.beside(along, [by], {"anterior": ("id", -1), "proximo": ("id", 1)}).select("id", by, "anterior", "proximo")
 
 
 def neighbour_ids(questions: DataFrame, year: int, number: int) -> DataFrame:
@@ -138,8 +141,8 @@ def neighbour_ids(questions: DataFrame, year: int, number: int) -> DataFrame:
 
 def list_position(questions: DataFrame, by: str = "fonte") -> DataFrame:
     """Place in the list (newest year first); equal places count together."""
-    order = Window.partitionBy(by).orderBy(F.col("ano").desc_nulls_first(), F.col("numero").asc_nulls_last()).rangeBetween(Window.unboundedPreceding, 0)
-    return questions.select("id", by, F.count("*").over(order).alias("posicao"))
+    rows = questions.select("id", by, "ano", "numero")
+    return ranks.tied(rows, [by], [F.col("ano").desc_nulls_first(), F.col("numero").asc_nulls_last()], ["ano", "numero"], "posicao").select("id", by, "posicao")
 
 
 def question(questions: DataFrame, id: int) -> DataFrame:

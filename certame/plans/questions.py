@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from certame import fixed
 from certame.functions import arrays, text
 from certame.functions.numbers import bubble_grid, decision, spread_page
-from certame.operators import changes, exams, inventory, search
+from certame.operators import changes, exams, inventory, ranks, search
 from certame.operators.search import SearchSpec
 from certame.plans.adapter import ANSWERS_SQL, AREAS_SQL, GRADED_SQL, LETTERS_SQL, QUESTIONS_SQL, answers, questions
 from certame.plans.answers import graded
@@ -123,13 +123,14 @@ RANK = f"coalesce(list_position({AREAS_SQL}, area), 0)"
   a AS (SELECT *, min(num) OVER p AS area_inicio, max(num) OVER p AS area_fim, row_number() OVER (PARTITION BY fonte, area ORDER BY num) AS k, count(*) OVER p AS c FROM n WINDOW p AS (PARTITION BY fonte, area))
   SELECT fonte, id, num::INTEGER AS num, area_inicio::INTEGER AS area_inicio, area_fim::INTEGER AS area_fim, CASE WHEN k <= ceil(c / 2.0) THEN 1 ELSE 2 END AS coluna, ((num - 1) // 5)::INTEGER AS linha, ((num - 1) // 10)::INTEGER AS pagina FROM a""")
 def print_layout(spark, sf_dir):
-    return exams.layout(questions(spark, sf_dir), "fonte").select("fonte", "id", "num", "area_inicio", "area_fim", "coluna", "linha", "pagina")
+    return exams.layout(questions(spark, sf_dir), "fonte").select("fonte", "id", *[F.col(c).cast("int") for c in ("num", "area_inicio", "area_fim", "coluna", "linha", "pagina")])
 
 
 @query(f"""WITH {QUESTIONS_SQL}, n AS (SELECT fonte, area, row_number() OVER w AS num, CASE WHEN lag(area) OVER w IS NOT DISTINCT FROM area THEN 0 ELSE 1 END AS novo FROM questoes WINDOW w AS (PARTITION BY fonte ORDER BY numero, id)),
   g AS (SELECT *, sum(novo) OVER (PARTITION BY fonte ORDER BY num ROWS UNBOUNDED PRECEDING) AS grupo FROM n) SELECT fonte, grupo::BIGINT AS grupo, area, min(num)::INTEGER AS inicio, max(num)::INTEGER AS fim FROM g GROUP BY 1, 2, 3""")
 def area_islands(spark, sf_dir):
-    return exams.islands(questions(spark, sf_dir), "fonte", [F.col("numero"), F.col("id")], "area")
+    found = exams.islands(questions(spark, sf_dir), "fonte", [F.col("numero").asc(), F.col("id").asc()], "area")
+    return found.withColumns({c: F.col(c).cast("int") for c in ("inicio", "fim")})
 
 
 GRID = {"left": int(28 / 595 * 794), "top": int(0.20 * 1123)}
@@ -230,11 +231,9 @@ def image_edits(spark, sf_dir):
   SELECT id, coalesce(pagina_pdf, least(2 + floor(i * (32 - 2) / c::DOUBLE), 31))::INTEGER AS pagina FROM n""")
 def spread_pages(spark, sf_dir):
     """W12."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("ano")
-    n = questions(spark, sf_dir).withColumns({"i": F.row_number().over(w.orderBy("id")) - 1, "c": F.count("*").over(w)})
-    return n.select("id", F.coalesce("pagina_pdf", spread_page(F.col("i"), F.col("c"), 2, F.lit(32))).alias("pagina"))
+    numbered = ranks.placed(questions(spark, sf_dir).select("id", "ano", "pagina_pdf"), ["ano"], [F.col("id").asc()], "i")
+    n = ranks.joined(numbered, numbered.groupBy("ano").agg(F.count("*").alias("c")), ["ano"])
+    return n.select("id", F.coalesce("pagina_pdf", spread_page(F.col("i") - 1, F.col("c"), 2, F.lit(32))).alias("pagina"))
 
 
 def _values(labels: dict[str, str]) -> str:
@@ -249,9 +248,7 @@ def event_and_day_labels(spark, sf_dir):
 
 @query(f"WITH {QUESTIONS_SQL} SELECT id, numero, row_number() OVER (ORDER BY numero NULLS LAST, id) AS lugar FROM questoes WHERE dia = 'dia2'")
 def file_order(spark, sf_dir):
-    rows = search.file_order(questions(spark, sf_dir), "dia2")
-    listed = rows.agg(F.collect_list(F.struct("numero", "id")).alias("l"))  # one day of one bank: the file that is listed
-    return listed.select(F.posexplode("l").alias("k", "r")).select("r.id", "r.numero", (F.col("k") + 1).cast("long").alias("lugar"))
+    return search.file_order(questions(spark, sf_dir), "dia2").select("id", "numero", "lugar")
 
 
 @query(f"WITH {QUESTIONS_SQL} SELECT id, fonte FROM questoes WHERE id IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 7)")
