@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from certame import fixed
 from certame.functions import arrays, text
-from certame.operators import answer_key, extract
+from certame.operators import answer_key, extract, text_index
 from certame.plans.adapter import LETTERS_SQL
 from certame.plans.registry import query
+from certame.sources.staging import scratch
 
 
 def part(spark, sf_dir):
@@ -203,3 +204,13 @@ def sse_concat(spark, sf_dir):
     chunks = c.select("conv_id", F.struct("turn", F.md5("text").alias("m"), event.alias("e")).alias("r")).groupBy("conv_id").agg(F.sort_array(F.collect_list("r")).alias("rs"))
     halves = F.flatten(F.transform("rs", lambda r: F.array(F.substring(r["e"], 1, 9), F.substring(r["e"], 10, 1 << 30))))
     return chunks.select("conv_id", F.md5(text.sse_text(F.concat(halves, F.array(F.lit(": ping\ndata: [DONE]\n\ndata: x"))))).alias("hash"))
+
+
+ASKED = ("token =", "license", "éAI", "eau Ê", "ßen", "%%", "zz", "the other one", "éa")
+
+
+@query("SELECT DISTINCT termo, doc_id FROM documents, (VALUES " + ", ".join(f"('{t}')" for t in ASKED) + ") t(termo) WHERE contains(lower(text), lower(termo))")
+def indexed_search(spark, sf_dir):
+    """P7, P8, M13."""
+    index = text_index.build(documents(spark, sf_dir), scratch(spark, "text-index"), "doc_id", "text")
+    return index.search(list(ASKED)).withColumnRenamed("term", "termo")

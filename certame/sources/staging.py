@@ -24,13 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def staged(rows: DataFrame, name: str) -> DataFrame:
-    """Writes rows as Parquet and reads them back: what follows sees the same rows whatever happens to an executor. The files go when the driver exits."""
-    spark = rows.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet. What is written there goes when the driver exits."""
     path = f"{shared_dir(spark)}/certame/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
+    return path
+
+
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """Writes rows as Parquet and reads them back: what follows sees the same rows whatever happens to an executor."""
+    path = scratch(rows.sparkSession, name)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 @atexit.register
