@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from certame import fixed
 LETTERS = lambda: F.array(*map(F.lit, fixed.LETTERS))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once a row, however often, and in whatever lambda, body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def options_map(texts: Column) -> Column:
     """a list of options as a map from A, B, ..."""
     return F.map_from_arrays(F.transform(F.sequence(F.lit(0), F.greatest(F.size(texts) - 1, F.lit(0))), lambda i: F.char(F.lit(65) + i)), texts)

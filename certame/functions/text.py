@@ -60,6 +60,9 @@ def event_code(c: Column) -> Column:
     return F.when(c.isNotNull(), F.format_string("SIM_%02d", F.coalesce(n, F.lit(1))))
 
 
+# How file names tell a day and a kind.
+
+
 def file_day(c: Column, fixed_zeros: bool = False) -> Column:
     """simu_dia1 or simu_dia2 from a file name.
 
@@ -241,23 +244,21 @@ def prompt(area: Column, stem: Column, task: Column, skills: dict[str, str]) ->
 
 
 def explain_prompt(ano: Column, numero: Column, stem: Column, task: Column, options: Column, key: Column) -> Column:
-    """Asks why the key is right and the other options are wrong."""
+    """Asks for the reasoning behind a key; its parts are titled, the request stands last."""
     from certame.functions.arrays import option_lines
 
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    return F.concat(
-        F.lit("Explique, de forma clara e didática, como se resolve a questão.\n\nENEM "), text(ano), F.lit(", questão "), text(numero), F.lit("\n\n"), F.array_join(stem, "\n\n"), F.lit("\n\n"), text(task),
-        F.lit("\n\nAlternativas:\n"), text(option_lines(options)), F.lit("\n\nGabarito: "), text(key),
-        F.lit("\n\nDiga por que essa alternativa é a correta e por que as demais estão erradas."),
-    )
+    parts = {"Letra do gabarito": text(key), "Pergunta": text(task), "Opções": text(option_lines(options)), "Textos de apoio": F.array_join(stem, "\n"), "Origem": F.concat(F.lit("ENEM "), text(ano), F.lit(" nº "), text(numero))}
+    titled = [x for title, part in parts.items() for x in (F.lit(f"## {title}\n"), part, F.lit("\n"))]
+    return F.concat(*titled, F.lit("## Tarefa\nMostre o raciocínio que leva à letra do gabarito; em seguida aponte, letra a letra, o engano de cada outra opção. Escreva para um aluno do ensino médio."))
 
 
 def search_prompt(asked: Column, areas: tuple[str, ...]) -> Column:
-    """Asks for search terms, an area and a skill as JSON; null for an empty question."""
+    """Asks for a filter as JSON (skill, area, terms); null for an empty question."""
     listed = " | ".join(f'"{a}"' for a in areas)
     told = F.concat(
-        F.lit('Banco de questões do ENEM. Procura-se: "'), strip(asked),
-        F.lit(f'"\n\nResponda APENAS com JSON:\n"termos": de 1 a 3 palavras-chave que os textos devem conter\n"area": uma de {listed}, ou null\n"competencia": código de H01 a H30, ou null'),
+        F.lit(f"Traduza um pedido de estudo em filtro de busca. A saída é um único objeto JSON com três campos.\n- competencia: null ou um código entre H01 e H30\n- area: null ou {listed}\n- termos: lista com no máximo três palavras que apareceriam na questão\n"),
+        F.lit('Pedido: "'), strip(asked), F.lit('"'),
     )
     return F.when(strip(asked) != "", told)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from certame.functions.arrays import let
+
 LEAST = 5
 # The three layouts.
 TABLE = r"(\d{1,2})\s+([A-E])\b"
@@ -23,11 +25,12 @@ def _entries(text: Column, pattern: str, voided: int | None = None) -> Column:
 
 
 def _last_wins(entries: Column) -> Column:
-    """The last entry of each number, by number; none if they are too few."""
-    numbers = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["numero"])))
-    backwards = F.reverse(entries)
-    last = F.transform(numbers, lambda n: F.get(F.filter(backwards, lambda e: e["numero"] == n), F.lit(0)))
-    return F.when(F.size(last) >= LEAST, last)
+    """The last entry of each number, by number; none if they are too few. Sorted by number and place, an entry is last where the next number differs."""
+    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["numero"].alias("numero"), i.alias("i"), e["letra"].alias("letra"))))
+
+    last = lambda all_: F.filter(all_, lambda e, i: ~F.get(all_, i + 1)["numero"].eqNullSafe(e["numero"]))
+    enough = lambda own: F.when(F.size(own) >= LEAST, F.transform(own, lambda e: F.struct(e["numero"].alias("numero"), e["letra"].alias("letra"))))
+    return let(placed, lambda all_: let(last(all_), enough))
 
 
 def by_table(text: Column, strict: bool = False) -> Column:

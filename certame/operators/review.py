@@ -51,11 +51,13 @@ def next_version(state: DataFrame, answers: DataFrame, by: str = "usuario_id") -
 
 
 def round_counts(state: DataFrame, answers: DataFrame, by: str = "usuario_id") -> DataFrame:
-    """M8: mastered, repeated and the new version, for each user with answers."""
+    """M8: mastered, repeated and the new version, for each user with answers.
+
+    Every answered question counts, whether the state knows it or not; a user without state has version 1 so far.
+    """
     told = answers.groupBy(by, "questao_id").agg(F.bool_and(F.coalesce("acertou", F.lit(False))).alias("certa"))
-    got = told.join(state.select(by, "questao_id"), [by, "questao_id"], "left_semi")
-    counts = got.groupBy(by).agg(F.count_if("certa").alias("zeradas"), F.count_if(~F.col("certa")).alias("repetidas"))
-    return counts.join(current_version(state, by), by).select(by, "zeradas", "repetidas", (F.col("versao") + 1).alias("nova_versao"))
+    counts = told.groupBy(by).agg(F.count_if("certa").alias("zeradas"), F.count_if(~F.col("certa")).alias("repetidas"))
+    return counts.join(current_version(state, by), by, "left").select(by, "zeradas", "repetidas", (F.coalesce("versao", F.lit(1)) + 1).alias("nova_versao"))
 
 
 def may_retry(mocks: DataFrame) -> DataFrame:

@@ -176,6 +176,14 @@ def retry_round_counts(spark, sf_dir):
     return review.round_counts(*state_and_answers(spark, sf_dir))
 
 
+@query(f"""WITH {NEXT}, parte AS (SELECT * FROM estado WHERE questao_id % 4 <> 0 AND usuario_id % 3 <> 0), w AS (SELECT usuario_id, max(versao_tt) AS versao FROM parte GROUP BY 1)
+  SELECT n.usuario_id, count(*) FILTER (acertou) AS zeradas, count(*) FILTER (NOT acertou) AS repetidas, coalesce(max(versao), 1) + 1 AS nova_versao FROM novas n LEFT JOIN w ON w.usuario_id = n.usuario_id GROUP BY 1""")
+def retry_round_beyond_state(spark, sf_dir):
+    """M8 where the state lacks questions, and some users altogether."""
+    state, told = state_and_answers(spark, sf_dir)
+    return review.round_counts(state.where("questao_id % 4 <> 0 and usuario_id % 3 <> 0"), told)
+
+
 @query(f"WITH {NEXT} SELECT usuario_id, versao, unnest(range(1, versao + 1))::INTEGER AS v FROM v")
 def retry_versions(spark, sf_dir):
     return review.versions(review.current_version(state_and_answers(spark, sf_dir)[0]))

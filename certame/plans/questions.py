@@ -262,10 +262,8 @@ def search_ids(spark, sf_dir):
     return light(search.search(questions(spark, sf_dir), SearchSpec(ids=(3, 6, 9, 12, 30))))
 
 
-@query(f"""WITH {QUESTIONS_SQL} SELECT id, 'Explique, de forma clara e didática, como se resolve a questão.' || chr(10) || chr(10) || 'ENEM ' || coalesce(ano::VARCHAR, '') || ', questão ' || numero || chr(10) || chr(10)
-  || p_name || chr(10) || chr(10) || p_type || chr(10) || chr(10) || p_brand || chr(10) || chr(10) || coalesce(comando, '') || chr(10) || chr(10) || 'Alternativas:' || chr(10)
-  || 'A) ' || p_size || chr(10) || 'B) ' || (p_size + 1) || chr(10) || 'C) ' || (p_size + 2) || chr(10) || 'D) ' || (p_size + 3) || chr(10) || 'E) ' || (p_size + 4)
-  || chr(10) || chr(10) || 'Gabarito: ' || coalesce(gabarito, '') || chr(10) || chr(10) || 'Diga por que essa alternativa é a correta e por que as demais estão erradas.' AS pedido FROM questoes""")
+@query(f"""WITH {QUESTIONS_SQL} SELECT id, concat_ws(chr(10), '## Letra do gabarito', coalesce(gabarito, ''), '## Pergunta', coalesce(comando, ''), '## Opções', 'A) ' || p_size, 'B) ' || (p_size + 1), 'C) ' || (p_size + 2), 'D) ' || (p_size + 3), 'E) ' || (p_size + 4),
+  '## Textos de apoio', p_name, p_type, p_brand, '## Origem', 'ENEM ' || coalesce(ano::VARCHAR, '') || ' nº ' || numero, '## Tarefa', 'Mostre o raciocínio que leva à letra do gabarito; em seguida aponte, letra a letra, o engano de cada outra opção. Escreva para um aluno do ensino médio.') AS pedido FROM questoes""")
 def explain_prompts(spark, sf_dir):
     pedido = text.explain_prompt(*[F.col(c) for c in ("ano", "numero", "enunciado", "comando", "alternativas", "gabarito")])
     return questions(spark, sf_dir).select("id", pedido.alias("pedido"))
