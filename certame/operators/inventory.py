@@ -105,13 +105,6 @@ def copy_plan(mapping: DataFrame, folders: dict[str, str]) -> DataFrame:
     return mapping.select(F.col("nome").alias("origem"), F.concat(to, F.lit("/"), F.coalesce("nome_pad", "nome")).alias("destino")).where("destino is not null")
 
 
-def report(mapping: DataFrame) -> DataFrame:
-    """One JSON row of summary and duplicates."""
-    kinds = mapping.groupBy("tipo").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("tipo", "n")))).alias("resumo"))
-    copies = mapping.where("dup_de is not null").agg(F.sort_array(F.collect_list(F.struct("nome", "dup_de"))).alias("duplicatas"))
-    return kinds.join(copies).select(F.to_json(F.struct("resumo", "duplicatas")).alias("relatorio"))
-
-
 def free_suffix(names: DataFrame, stem: str = "stem", number: str = "n") -> DataFrame:
     """For each file stem the first number from 1 that is not taken."""
     order = Window.partitionBy(stem).orderBy(number)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from certame import fixed
 from certame.functions import arrays, text
 from certame.functions.numbers import bubble_grid, decision, spread_page
-from certame.operators import changes, exams, inventory, ranks, search
+from certame.operators import changes, exams, facet_index, inventory, ranks, reports, search
 from certame.operators.search import SearchSpec
 from certame.plans.adapter import ANSWERS_SQL, AREAS_SQL, GRADED_SQL, LETTERS_SQL, QUESTIONS_SQL, answers, questions
 from certame.plans.answers import graded
 from certame.plans.registry import query
 from certame.schemas import dimension
+from certame.sources.staging import scratch
 
 LISTED = "ORDER BY ano DESC NULLS FIRST, numero NULLS LAST, id"
 LIGHT = "id, numero, ano, dia, area, competencia, gabarito"
@@ -293,3 +297,60 @@ def insert_or_patch_totals(spark, sf_dir):
     new = old.where("id % 10 = 0").withColumn("titulo", F.lit("novo")).union(part.where("id % 2 = 1").withColumn("id", F.lit(None).cast("long")))
     top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     return changes.insert_or_patch(old, new, top + 1).agg(F.count("*").alias("linhas"), F.count_distinct("id").alias("ids"), F.max("id").alias("ultimo"), F.sum("id").alias("soma"), F.count_if(F.col("titulo") == "novo").alias("trocadas"))
+
+
+CHOSEN = {"area": [fixed.NATUREZA, fixed.AREAS[0]], "fonte": ["ENEM"], "dia": ["dia1", "simu_dia1", "exato"]}
+COUNTED = ("ano", "dia", "area", "competencia", "fonte", "turno")
+
+
+def _under(facet: str) -> str:
+    chosen = [f"{c} IN ({', '.join(repr(v) for v in values)})" for c, values in CHOSEN.items() if c != facet]
+    return f"SELECT '{facet}' AS faceta, {facet}::VARCHAR AS valor, count(*) AS total FROM questoes WHERE {facet} IS NOT NULL AND {' AND '.join(chosen)} GROUP BY 2"
+
+
+@query(f"WITH {QUESTIONS_SQL} " + " UNION ALL ".join(map(_under, COUNTED)))
+def facet_counts_under_choice(spark, sf_dir):
+    """Each facet's counts under what is chosen of the others."""
+    return facet_index.counts(facet_index.build(questions(spark, sf_dir), COUNTED), CHOSEN)
+
+
+MAPPING_SQL = """arquivos AS (SELECT 'f' || lpad(p_partkey::VARCHAR, 8, '0') AS nome, CASE p_partkey % 6 WHEN 0 THEN 'prova' WHEN 1 THEN 'gabarito' WHEN 2 THEN 'prova' WHEN 3 THEN 'material' WHEN 4 THEN 'gabarito' END AS tipo,
+  'E' || p_partkey % 45 AS evento, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE ['MANHA', 'TARDE'][p_partkey % 2 + 1] END AS turno, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'n' || (p_partkey // 2) END AS nome_pad,
+  CASE WHEN p_partkey % 11 = 0 THEN 'f' || lpad((p_partkey // 2)::VARCHAR, 8, '0') END AS dup_de FROM part),
+  unicos AS (SELECT * FROM arquivos WHERE dup_de IS NULL), proprias AS (SELECT evento, turno, min(nome) AS g FROM unicos WHERE tipo = 'gabarito' AND turno IS NOT NULL GROUP BY 1, 2), comuns AS (SELECT evento, min(nome) AS g FROM unicos WHERE tipo = 'gabarito' AND turno IS NULL GROUP BY 1),
+  elos AS (SELECT u.nome AS prova, coalesce(p.g, c.g) AS gabarito, u.evento, u.turno FROM unicos u LEFT JOIN proprias p ON p.evento = u.evento AND p.turno = u.turno LEFT JOIN comuns c ON c.evento = u.evento WHERE u.tipo = 'prova')"""
+
+
+def mapping(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = lambda c: F.concat(F.lit("f"), F.lpad(c.cast("string"), 8, "0"))
+    kinds, shifts = F.array(*map(F.lit, ("prova", "gabarito", "prova", "material", "gabarito", None))), F.array(F.lit("MANHA"), F.lit("TARDE"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        name(k).alias("nome"), F.get(kinds, (k % 6).cast("int")).alias("tipo"), F.concat(F.lit("E"), (k % 45).cast("string")).alias("evento"), F.when(k % 4 != 0, F.get(shifts, (k % 2).cast("int"))).alias("turno"),
+        F.when(k % 3 != 0, F.concat(F.lit("n"), F.floor(k / 2).cast("string"))).alias("nome_pad"), F.when(k % 11 == 0, name(F.floor(k / 2))).alias("dup_de"),
+    )
+
+
+@query(f"""WITH {MAPPING_SQL} SELECT 'resumo' AS secao, coalesce(tipo, '') AS chave, count(*)::VARCHAR AS valor FROM arquivos GROUP BY 2
+  UNION ALL SELECT 'associacoes', prova, concat_ws('/', gabarito, evento, turno) FROM elos UNION ALL SELECT 'duplicatas', nome, dup_de FROM arquivos WHERE dup_de IS NOT NULL
+  UNION ALL SELECT 'material_apoio', nome, tipo FROM unicos WHERE tipo = 'material' UNION ALL SELECT 'nao_identificados', nome, nome FROM unicos WHERE tipo IS NULL
+  UNION ALL SELECT 'inconsistencias', prova || '|prova sem gabarito', 'prova sem gabarito' FROM elos WHERE gabarito IS NULL
+  UNION ALL SELECT 'inconsistencias', nome || '|gabarito sem prova', 'gabarito sem prova' FROM unicos WHERE tipo = 'gabarito' AND nome NOT IN (SELECT gabarito FROM elos WHERE gabarito IS NOT NULL)
+  UNION ALL SELECT 'inconsistencias', nome || '|nome de destino repetido', 'nome de destino repetido' FROM unicos WHERE nome_pad IN (SELECT nome_pad FROM unicos GROUP BY 1 HAVING count(*) > 1)""")
+def collection_report(spark, sf_dir):
+    """K10, written and read back section by section."""
+    path = scratch(spark, "report")
+    reports.write(reports.report(mapping(spark, sf_dir)), path)
+    shown = {"resumo": ("coalesce(tipo, '')", "cast(arquivos as string)"), "associacoes": ("prova", "concat_ws('/', gabarito, evento, turno)"), "duplicatas": ("nome", "dup_de"), "material_apoio": ("nome", "tipo"), "nao_identificados": ("nome", "nome"), "inconsistencias": ("concat_ws('|', nome, motivo)", "motivo")}
+    parts = [reports.read(spark, path, name).selectExpr(f"'{name}' AS secao", f"{key} AS chave", f"{value} AS valor") for name, (key, value) in shown.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"""WITH {MAPPING_SQL}, {QUESTIONS_SQL}, e AS (SELECT evento, string_agg(DISTINCT turno, ',' ORDER BY turno) AS turnos, count(*) AS provas, count(gabarito) AS com_gabarito FROM elos WHERE evento IS NOT NULL GROUP BY 1)
+  SELECT 'eventos' AS secao, evento AS chave, coalesce(turnos, '') || '/' || provas || '/' || com_gabarito AS valor FROM e UNION ALL SELECT 'filtros', 'fonte|' || fonte, count(*)::VARCHAR FROM questoes GROUP BY 2 UNION ALL SELECT 'filtros', 'turno|' || turno, count(*)::VARCHAR FROM questoes WHERE turno IS NOT NULL GROUP BY 2""")
+def collection_metadata(spark, sf_dir):
+    """K11."""
+    path = scratch(spark, "metadata")
+    reports.write(reports.metadata(mapping(spark, sf_dir), questions(spark, sf_dir), ("fonte", "turno")), path)
+    events = reports.read(spark, path, "eventos").selectExpr("'eventos' AS secao", "evento AS chave", "concat_ws('/', array_join(turnos, ','), provas, com_gabarito) AS valor")
+    return events.unionByName(reports.read(spark, path, "filtros").selectExpr("'filtros' AS secao", "concat_ws('|', filtro, valor) AS chave", "cast(total as string) AS valor"))

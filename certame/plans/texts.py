@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from certame import fixed
-from certame.functions import arrays, text
+from certame.functions import arrays, text, variants
 from certame.operators import answer_key, extract, text_index
 from certame.plans.adapter import LETTERS_SQL
 from certame.plans.registry import query
@@ -214,3 +214,46 @@ def indexed_search(spark, sf_dir):
     """P7, P8, M13."""
     index = text_index.build(documents(spark, sf_dir), scratch(spark, "text-index"), "doc_id", "text")
     return index.search(list(ASKED)).withColumnRenamed("term", "termo")
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'i' || (props->>'$.k') || '.png:antes_1' WHEN 1 THEN 'i' || (props->>'$.k') || '.png:antes_1,' || event_type || '.png:apos_ultimo' WHEN 2 THEN event_type || '.png:antes_1,b.png:antes_1' WHEN 3 THEN '' ELSE (props->>'$.k') || '.png:entre_1_2' END AS imagens FROM events""")
+def mixed_images(spark, sf_dir):
+    """Items saved as text, as objects, as both, as something else, and not at all."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "props")
+    k, kind, i = F.get_json_object("props", "$.k"), F.col("event_type"), F.col("event_id")
+    saved = (
+        F.when(i % 5 == 0, F.concat(F.lit('"i'), k, F.lit('.png"')))
+        .when(i % 5 == 1, F.concat(F.lit('["i'), k, F.lit('.png", {"path": "'), kind, F.lit('.png", "posicao": "apos_ultimo", "supabase_url": null}, '), F.col("props"), F.lit("]")))
+        .when(i % 5 == 2, F.concat(F.lit('[{"path": "'), kind, F.lit('.png"}, {"path": "b.png", "posicao": ""}, 7, null]')))
+        .when(i % 5 == 3, F.when(i % 2 == 0, F.lit("null")).otherwise(F.col("props")))
+        .otherwise(F.concat(F.lit('{"posicao": "entre_1_2", "extra": [1, {}], "path": "'), k, F.lit('.png"}')))
+    )
+    rows = e.select("event_id", variants.images(F.parse_json(saved)).alias("imagens"))
+    return rows.select("event_id", F.array_join(F.transform("imagens", lambda m: F.concat(m["path"], F.lit(":"), m["posicao"])), ",").alias("imagens"))
+
+
+LIS = "[trim(regexp_replace(x, '<[^>]*>', '', 'g')) for x in regexp_extract_all(html, '(?s)<(?:li|h1)>(.*?)</(?:li|h1)>', 1)][1:6]"
+
+
+@query(f"""WITH l AS (SELECT page_id, [replace(replace(replace(trim(regexp_replace(x, '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') for x in {LIS}] AS li FROM pages WHERE contains(html, '<li>')),
+  o AS (SELECT page_id, li, unnest(range(1, least(len(li), 5) + 1)) AS k FROM l)
+  SELECT page_id, (page_id % 90 + 1)::INTEGER AS numero, chr((64 + k)::INTEGER) AS letra, CASE WHEN k = 5 THEN trim(array_to_string(li[5:], ' ')) ELSE li[k] END AS texto FROM o""")
+def positioned_options(spark, sf_dir):
+    """Pages as papers; the first items of their left column, marked with a bold letter, are a question's options, the sixth goes on with the fifth, and a second question takes the other column."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where(F.contains("html", F.lit("<li>"))).select("page_id", (F.col("page_id") % 90 + 1).cast("int").alias("n"), extract.html_blocks(F.col("html")).alias("found"))
+
+    def marked(b, before):
+        """An item's line with its letter first."""
+        letter = F.char(F.lit(65) + before)
+        bold = F.array(F.struct(letter.alias("text"), F.lit(16).alias("flags")))
+        return F.array(F.struct(F.when(before < 5, F.concat(bold, b["lines"][0]["spans"])).otherwise(b["lines"][0]["spans"]).alias("spans")))
+
+    one = lambda words, x0, y: F.struct(F.lit(x0).alias("x0"), F.lit(x0 + 280.0).alias("x1"), F.lit(y).alias("y"), F.array(F.struct(F.array(F.struct(words.alias("text"), F.lit(0).alias("flags"))).alias("spans"))).alias("lines"))
+    head, other = one(F.concat(F.lit("QUESTÃO "), F.col("n").cast("string")), 0.0, -2.0), one(F.concat(F.lit("Questão "), (F.col("n") + 1).cast("string")), 320.0, -1.0)
+    items = F.filter("found", lambda b: (b["x0"] < 300) & F.exists(b["lines"], lambda x: F.size(x["spans"]) > 0))
+    lists = F.transform(F.slice(items, 1, 6), lambda b, i: F.struct(b["x0"].alias("x0"), b["x1"].alias("x1"), b["y"].alias("y"), marked(b, i).alias("lines")))
+    rest = F.filter("found", lambda b: b["x0"] > 300)
+    papers = pages.select("page_id", F.lit(2020).alias("ano"), F.lit(0).alias("page"), F.lit(600.0).alias("width"), F.reverse(F.concat(F.array(head, other), lists, rest)).alias("blocks"))
+    lines = extract.reading_order(papers, ("page_id", "ano"))
+    found = extract.options_of_lines(lines, ("page_id", "ano"))
+    return found.select("page_id", "numero", F.explode("alternativas").alias("letra", "texto"))

@@ -97,16 +97,3 @@ def page_counts(found: DataFrame) -> DataFrame:
 def pending_reports(spark: SparkSession, path: str) -> DataFrame:
     """S20."""
     return read_json(spark, path, schemas.REPORTS).where("status = 'pendente'")
-
-
-def jdbc_table(spark: SparkSession, name: str) -> DataFrame:
-    """A remote table. url, user and password come from spark.certame.jdbc.* only; filters on the result are pushed down."""
-    get = lambda k: spark.conf.get(f"spark.certame.jdbc.{k}")
-    return spark.read.format("jdbc").options(url=get("url"), user=get("user"), password=get("password"), dbtable=name).load()
-
-
-def configured(spark: SparkSession) -> bool:
-    """Whether the address and credentials are set."""
-    return all(spark.conf.get(f"spark.certame.jdbc.{k}", None) for k in ("url", "user", "password"))
-
-
