@@ -35,44 +35,64 @@ FOLDERS = ("2024", "2021 - 1º EDIÇÃO", "2022 - 2º EDIÇÃO", "Bernoulli 2023
 NAMES = ("matemática", "humanas", "LINGUAGENS e Matemática", "arte", "  Ciencias da Natureza e suas Tecnologias ", "Prova de MATEMATICA E SUAS TECNOLOGIAS", "")
 
 
-def _values(rows, *names: str) -> str:
-    quote = lambda v: "'" + v.replace("'", "''") + "'"
-    return "(VALUES " + ", ".join("(" + ", ".join(map(quote, r if isinstance(r, tuple) else (r,))) + ")" for r in rows) + f") v({', '.join(names)})"
+def _list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-def _frame(spark, rows, *names: str):
-    return spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], ", ".join(f"{n} string" for n in names))
+def _pick(values, k):
+    return F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+
+
+def parts(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet")
+
+
+def files(spark, sf_dir):
+    """A file a part: the names above, over and over, in folders of their own."""
+    k = F.col("p_partkey")
+    lot = F.floor(k / len(FILES)).cast("string")
+    return parts(spark, sf_dir).select(F.concat(_pick([f for f, _ in FILES], k), F.lit(" "), lot).alias("pasta"), F.concat(F.lit("x"), lot, F.lit("x "), _pick([n for _, n in FILES], k)).alias("nome"))
+
+
+FILES_SQL = f"(SELECT {_list(f for f, _ in FILES)}[p_partkey % {len(FILES)} + 1] || ' ' || (p_partkey // {len(FILES)}) AS pasta, 'x' || (p_partkey // {len(FILES)}) || 'x ' || {_list(n for _, n in FILES)}[p_partkey % {len(FILES)} + 1] AS nome FROM part)"
+FOLDERS_SQL = f"(SELECT p_partkey AS id, {_list(FOLDERS)}[p_partkey % {len(FOLDERS)} + 1] || ' ' || p_brand AS nome FROM part)"
+NAMES_SQL = f"(SELECT p_partkey AS id, {_list(NAMES)}[p_partkey % {len(NAMES)} + 1] || ' ' || p_name AS nome FROM part)"
+
+
+def labelled(spark, sf_dir, values, column: str):
+    k = F.col("p_partkey")
+    return parts(spark, sf_dir).select(k.alias("id"), F.concat(_pick(values, k), F.lit(" "), column).alias("nome"))
 
 
 def _case(column: str, pairs) -> str:
     return "CASE " + " ".join(f"WHEN contains({column}, '{a}') THEN '{b}'" for a, b in pairs) + " END"
 
 
-@query(f"SELECT nome, coalesce({_case('lower(trim(nome))', fixed.AREA_NAMES)}, {_case('lower(trim(nome))', [(a.lower(), a) for a in fixed.AREAS])}) AS area, length(nome) >= 12 AS longo FROM {_values(NAMES, 'nome')}")
+@query(f"SELECT id, nome, coalesce({_case('lower(trim(nome))', fixed.AREA_NAMES)}, {_case('lower(trim(nome))', [(a.lower(), a) for a in fixed.AREAS])}) AS area, length(nome) >= 12 AS longo FROM {NAMES_SQL}")
 def normalize_area(spark, sf_dir):
-    return _frame(spark, NAMES, "nome").select("nome", text.normalize_area(F.col("nome")).alias("area"), (F.length("nome") >= 12).alias("longo"))
+    return labelled(spark, sf_dir, NAMES, "p_name").select("id", "nome", text.normalize_area(F.col("nome")).alias("area"), (F.length("nome") >= 12).alias("longo"))
 
 
-@query(f"SELECT nome, {_case('lower(nome)', fixed.VENDORS)} AS provedor, nullif(regexp_extract(nome, '(20[0-9]{{2}})', 1), '')::INTEGER AS ano FROM {_values(FOLDERS, 'nome')}")
+@query(f"SELECT id, nome, {_case('lower(nome)', fixed.VENDORS)} AS provedor, nullif(regexp_extract(nome, '(20[0-9]{{2}})', 1), '')::INTEGER AS ano FROM {FOLDERS_SQL}")
 def normalize_vendor(spark, sf_dir):
-    return _frame(spark, FOLDERS, "nome").select("nome", text.vendor(F.col("nome")).alias("provedor"), text.folder_year(F.col("nome")).alias("ano"))
+    return labelled(spark, sf_dir, FOLDERS, "p_brand").select("id", "nome", text.vendor(F.col("nome")).alias("provedor"), text.folder_year(F.col("nome")).alias("ano"))
 
 
-@query(f"""SELECT nome, printf('SIM_%02d', coalesce(nullif(regexp_extract(nome, '\\b0*([0-9]+)\\b', 1), ''), '1')::INTEGER) AS evento,
-  nullif(regexp_extract(nome, '^([0-9]{{4}})', 1), '')::INTEGER AS ano, nullif(regexp_extract(nome, '([0-9]+)[°º]', 1), '') || '_EDICAO' AS edicao FROM {_values(FOLDERS, 'nome')}""")
+@query(f"""SELECT id, nome, printf('SIM_%02d', coalesce(nullif(regexp_extract(nome, '\\b0*([0-9]+)\\b', 1), ''), '1')::INTEGER) AS evento,
+  nullif(regexp_extract(nome, '^([0-9]{{4}})', 1), '')::INTEGER AS ano, nullif(regexp_extract(nome, '([0-9]+)[°º]', 1), '') || '_EDICAO' AS edicao FROM {FOLDERS_SQL}""")
 def normalize_event_year(spark, sf_dir):
     n = F.col("nome")
-    return _frame(spark, FOLDERS, "nome").select("nome", text.event_code(n).alias("evento"), text.paper_year(n).alias("ano"), text.edition(n).alias("edicao"))
+    return labelled(spark, sf_dir, FOLDERS, "p_brand").select("id", "nome", text.event_code(n).alias("evento"), text.paper_year(n).alias("ano"), text.edition(n).alias("edicao"))
 
 
 KIND = "CASE WHEN regexp_matches(lower(nome), '\\bgab\\b|gabarito|resolu[cç]') THEN 'gabarito' WHEN regexp_matches(lower(nome), '\\bprova\\b|simu|sim[_\\s]?\\d|\\bdia\\b|poliedro|somos|sas|berno|farias') THEN 'prova' END"
 DAY = "CASE " + " ".join(f"WHEN regexp_matches(lower(nome), '{n}[°º\\s]*dia|dia\\s*{n}\\b|d[_\\-\\s]?{n}\\b|{n}[°º\\s]*_?dia') THEN 'simu_dia{n}'" for n in (1, 2)) + " END"
-CLASSIFIED = f"c AS (SELECT pasta, nome, {KIND} AS tipo, {DAY} AS dia FROM {_values(FILES, 'pasta', 'nome')})"
+CLASSIFIED = f"c AS (SELECT pasta, nome, {KIND} AS tipo, {DAY} AS dia FROM {FILES_SQL})"
 
 
 @query(f"WITH {CLASSIFIED} SELECT * FROM c")
 def classify_files(spark, sf_dir):
-    return inventory.classified(_frame(spark, FILES, "pasta", "nome"))
+    return inventory.classified(files(spark, sf_dir))
 
 
 @query(f"""WITH {CLASSIFIED}, k AS (SELECT pasta, tipo, dia, min(nome) AS nome FROM c WHERE tipo IS NOT NULL AND dia IS NOT NULL GROUP BY 1, 2, 3),
@@ -81,17 +101,17 @@ def classify_files(spark, sf_dir):
   e AS (SELECT * FROM k UNION ALL SELECT * FROM g), p AS (SELECT pasta, dia, max(CASE WHEN tipo = 'prova' THEN nome END) AS prova, max(CASE WHEN tipo = 'gabarito' THEN nome END) AS gabarito FROM e GROUP BY 1, 2)
   SELECT * FROM p WHERE prova IS NOT NULL""")
 def pair_papers(spark, sf_dir):
-    return inventory.papers(_frame(spark, FILES, "pasta", "nome"))
+    return inventory.papers(files(spark, sf_dir))
 
 
-@query(f"SELECT nome, (SELECT min(w.nome) FROM {_values(FILES, 'pasta', 'nome').replace(') v(', ') w(')} WHERE lower(w.nome) = regexp_replace(lower(v.nome), '\\s*\\(\\d\\)\\.pdf$', '.pdf') AND NOT regexp_matches(lower(w.nome), '\\(\\d\\)\\.pdf$')) AS dup_de FROM {_values(FILES, 'pasta', 'nome')} WHERE regexp_matches(lower(nome), '\\(\\d\\)\\.pdf$')")
+@query(f"SELECT nome, (SELECT min(w.nome) FROM {FILES_SQL} w WHERE lower(w.nome) = regexp_replace(lower(v.nome), '\\s*\\(\\d\\)\\.pdf$', '.pdf') AND NOT regexp_matches(lower(w.nome), '\\(\\d\\)\\.pdf$')) AS dup_de FROM {FILES_SQL} v WHERE regexp_matches(lower(nome), '\\(\\d\\)\\.pdf$')")
 def copied_files(spark, sf_dir):
-    return inventory.originals(_frame(spark, FILES, "pasta", "nome"))
+    return inventory.originals(files(spark, sf_dir))
 
 
-@query(f"SELECT nome FROM {_values(FILES, 'pasta', 'nome')} WHERE contains(lower(nome), 'dia') AND contains(lower(nome), '1') AND NOT contains(lower(nome), 'gab') AND NOT regexp_matches(lower(nome), '\\(\\d\\)\\.pdf$')")
+@query(f"SELECT nome FROM {FILES_SQL} WHERE contains(lower(nome), 'dia') AND contains(lower(nome), '1') AND NOT contains(lower(nome), 'gab') AND NOT regexp_matches(lower(nome), '\\(\\d\\)\\.pdf$')")
 def named_files(spark, sf_dir):
-    return _frame(spark, FILES, "pasta", "nome").where(inventory.named(F.col("nome"), ("dia", "1"), ("gab",))).select("nome")
+    return files(spark, sf_dir).where(inventory.named(F.col("nome"), ("dia", "1"), ("gab",))).select("nome")
 
 
 @query("SELECT md5(substr(text, 1, 2000)) AS hash, min(doc_id) AS original, count(*) - 1 AS copias FROM documents GROUP BY 1 HAVING count(*) > 1")

@@ -140,11 +140,12 @@ def area_islands(spark, sf_dir):
 GRID = {"left": int(28 / 595 * 794), "top": int(0.20 * 1123)}
 
 
-@query(f"""SELECT q::INTEGER AS questao, o::INTEGER AS opcao, ({GRID['left']} + q % 5 * {(794 - 2 * GRID['left']) // 5} + {(794 - 2 * GRID['left']) // 5 // 2} - 41 + o * 17 + 7)::INTEGER AS x,
-  ({GRID['top']} + q // 5 * {(1123 - GRID['top'] - 50) // 9} + {(1123 - GRID['top'] - 50) // 9 // 2})::INTEGER AS y FROM range(45) t(q), range(5) u(o)""")
+@query(f"""SELECT l_orderkey, l_linenumber, q::INTEGER AS questao, o::INTEGER AS opcao, ({GRID['left']} + q % 5 * {(794 - 2 * GRID['left']) // 5} + {(794 - 2 * GRID['left']) // 5 // 2} - 41 + o * 17 + 7)::INTEGER AS x,
+  ({GRID['top']} + q // 5 * {(1123 - GRID['top'] - 50) // 9} + {(1123 - GRID['top'] - 50) // 9 // 2})::INTEGER AS y FROM (SELECT l_orderkey, l_linenumber, l_partkey % 45 AS q FROM lineitem), range(5) u(o)""")
 def sheet_grid(spark, sf_dir):
-    n = spark.range(45 * 5).select(F.floor(F.col("id") / 5).cast("int").alias("questao"), (F.col("id") % 5).cast("int").alias("opcao"))
-    return n.withColumn("c", bubble_grid(F.col("questao"), F.col("opcao"), 45)).select("questao", "opcao", "c.x", "c.y")
+    """the bubbles of every answer's question."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 45).cast("int").alias("questao"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("opcao"))
+    return rows.withColumn("c", bubble_grid(F.col("questao"), F.col("opcao"), 45)).select("l_orderkey", "l_linenumber", "questao", "opcao", "c.x", "c.y")
 
 
 @query(f"""WITH f AS (SELECT p_partkey AS id, [((p_partkey * 7 + p_size * i) % 101) / 100.0::DOUBLE for i in [1, 2, 3, 5, 8]] AS v FROM part), s AS (SELECT *, list_max(v) AS m, list_sort(v, 'DESC')[2] AS n FROM f)
@@ -278,9 +279,9 @@ def unclassified_questions(spark, sf_dir):
     return search.unclassified(questions(spark, sf_dir)).select("id")
 
 
-@query(f"WITH {QUESTIONS_SQL} SELECT id FROM questoes WHERE contains(p_name, 'green') OR contains(p_type, 'green') OR contains(p_brand, 'green')")
+@query(f"WITH {QUESTIONS_SQL} SELECT id FROM questoes WHERE contains(p_name, 'gizmo') OR contains(p_type, 'gizmo') OR contains(p_brand, 'gizmo')")
 def placeholder_questions(spark, sf_dir):
-    return search.placeholder_left(questions(spark, sf_dir), "green").select("id")
+    return search.placeholder_left(questions(spark, sf_dir), "gizmo").select("id")
 
 
 @query("SELECT doc_id, text FROM documents ORDER BY doc_id DESC NULLS FIRST LIMIT 500")
