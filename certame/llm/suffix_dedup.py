@@ -3,7 +3,7 @@
 Every `length`-byte window belongs to one anchor: the k-gram of smallest hash in it (the
 leftmost of equals). Equal windows have equal anchors at equal places, so only
 anchors move between tasks, not all suffixes. Anchors of one k-gram whose whole surroundings repeat are settled by a
-64-bit cryptographic digest of those bytes; around the others the suffixes themselves are sorted, by merging runs with
+128-bit cryptographic digest of those bytes; around the others the suffixes themselves are sorted, by merging runs with
 comparisons that find the common extension of two suffixes by binary search over prefix
 hashes. Windows that compare equal are held against their bytes. Frequent k-grams are known from a first pass;
 their anchors are dealt by their surroundings, and their windows one by one.
@@ -31,8 +31,8 @@ HOT_SHARE, HOT = 1e-4, 4096
 #: Windows that are sorted at once.
 BATCH_WINDOWS = 1 << 17
 #: A row of a table is told apart by doc_id and sub; sub is 0 but for rows that share a doc_id.
-#: place holds start, n and off in 31, 16 and 16 bits, and is negative for frequent ones.
-ANCHOR = "key long, around long, doc_id long, sub long, place long"
+#: around and beside are the two halves of the digest of an anchor's surroundings; place holds start, n and off in 31, 16 and 16 bits, and is negative for frequent ones.
+ANCHOR = "key long, around long, beside long, doc_id long, sub long, place long"
 #: A window with this place of its anchor is known to start earlier, and has no bytes.
 SETTLED = -1
 WINDOW = "key long, doc_id long, sub long, start int, n int, off int, bytes binary"
@@ -47,9 +47,11 @@ def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - (width - reach)], keys[width - reach :]) if width > reach else keys
 
 
-def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The halves of a 128-bit digest of each stretch."""
     raw, digest = memoryview(data.tobytes()), hashlib.blake2b
-    return np.frombuffer(b"".join([digest(raw[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), "<i8")
+    both = np.frombuffer(b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), "<i8")
+    return both[::2].copy(), both[1::2].copy()
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
@@ -130,10 +132,10 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int, fre
     def flush() -> pa.RecordBatch:
         c = {k: np.concatenate([x[k] for x in kept]) for k in kept[0]}
         kept.clear()
-        order = np.lexsort((c["place"], c["doc_id"], c["around"], c["key"]))
+        order = np.lexsort((c["place"], c["doc_id"], c["beside"], c["around"], c["key"]))
         c = {k: v[order] for k, v in c.items()}
-        again = _later(_new_key(c["key"], c["around"]), c["doc_id"], c["place"])
-        c["key"], c["around"] = pa.array(c["key"], pa.int64(), mask=again), np.where(again, 0, c["around"])
+        again = _later(_new_key(c["key"], c["around"], c["beside"]), c["doc_id"], c["place"])
+        c["key"], c["around"], c["beside"] = pa.array(c["key"], pa.int64(), mask=again), np.where(again, 0, c["around"]), np.where(again, 0, c["beside"])
         return _record(ANCHOR, c)
 
     size = 0
@@ -142,10 +144,10 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int, fre
         row, fp = x.pop("row"), x.pop("fp")
         x["doc_id"], x["sub"] = _column(batch, 0)[row], _column(batch, 1)[row]
         begin = at[row] + x["start"]
-        around, hot = _digests(data, begin, begin + x["n"] - 1 + length), np.isin(fp, frequent)
+        (around, beside), hot = _digests(data, begin, begin + x["n"] - 1 + length), np.isin(fp, frequent)
         place = (x["start"] << 32) | (x["n"] << 16) | x["off"] | np.where(hot, np.int64(-(2**63)), 0)
         key = np.where(hot, mix(fp.view(np.uint64) ^ around.view(np.uint64)).view(np.int64), fp)
-        kept.append({"key": key, "around": around, "doc_id": x["doc_id"], "sub": x["sub"], "place": place})
+        kept.append({"key": key, "around": around, "beside": beside, "doc_id": x["doc_id"], "sub": x["sub"], "place": place})
         size += len(row)
         if size >= BATCH_ANCHORS:
             yield flush()
@@ -389,10 +391,10 @@ def _repeated(known: DataFrame, length: int, gram: int) -> DataFrame:
     found = known.mapInArrow(lambda b: _find_anchors(b, length, gram, frequent), ANCHOR)
     # rows that their batch has settled stand alone, by their document
     key = ["key", F.when(F.col("key").isNull(), F.col("doc_id"))]
-    by_key, same = Window.partitionBy(*key), Window.partitionBy(*key, "around").orderBy("doc_id", "place")
+    by_key, same = Window.partitionBy(*key), Window.partitionBy(*key, "around", "beside").orderBy("doc_id", "place")
     again = F.col("key").isNull() | (F.struct("doc_id", "place") > F.first(F.struct("doc_id", "place")).over(same))
     # only where a k-gram has several surroundings are there windows to compare
-    several = (F.col("place") < 0) | (F.min("around").over(by_key) < F.max("around").over(by_key))
+    several = (F.col("place") < 0) | (F.min(F.struct("around", "beside")).over(by_key) < F.max(F.struct("around", "beside")).over(by_key))
     hot = (F.col("place") < 0) | (F.count("*").over(by_key) > HOT)
     place = F.col("place").bitwiseAND(2**63 - 1)
     settled = (
