@@ -38,11 +38,29 @@ NO_WORD = np.ones(256, dtype=bool)
 NO_WORD[48:58] = NO_WORD[65:91] = NO_WORD[97:123] = NO_WORD[128:] = False
 
 
-def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Spelled:
+    """The words of a slice of texts, by a quick hash and, where that decides, by their bytes."""
+
+    low: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    words: np.ndarray
+
+    def bytes(self, lo: int, hi: int) -> list[bytes]:
+        return [self.low[a:b].tobytes() for a, b in zip(self.start[lo:hi].tolist(), self.end[lo:hi].tolist(), strict=True)]
+
+
+def _spelled(data: np.ndarray, at: np.ndarray) -> tuple[Spelled, np.ndarray]:
+    """The words and for each row the index of its first one. Words of one spelling have one hash; those of one hash may differ, so leaks are held against the spelling."""
     low = LOWER[data]
     start, end, rows = word_spans(low, at, NO_WORD)
-    # the share of an item's words that a passage holds decides, so the quick hash will do
-    return quick_hash(text_hash(low), start, end), rows
+    return Spelled(low, start, end, quick_hash(text_hash(low), start, end)), rows
+
+
+def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    spelled, rows = _spelled(data, at)
+    return spelled.words, rows
 
 
 def _bucket(words: np.ndarray) -> np.ndarray:
@@ -133,6 +151,7 @@ class Index:
     items: list[int]
     words: list[np.ndarray]
     answers: list[np.ndarray]
+    spellings: list[tuple[list[bytes], list[bytes]]]  # of the words and of the answer's
     vocabulary: np.ndarray
     latent: np.ndarray  # of each term, times its weight
     targets: np.ndarray  # unit vectors of the items' pieces
@@ -148,9 +167,13 @@ def _answer(text: str) -> str:
     return last if len(last.split()) >= ANSWER_WORDS else " ".join(text.split()[-ANSWER_WORDS:])
 
 
-def _hash_text(text: str) -> np.ndarray:
+def _spell_text(text: str) -> Spelled:
     raw = np.frombuffer(text.encode(), np.uint8)
-    return _words(raw, np.array([0, len(raw)]))[0]
+    return _spelled(raw, np.array([0, len(raw)]))[0]
+
+
+def _hash_text(text: str) -> np.ndarray:
+    return _spell_text(text).words
 
 
 def _pieces(n: int) -> int:
@@ -194,11 +217,12 @@ def build_index(spark: SparkSession, items: list[tuple[int, str, str | None]], w
     targets = np.stack([np.array(v) @ basis[t] for t, v in rows])
     targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)
     answers = [_hash_text(a or _answer(t)) for _, t, a in items]
+    spellings = [tuple((w := _spell_text(x)).bytes(0, len(w.words)) for x in (t, a or _answer(t))) for _, t, a in items]
     masks = np.zeros((len(vocabulary) + 1, len(items)), dtype=np.uint64)
     for k, w in enumerate(words):
         if len(w) <= 64:
             np.bitwise_or.at(masks, (np.searchsorted(vocabulary, w), k), np.uint64(1) << np.arange(len(w), dtype=np.uint64))
-    return Index([i for i, _, _ in items], words, answers, vocabulary, (basis * weight[:, None]).astype(np.float32), targets.astype(np.float32), np.array([k for k, _ in pieces]), weights.astype(np.float32), masks)
+    return Index([i for i, _, _ in items], words, answers, spellings, vocabulary, (basis * weight[:, None]).astype(np.float32), targets.astype(np.float32), np.array([k for k, _ in pieces]), weights.astype(np.float32), masks)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -215,6 +239,12 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - state.bit_count()
 
 
+def numbered(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two lists of words as numbers that are equal where the words are."""
+    known: dict[bytes, int] = {}
+    return tuple(np.array([known.setdefault(w, len(known)) for w in x], dtype=np.int64) for x in (a, b))
+
+
 def common_subsequences(words: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, index: Index) -> np.ndarray:
     """Length of the longest common subsequence of words[lo:hi] and the item, for each of many; `at` is the place of each word in the vocabulary.
 
@@ -320,8 +350,12 @@ def _judge(docs: DataFrame, blocks: list[Index], cosine: float, verbatim: float,
     # a block holds BLOCK_ITEMS items, about 15 MB; all of them meet every text in one pass
     shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
 
-    def leaks(words: np.ndarray, rows: np.ndarray, index: Index, best: dict[int, tuple]) -> None:
-        """Puts the strongest candidate of each row into best: (leak, lcs, cosine, answer, -item)."""
+    def leaks(spelled: Spelled, rows: np.ndarray, index: Index, best: dict[int, tuple]) -> None:
+        """Puts the strongest candidate of each row into best: (leak, lcs, cosine, answer, -item).
+
+        Hashes can only make a subsequence longer than it is; one long enough for a leak is counted again by its words' bytes.
+        """
+        words = spelled.words
         sizes = np.array([len(w) for w in index.words])
         places = _places(words, index)
         row, item, begin, value = _search(words, places, rows, index, cosine)
@@ -332,16 +366,20 @@ def _judge(docs: DataFrame, blocks: list[Index], cosine: float, verbatim: float,
         for k in order.tolist():
             if (have := best.get(r := int(row[k]))) and (lcs[k], value[k]) < have[1:3] and (have[0] or lcs[k] < paraphrase):
                 continue
-            told = common_subsequence(index.answers[item[k]], words[lo[k] : hi[k]]) / max(len(index.answers[item[k]]), 1)
-            leak = bool(lcs[k] >= verbatim or (lcs[k] >= paraphrase and told >= answer))
-            best[r] = max(best.get(r, ()), (leak, float(lcs[k]), float(value[k]), told, -index.items[item[k]]))
+            held = float(lcs[k])
+            if held >= paraphrase:
+                held, told = (common_subsequence(*numbered(x, spelled.bytes(lo[k], hi[k]))) / max(len(x), 1) for x in index.spellings[item[k]])
+            else:
+                told = common_subsequence(index.answers[item[k]], words[lo[k] : hi[k]]) / max(len(index.answers[item[k]]), 1)
+            leak = held >= verbatim or (held >= paraphrase and told >= answer)
+            best[r] = max(best.get(r, ()), (leak, held, float(value[k]), told, -index.items[item[k]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in text_slices(batches):
-            words, rows = _words(data, at)
+            spelled, rows = _spelled(data, at)
             best: dict[int, tuple] = {}
             for block in shared:
-                leaks(words, rows, block.value, best)
+                leaks(spelled, rows, block.value, best)
             out = [best.get(r) for r in range(batch.num_rows)]
             yield pa.record_batch(
                 [
@@ -361,7 +399,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     reduced by a randomised SVD; overlapping passages of the documents are projected, and those with a cosine of at
     least `cosine` to an item are candidates. Around every such passage the longest common
     subsequence of words decides, and the strongest counts: `verbatim` of the item's words, or `paraphrase` of them and
-    `answer` of the answer's (the column answer, else the item's last sentence). Returns doc_id, contaminated,
+    `answer` of the answer's (the column answer, else the item's last sentence); leaks are decided by the words' bytes. Returns doc_id, contaminated,
     and of the strongest candidate item_id, cosine, lcs and answer (null if there is none; ties to the
     smaller item). Null or empty texts leak nothing; null or empty items are never leaked; repeated rows, and rows without doc_id, give a row each;
     very long texts are searched whole; an empty table gives no rows; other columns, whatever their names, are left aside.

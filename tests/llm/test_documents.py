@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from certame.llm import katz, neardup, packing, suffix_dedup, token_files, tokens
+from certame.llm import decontamination, katz, neardup, packing, suffix_dedup, token_files, tokens
 from certame.llm.kernels import text_buffers  # noqa: F401  imported once on the driver
 from certame.llm.queries import QUERIES
 from tests.llm import brute
@@ -169,6 +169,10 @@ def test_words_built_to_collide(spark, n):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(frame(spark, rows)).collect()} == brute.suffix_dedup(rows)
     check_packing(packing.pack(frame(spark, rows)).collect(), ids)
     assert {r.doc_id: r.ids for r in token_files.tokenised(frame(spark, rows)).collect()} == {d: [*i, 2] for d, i in ids.items()}
+    items = spark.createDataFrame([(9, f"{x} {y} {y} {x} {y} and more {x} {x} {y} here"), (8, f"some {x} {x} item of {y} {y} words {y} that {x} {y} hold")], "item_id long, text string")
+    leaked = [*rows, (6, f"it reads some {x} {x} item of {y} {y} words {y} that {x} {y} hold"), (7, f"it reads some {y} {y} item of {x} {x} words {x} that {y} {x} hold"), (8, f"{x} " * 9)]
+    found = {r.doc_id: (r.contaminated, r.item_id) for r in decontamination.contamination(frame(spark, leaked), items).collect()}
+    assert {d: i for d, (hit, i) in found.items() if hit} == {6: 8}
     want = brute.base_scores(rows)
     for r in katz.score(frame(spark, rows)).collect():
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4]
@@ -184,6 +188,21 @@ def test_repeats_are_cut_and_columns_stay(spark):
     assert got[3].text is None and got[3].lang == "fr"
 
 
+def test_half_a_digest_settles_nothing(spark, monkeypatch):
+    """Surroundings whose digests agree in one half only are told apart: here both halves name different stretches, and one half is the same for all."""
+    rng = random.Random(8)
+    rows = [(k, f"{sentence(rng, 40)} {sentence(random.Random(k % 3), 30)} {sentence(rng, 10)}") for k in range(12)]
+    plain = suffix_dedup._digests
+    for half in (0, 1):
+        monkeypatch.setattr(suffix_dedup, "_digests", lambda *a, half=half: tuple(np.zeros_like(d) if k == half else d for k, d in enumerate(plain(*a))))
+        batch = pa.record_batch([pa.array([r[0] for r in rows]), pa.array([0] * len(rows)), pa.array([r[1] for r in rows])], ["doc_id", "sub", "text"])
+        found = pa.Table.from_batches(suffix_dedup._find_anchors(iter([batch]), 100, 32, np.zeros(0, np.int64)))
+        monkeypatch.setattr(suffix_dedup, "_digests", plain)
+        whole = pa.Table.from_batches(suffix_dedup._find_anchors(iter([batch]), 100, 32, np.zeros(0, np.int64)))
+        settled = lambda t: sorted(zip(t["doc_id"].to_pylist(), t["place"].to_pylist(), t["key"].is_null().to_pylist(), strict=True))
+        assert settled(found) == settled(whole) and any(s[2] for s in settled(whole))
+
+
 def test_collisions_are_held_against_bytes():
     """Windows of one group whose hashes agree but whose bytes do not."""
     data = np.frombuffer(b"a" * 20 + b"b" * 20, np.uint8)
