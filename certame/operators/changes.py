@@ -6,11 +6,14 @@ sinks.replace_table() puts it where the old one was.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from certame import fixed
 from certame.functions.arrays import map_put, map_without, put_image, without_path
+from certame.schemas import REPORTS, evolve
 
 #: Buckets that new rows are numbered in.
 ID_BUCKETS = 1024
@@ -48,6 +51,24 @@ def upsert(old: DataFrame, new: DataFrame, key: tuple[str, ...], columns: tuple[
     return both.select(*map(value, old.columns))
 
 
+def refused(new: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """M2: rows that lack something required (null, empty or 0), with erro naming what."""
+    lacks = [F.when(F.coalesce(F.trim(F.col(c).cast("string")).isin("", "0"), F.lit(True)), F.lit(c)) for c in required]
+    return new.withColumn("erro", F.concat_ws(", ", *lacks)).where("erro <> ''")
+
+
+def insert(rows: DataFrame, new: DataFrame, schema: str, required: tuple[str, ...] = (), defaults: dict[str, object] | None = None) -> DataFrame:
+    """M2: rows and new ones, with the columns of schema; refused() ones stay out, missing columns and nulls take their defaults."""
+    good = reduce(lambda a, b: a & b, [~F.coalesce(F.trim(F.col(c).cast("string")).isin("", "0"), F.lit(True)) for c in required], F.lit(True))
+    return evolve(rows, schema).unionByName(evolve(new.where(good), schema, defaults))
+
+
+def report_errors(reports: DataFrame, new: DataFrame) -> DataFrame:
+    """M2: error reports of users (ano, dia, numero, tipo_erro, maybe questao_id, descricao); a blank description is none, and all wait."""
+    told = new.withColumn("descricao", F.nullif(F.trim("descricao"), F.lit(""))) if "descricao" in new.columns else new
+    return insert(reports, told.drop("status"), REPORTS, ("ano", "dia", "numero", "tipo_erro"), {"status": "pendente"})
+
+
 def insert_or_patch(old: DataFrame, new: DataFrame, next_id: int) -> DataFrame:
     """M3: rows with an id change theirs; rows without one come in, with ids from next_id on, without gaps.
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from certame.functions.text import prompt, skill_in
 from certame.operators.changes import upsert
@@ -61,7 +62,7 @@ def first_of(*models: Model) -> Model:
 
 def asked(rows: DataFrame, question: str, answer: str, make: Callable[[], Model]) -> DataFrame:
     """Adds a model's answer to a column of prompts. make() opens the client in the task, once for each partition; columns stay."""
-    schema = rows.schema.add(answer, "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField(answer, T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()

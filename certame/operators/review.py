@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from certame.operators import ranks
 from certame.schemas import checked
 
 
@@ -69,3 +70,11 @@ def by_area(rows: DataFrame, order: list[str]) -> DataFrame:
     """The ids of each area in order, for printing."""
     listed = F.sort_array(F.collect_list(F.struct(*order, F.col("questao_id").alias("__id"))))
     return rows.groupBy("area").agg(F.transform(listed, lambda s: s["__id"]).alias("questoes"))
+
+
+def pages_by_area(rows: DataFrame, order: list[str], size: int = 100) -> DataFrame:
+    """A17 for any number of rows: (area, pagina, questoes), pages of `size` ids of each area in order, from 1; no row holds more."""
+    along = ranks.placed(rows.select("area", "questao_id", *[c for c in order if c not in ("area", "questao_id")]), ["area"], [*[F.col(c).asc() for c in order], F.col("questao_id").asc()], "__place")
+    page = (F.floor((F.col("__place") - 1) / size) + 1).alias("pagina")
+    listed = F.sort_array(F.collect_list(F.struct("__place", "questao_id")))
+    return along.groupBy("area", page).agg(F.transform(listed, lambda s: s["questao_id"]).alias("questoes"))

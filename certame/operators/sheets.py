@@ -208,20 +208,31 @@ def read_sheet(content: bytes, questions: int) -> tuple[list[list[float]], str |
     return [[fill(flat, x, y) for x, y in row] for row in bubble_centres(questions).tolist()], None
 
 
-def input_error(size: Column, questions: Column) -> Column:
-    """Why a photograph is not read at all; null if it is."""
-    return F.when(size < 1000, "imagem muito pequena").when(~F.coalesce(questions.between(1, 180), F.lit(False)), "número de questões inválido")
+# The types that are taken, and how their files begin (in hexadecimal digits).
+TYPES = {"image/jpeg": "^FFD8FF", "image/png": "^89504E470D0A1A0A", "image/webp": "^52494646.{8}57454250", "image/x-portable-graymap": "^5035"}
+
+
+def content_type(content: Column) -> Column:
+    """The type of an image by its first bytes; null for any other file."""
+    head = F.hex(F.substring(content, 1, 12))
+    return F.coalesce(*[F.when(head.rlike(begins), kind) for kind, begins in TYPES.items()])
+
+
+def input_error(size: Column, questions: Column, kind: Column | None = None) -> Column:
+    """Why a photograph is not read at all; null if it is. kind is the type that the upload declares, where it does."""
+    wrong = F.lit(False) if kind is None else ~F.coalesce(kind.isin(*TYPES), F.lit(False))
+    return F.when(wrong, "tipo de arquivo não suportado").when(size < 1000, "imagem muito pequena").when(~F.coalesce(questions.between(1, 180), F.lit(False)), "número de questões inválido")
 
 
 def bubble_fills(photos: DataFrame) -> DataFrame:
-    """Fills of photos (id, content, total_questoes), a row each; erro instead where a photo can't be read."""
+    """Fills of photos (id, content, total_questoes, maybe content_type), a row each; erro instead where a photo can't be read."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             got = [read_sheet(c, int(n)) if e is None else ([], e) for c, n, e in zip(f["content"], f["total_questoes"], f["erro"], strict=True)]
             yield pd.DataFrame({"id": f["id"], "total_questoes": f["total_questoes"], "fills": [x[0] for x in got], "erro": [x[1] for x in got]})
 
-    checked = photos.select(F.col("id").cast("string"), "content", F.coalesce(F.col("total_questoes").cast("int"), F.lit(0)).alias("total_questoes"), input_error(F.length("content"), F.col("total_questoes")).alias("erro"))
+    checked = photos.select(F.col("id").cast("string"), "content", F.coalesce(F.col("total_questoes").cast("int"), F.lit(0)).alias("total_questoes"), input_error(F.length("content"), F.col("total_questoes"), F.col("content_type") if "content_type" in photos.columns else None).alias("erro"))
     return checked.mapInPandas(run, FILLS)
 
 

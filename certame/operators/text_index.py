@@ -13,6 +13,8 @@ GRAM_PARTS, TEXT_PARTS = 64, 64
 #: Tasks that share a folder of trigrams.
 SPREAD = 8
 WIDTH = 3
+#: Trigrams of a term, the rarest ones, that its candidates must hold; the texts decide in the end.
+RAREST = 4
 
 
 def grams(text: Column) -> Column:
@@ -29,6 +31,7 @@ class TextIndex:
     """Two tables below a path, for rows (key, text).
 
     grams: (gram, key) in folders by the gram's hash (part), sorted, so that a search opens the folders of its own trigrams and skips row groups within.
+    sizes: (gram, n) in the same folders: in how many rows a gram is, for each add().
     texts: the rows in folders by the key's hash (part), of which a search opens those that hold a candidate.
     """
 
@@ -37,8 +40,14 @@ class TextIndex:
     key: str
     key_type: str
 
-    def _read(self, table: str, column: str) -> DataFrame:
-        return self.spark.read.schema(f"{column} string, {self.key} {self.key_type}, part int").parquet(f"{self.path}/{table}")
+    def _read(self, table: str) -> DataFrame:
+        own = {"grams": f"gram string, {self.key} {self.key_type}", "sizes": "gram string, n long", "texts": f"text string, {self.key} {self.key_type}"}[table]
+        return self.spark.read.schema(f"{own}, part int").parquet(f"{self.path}/{table}")
+
+    def _of(self, table: str, cut: dict[str, list[tuple[str, int]]]) -> DataFrame:
+        """Rows of a table for some terms' trigrams, from their folders only."""
+        parts, names = {p for g in cut.values() for _, p in g}, {x for g in cut.values() for x, _ in g}
+        return self._read(table).where(F.col("part").isin(sorted(parts)) & F.col("gram").isin(sorted(names)))
 
     def add(self, rows: DataFrame, text: str) -> None:
         """Takes rows in; nulls hold no trigram, and a text too short for one is found by terms as short only."""
@@ -46,6 +55,8 @@ class TextIndex:
         posted = own.select(self.key, F.explode(grams(F.col("text"))).alias("gram")).withColumn("part", _part(F.col("gram"), GRAM_PARTS))
         posted = posted.repartition("part", F.pmod(F.xxhash64(self.key), F.lit(SPREAD))).sortWithinPartitions("part", "gram", self.key)
         posted.write.mode("append").partitionBy("part").parquet(f"{self.path}/grams")
+        sizes = own.select(F.explode(grams(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).withColumn("part", _part(F.col("gram"), GRAM_PARTS))
+        sizes.repartition("part").sortWithinPartitions("part", "gram").write.mode("append").partitionBy("part").parquet(f"{self.path}/sizes")
         kept = own.withColumn("part", _part(F.col(self.key), TEXT_PARTS)).repartition("part").sortWithinPartitions("part", self.key)
         kept.write.mode("append").partitionBy("part").parquet(f"{self.path}/texts")
 
@@ -58,10 +69,16 @@ class TextIndex:
                 found[r["term"]].append((r["gram"], r["part"]))
         return found
 
+    def _rarest(self, cut: dict[str, list[tuple[str, int]]]) -> dict[str, list[tuple[str, int]]]:
+        """The RAREST trigrams of each term; none for a term with a trigram that no row holds."""
+        sizes = {r["gram"]: r["n"] for r in self._of("sizes", cut).groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+        return {t: sorted(g, key=lambda x: (sizes[x[0]], x))[:RAREST] for t, g in cut.items() if all(x in sizes for x, _ in g)}
+
     def candidates(self, terms: list[str]) -> DataFrame:
-        """(term, key) of texts that hold all of a term's trigrams, for terms of three characters or more."""
+        """(term, key) of texts that hold the rarest trigrams of a term, for terms of three characters or more."""
         cut = {t: g for t, g in self._grams_of(terms).items() if g}
-        posted = self._read("grams", "gram").where(F.col("part").isin(sorted({p for g in cut.values() for _, p in g})) & F.col("gram").isin(sorted({x for g in cut.values() for x, _ in g})))
+        cut = self._rarest(cut) if cut else cut
+        posted = self._of("grams", cut)
         wanted = self.spark.createDataFrame([(t, x, len(g)) for t, g in cut.items() for x, _ in g], "term string, gram string, size int")
         met = posted.select("gram", self.key).distinct().join(F.broadcast(wanted), "gram")  # the asked terms' own trigrams
         return met.groupBy("term", "size", self.key).count().where("count = size").select("term", self.key)
@@ -74,7 +91,7 @@ class TextIndex:
         """
         asked = sorted({t for t in terms if t})
         long = [t for t, g in self._grams_of(asked).items() if g] if asked else []
-        texts = self._read("texts", "text")
+        texts = self._read("texts")
         found = []
         if long:
             hits = self.candidates(long).withColumn("part", _part(F.col(self.key), TEXT_PARTS))

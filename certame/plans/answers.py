@@ -195,6 +195,27 @@ def retry_by_area(spark, sf_dir):
     return review.by_area(rows, ["questao_id"]).select("area", F.size("questoes").cast("long").alias("n"), F.md5(F.array_join(F.transform("questoes", lambda x: x.cast("string")), ",")).alias("lista"))
 
 
+@query(f"""WITH {RETRY}, d AS (SELECT DISTINCT area, questao_id FROM ultimas JOIN questoes ON id = questao_id WHERE NOT acertou), n AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY questao_id) - 1 AS k FROM d)
+  SELECT area, k // 40 + 1 AS pagina, count(*) AS n, md5(string_agg(questao_id::VARCHAR, ',' ORDER BY questao_id)) AS lista FROM n GROUP BY 1, 2""")
+def retry_pages_by_area(spark, sf_dir):
+    """A17."""
+    rows = review.pages_by_area(retry_list(spark, sf_dir).select("area", "questao_id").distinct(), ["questao_id"], 40)
+    return rows.select("area", "pagina", F.size("questoes").cast("long").alias("n"), F.md5(F.array_join(F.transform("questoes", lambda x: x.cast("string")), ",")).alias("lista"))
+
+
+@query("""WITH e AS (SELECT event_id, nullif(user_id % 7, 3) AS questao_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE 2000 + user_id % 20 END AS ano, CASE WHEN event_id % 11 = 0 THEN ' ' ELSE 'dia' || (event_id % 2 + 1) END AS dia, (event_id % 9)::INTEGER AS numero, event_type AS tipo_erro, CASE WHEN event_id % 3 = 0 THEN '  ' ELSE ' ' || props END AS descricao FROM events)
+  SELECT questao_id, ano::INTEGER AS ano, dia, numero, tipo_erro, nullif(trim(descricao), '') AS descricao, CASE WHEN event_id % 2 = 0 THEN 'resolvido' ELSE 'pendente' END AS status FROM e WHERE event_id % 2 = 0 OR (ano IS NOT NULL AND trim(dia) <> '' AND numero <> 0)""")
+def reported_errors(spark, sf_dir):
+    """M2: half of the reports stand in the table, the others come in."""
+    i, u = F.col("event_id"), F.col("user_id")
+    told = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        i.alias("k"), F.nullif(u % 7, F.lit(3)).alias("questao_id"), F.when(i % 10 != 0, 2000 + u % 20).alias("ano"), F.when(i % 11 == 0, " ").otherwise(F.concat(F.lit("dia"), (i % 2 + 1).cast("string"))).alias("dia"),
+        (i % 9).alias("numero"), F.col("event_type").alias("tipo_erro"), F.when(i % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), "props")).alias("descricao"),
+    )
+    old = told.where("k % 2 = 0").withColumns({"status": F.lit("resolvido"), "descricao": F.nullif(F.trim("descricao"), F.lit(""))})
+    return changes.report_errors(old, told.where("k % 2 = 1"))
+
+
 @query(f"""WITH {ANSWERS_SQL}, u AS (SELECT simulado_id, questao_id, max(row(respondido_em, seq, coalesce(resposta, ''))) AS m FROM respostas GROUP BY 1, 2)
   SELECT simulado_id, questao_id, nullif(m[3], '') AS resposta, m[1] AS respondido_em FROM u""")
 def upsert_latest(spark, sf_dir):
