@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -355,6 +356,31 @@ def test_licenses_beside_prose_and_each_other():
     assert [x for x, _ in of(f"{apache[0]} {prose * 9}{apache[0]}")] == ["Apache-2.0"] * 2
 
 
+def canonical():
+    """License files and headers as they are found: a title, a holder, paragraphs of lines."""
+    full = {name: max(texts, key=len) for name, texts in licences.TEMPLATES.items()}
+    parts = {
+        "MIT": [licences.MIT.split(" The above")[0], "The above" + licences.MIT.split(" The above")[1], licences.AS_IS_MIT], "ISC": [licences.ISC, licences.AS_IS_ISC],
+        "BSD-2-Clause": [*re.split(r" (?=\d\. )", licences.BSD_2), licences.AS_IS_BSD], "BSD-3-Clause": [*re.split(r" (?=\d\. )", licences.BSD_3), licences.AS_IS_BSD], "Zlib": re.split(r" (?=\d\. |Permission)", full["Zlib"]),
+        **{name: re.split(r"(?<=\.) (?=This |If |Unless )", full[name]) for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0")},
+    }
+    return {name: "\n\n".join(textwrap.fill(p, 78) for p in own) for name, own in parts.items()}
+
+
+@pytest.mark.parametrize("name", sorted(canonical()))
+def test_canonical_licenses(name):
+    """Each is one block, confirmed by its own name, alone, under a title and a holder of some year, and as a comment above code."""
+    text = canonical()[name]
+    for head in ("", f"{name} License\n\nCopyright (c) 2019-2024, A. Holder <a@example.org>\nAll rights reserved.\n\n"):
+        for file in (head + text, "/*\n" + "".join(f" * {line}\n" for line in (head + text).split("\n")) + " */\nint main(void) { return 0; }\n"):
+            assert [(r[3], r[-1]) for r in licences.scan(file)] == [(name, True)]
+
+
+@pytest.mark.parametrize("name", sorted(licences.TEMPLATES))
+def test_spdx_lines(name):
+    assert [(r[3], r[-1]) for r in licences.scan(f"// SPDX-License-Identifier: {name}\nimport x\n")] == [(name, True)]
+
+
 def test_licenses_of_documents(spark, sf_dir):
     """Every document with a line of the usual wordings is found, by the right name."""
     docs = {r.doc_id: r.text or "" for r in table(spark, sf_dir, "documents").collect()}
