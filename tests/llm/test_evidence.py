@@ -48,6 +48,58 @@ def test_evidence_decides_where_the_text_is_silent(spark, sf_dir):
     assert language.identify(spark.createDataFrame([], "key long, text string, declared string, host string"), model).collect() == []
 
 
+def fused(rows, model):
+    """The fusion once more, row by row: likelihoods of text, declared language and suffix, times smoothed priors of domain and host without the row's own share."""
+    names = list(model.languages)
+    known = [n for n in names if n != language.NONE]
+
+    def chance(said, name, right):
+        if said not in known:
+            return 0.0
+        return np.log(1.0 / (len(names) - 1)) if name == language.NONE else np.log(right) if said == name else np.log((1 - right) / max(len(names) - 2, 1))
+
+    def normal(logs):
+        odds = np.exp(np.array(logs) - np.max(logs))
+        return odds / odds.sum()
+
+    told = []
+    for key, text, declared, host in rows:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        bucket, _ = language.features(raw, np.array([0, len(raw)]))
+        log = model.table[bucket].sum(axis=0) * (min(len(bucket), language.TEXT_WEIGHT) / max(len(bucket), 1))
+        last = re.search(r"\.([A-Za-z]+)$", host or "")
+        own = [log[k] + chance((declared or "").strip().lower()[:2], n, language.DECLARED_RIGHT) + chance(language.SUFFIXES.get(last[1].lower()) if last else None, n, language.SUFFIX_RIGHT) for k, n in enumerate(names)]
+        told.append((key, host or "", ".".join((host or "").split(".")[-2:]), np.array(own), normal(own), len(bucket)))
+    everywhere = sum((t[4] for t in told), np.zeros(len(names))) + 1.0
+    everywhere /= everywhere.sum()
+    out = []
+    for key, host, domain, own, share, n in told:
+        def prior(sums, strength, above, share=share):
+            return (np.maximum(sums - share, 0) + strength * above) / (max(sums.sum() - 1, 0) + strength)
+
+        at_domain = prior(sum(t[4] for t in told if t[2] == domain), language.DOMAIN_STRENGTH, everywhere)
+        post = normal(own + np.log(prior(sum(t[4] for t in told if t[1] == host), language.HOST_STRENGTH, at_domain)))
+        lang, sure = (names[int(np.argmax(post))], float(post.max())) if n else (language.NONE, 0.0)
+        out.append((key, lang, sure, lang != language.NONE and sure >= language.ACCEPT))
+    return out
+
+
+def test_fusion_against_plain_python(spark, sf_dir):
+    rng = random.Random(6)
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs)
+    texts = [r.text for r in docs.where("length(text) > 100").orderBy("doc_id").limit(40).collect()]
+    hosts = ["a.x.de", "b.x.de", "x.de", "n.example.com", "m.example.com", "z.fr", "z.fr", "plain", "", None]
+    rows = [(k, rng.choice([None, "", "12 34", *[t[a : a + rng.choice([8, 20, 60])] for t in rng.choices(texts, k=9) for a in (rng.randint(0, 80),)]]), rng.choice([None, "en", " DE-at", "xx", "fr", ""]), rng.choice(hosts)) for k in range(250)]
+    rows += [(900, texts[0], "de", "a.x.de")] * 3 + [(901, "the " * 40000, None, "n.example.com"), (None, texts[1], None, "z.fr")]
+    got = language.identify(spark.createDataFrame([(*r, 1, "y") for r in rows], "key long, text string, declared string, host string, share int, own string"), model).collect()
+    order = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
+    mine = sorted([(r.key, r.lang, r.confidence, r.accepted) for r in got], key=order)
+    want = sorted(fused(rows, model), key=order)
+    assert [(m[0], m[1], m[3]) for m in mine] == [(w[0], w[1], w[3]) for w in want]
+    assert np.allclose([m[2] for m in mine], [w[2] for w in want], atol=1e-9)
+
+
 def test_rules_of_pages(spark, sf_dir):
     rules = [(r.verdict, r.host, r.path) for r in url_filter.RULES]
     pages = {p.page_id: p.url for p in table(spark, sf_dir, "pages").collect()}
