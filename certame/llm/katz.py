@@ -372,7 +372,8 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
     A token's probability is its discounted share after its history, if the table has the bigram, else the history's backoff weight
     times the discounted share of the word, and if that is new, all that the words leave. Written as sums, a text's score is that
     of its words and histories, which need a lookup by word, plus what the bigrams of the table change. The
-    base score takes (c + 1) / (N + V + 1). Repeated rows are scored and counted each; a null doc_id is a row like others.
+    base score takes (c + 1) / (N + V + 1). Repeated rows are scored and counted each; a null doc_id is a row like others. Texts of any length
+    are scored whole; an empty table gives no rows, and one whose rows are all held out a model that knows no word; words of equal counts have equal chances, so nothing hangs on their order; other columns, whatever their names, are left aside.
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")

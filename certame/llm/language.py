@@ -99,7 +99,8 @@ def identify(rows: DataFrame, model: TextModel, accept: float = ACCEPT) -> DataF
     the host's other rows gave without it, smoothed towards the host's domain (its last two parts), this towards all rows, these
     towards equal shares; own counts are left out. Counts come from grouped sums. accepted: a language
     with at least `accept` of the posterior. Null or empty texts, and such without letters, tell nothing and
-    are not accepted (und). Null hosts are one host. Ties go to the language first by name. Repeated rows count each.
+    are not accepted (und). Null hosts are one host. Ties go to the language first by name. Repeated rows, and rows with a null key, count each. A text of
+    any length is read whole, and weighs TEXT_WEIGHT features at most; an empty table gives no rows; other columns, whatever their names, are left aside.
     """
     names = list(model.languages)
     shared = model.table

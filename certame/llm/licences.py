@@ -223,7 +223,7 @@ def license_blocks(docs: DataFrame) -> DataFrame:
     best-ranked is named, unconfirmed; if none saves LEAST_SAVING, license is null. Ties go to the
     license first by name. Notices within a block, beside prose or other notices, are sought in windows of each template's size and
     have a row each, with their own places. Null, empty and plain texts give no row; a null doc_id is kept; repeated rows give theirs
-    each. Texts of any length are read whole; documents without a cue never leave the JVM.
+    each. Texts of any length are read whole; documents without a cue never leave the JVM. An empty table gives no rows; other columns, whatever their names, are left aside.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

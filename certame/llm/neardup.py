@@ -155,7 +155,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     are linked; component_id is the smallest doc_id reachable, kept marks it. Words are
     lower-cased (A-Z) and parted by ASCII white space. Fewer words than `width`: the whole
     sequence is the one shingle. No words, or null text: an empty set, linked with
-    nothing. Repeated rows with one doc_id get the same result each; a null doc_id takes no part and is left out.
+    nothing. Repeated rows with one doc_id get the same result each; a null doc_id takes no part and is left out. Texts of any length are read
+    whole; an empty table gives no rows; other columns, whatever their names, are left aside.
 
     Equal sets meet by their digest. Each other set is listed under the rarest of the values
     in its bottom-k sketch, as many as a true partner can't miss all of; values that one set

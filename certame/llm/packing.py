@@ -94,7 +94,8 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, piece: int = PIECE, group: i
     A task packs the pieces that it has read, `group` at a time, so nothing is shuffled and
     memory stays bounded; sequence ids carry the partition's number. Null text counts as
     empty: its only id is the separator. A null doc_id stays null; repeated rows are
-    packed each. Sequences hold no padding ids; a reader pads them to `sequence`.
+    packed each. Sequences hold no padding ids; a reader pads them to `sequence`. A text of any length is cut into pieces; an empty table
+    gives no rows; pieces of equal size may stand in either order; other columns, whatever their names, are left aside.
     """
     path = tokenizer or default_tokenizer()
 

@@ -48,7 +48,8 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END, tokenizer:
     The texts, smaller than their ids, are dealt by ranges of doc_id and encoded where they
     land; each file is sorted. ORC's writer run-length encodes the integers, keeps row
     indexes of every 1000 rows and Bloom filters, so readers take stripes side by side
-    and skip by doc_id. Repeated rows are kept; nothing is written for an empty table but its schema.
+    and skip by doc_id. Repeated rows are kept, in either order; nothing is written for an empty table but its schema. A text of any length, null
+    or empty ones too, is one row; other columns, whatever their names, are left aside.
     """
     docs = docs.select("doc_id", "text")
     ranged = docs.repartitionByRange(partitions, "doc_id") if partitions else docs.repartitionByRange("doc_id")
