@@ -20,7 +20,10 @@ PIPELINE_BATCH_ROWS = 250
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled rows know stay; the others, and those without letters, go."""
+    """Documents in a language that the labelled rows know stay; the others, null and empty texts, those without letters and rows without doc_id go.
+
+    Rows of one doc_id go together if one of them is rejected. All columns stay, whatever their names; an empty table stays empty.
+    """
     small_batches(spark, PIPELINE_BATCH_ROWS)
     docs = docs.where("doc_id is not null")
     found = language.identify(language.document_rows(docs), language.train(docs))
@@ -28,7 +31,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of the smallest doc_id, in one row."""
+    """One document of each group of near-duplicates stays: the one of the smallest doc_id, in one row.
+
+    Texts without words are alike to nothing and stay. Of rows that share a doc_id one stays, any of them. Columns, very long texts and empty tables as before.
+    """
     found = staged(neardup.near_duplicates(docs), "groups")
     kept = without(docs, found.where("not kept").select("doc_id"))
     twice = staged(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
@@ -36,19 +42,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand earlier in the corpus are cut from the texts; every document stays."""
+    """Passages that stand earlier in the corpus are cut from the texts; every document stays.
+
+    Null texts stay null, one that goes whole becomes empty, n_chars (if there) follows; other columns stay.
+    """
     small_batches(spark, PIPELINE_BATCH_ROWS)
     return suffix_dedup.without_repeats(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak an item of the benchmark go."""
+    """Documents that leak an item of the benchmark go; null and empty texts leak nothing, and null or empty items are leaked by none.
+
+    Rows of one doc_id go together if one of them leaks. Columns stay.
+    """
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
     return without(docs, found.where("contaminated").select("doc_id"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 token ids, in pieces of documents."""
+    """Sequences of at most 1024 token ids, in pieces of documents; null and empty texts are an end mark alone. Only the pieces' own columns are returned."""
     small_batches(spark, PIPELINE_BATCH_ROWS)
     return packing.pack(docs)
 
