@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from certame import fixed
-
 
 #: Schemas are kept as DDL text, which readers take as it is; fields() parses it where a session runs.
 QUESTIONS = (
@@ -72,5 +70,3 @@ def mock_checks(df: DataFrame) -> DataFrame:
     """States of a retry."""
     return checked(df, F.col("status").isin("pendente", "em_andamento", "concluido"), "unknown status")
 
-
-AREA_RANK = fixed.AREAS

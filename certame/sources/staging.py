@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,19 @@ def staged(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Within it, tables may be staged; they go at its end, so results are to be written or collected inside. For sessions that run long."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        own = _made[before:]
+        del _made[before:]
+        for spark, path in own:
+            folders.delete(spark, path)
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _made:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from certame.operators import exams, ranks, search
 from certame.plans import questions
+from certame.sources import folders, staging
 
 ROWS = "id long, fonte string, ano int, numero int, area string, dia string, __extra int"
 
@@ -96,6 +97,15 @@ def test_nothing(spark):
         assert df.collect() == []
 
 
+def test_staged_tables_go(spark, table):
+    at = f"{staging.shared_dir(spark)}/certame"
+    before = folders.names(spark, at)
+    with staging.temporary():
+        assert search.neighbours(table).count() == 700
+        assert len(folders.names(spark, at)) > len(before)
+    assert folders.names(spark, at) == before
+
+
 @pytest.mark.parametrize("name", ["neighbours", "list_position", "print_layout", "area_islands", "file_order", "spread_pages"])
 def test_no_window_over_a_group(spark, sf_dir, name):
     plan = getattr(questions, name)(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
