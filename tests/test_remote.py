@@ -20,7 +20,9 @@ def bank(spark):
     rows.write.format("jdbc").options(url=URL, dbtable="questoes", user="app", password="x", createTableColumnTypes=", ".join(f"{c} varchar(40)" for c in ("fonte", "tipo", "dia", "area", "competencia", "gabarito"))).mode("overwrite").save()
     for k, v in {"url": URL, "user": "app", "password": "x", "schema": "APP"}.items():
         spark.conf.set(f"spark.certame.jdbc.{k}", v)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # plans name all filters
     yield rows
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     for k in ("url", "user", "password", "schema"):
         spark.conf.unset(f"spark.certame.jdbc.{k}")
 
