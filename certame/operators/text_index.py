@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from certame.sources import folders
+
 #: Folders of trigrams, and of texts.
 GRAM_PARTS, TEXT_PARTS = 64, 64
 #: Tasks that share a folder of trigrams.
@@ -32,7 +34,10 @@ class TextIndex:
 
     grams: (gram, key) in folders by the gram's hash (part), sorted, so that a search opens the folders of its own trigrams and skips row groups within.
     sizes: (gram, n) in the same folders: in how many rows a gram is, for each add().
-    texts: the rows in folders by the key's hash (part), of which a search opens those that hold a candidate.
+    texts: the rows in folders by the key's hash (part), of which a search opens those that hold a candidate, for each add() (lote).
+
+    A key's rows of the last add() that has it count, so an edited text takes the place of the old one, and a null text takes a key out; trigrams
+    of old texts only make candidates that their text then turns down, until build() starts anew. One add() at a time; one that dies before its texts are written changes no result.
     """
 
     spark: SparkSession
@@ -42,7 +47,7 @@ class TextIndex:
 
     def _read(self, table: str) -> DataFrame:
         own = {"grams": f"gram string, {self.key} {self.key_type}", "sizes": "gram string, n long", "texts": f"text string, {self.key} {self.key_type}"}[table]
-        return self.spark.read.schema(f"{own}, part int").parquet(f"{self.path}/{table}")
+        return self.spark.read.schema(f"{own}, lote int, part int" if table == "texts" else f"{own}, part int").parquet(f"{self.path}/{table}")
 
     def _of(self, table: str, cut: dict[str, list[tuple[str, int]]]) -> DataFrame:
         """Rows of a table for some terms' trigrams, from their folders only."""
@@ -50,15 +55,16 @@ class TextIndex:
         return self._read(table).where(F.col("part").isin(sorted(parts)) & F.col("gram").isin(sorted(names)))
 
     def add(self, rows: DataFrame, text: str) -> None:
-        """Takes rows in; nulls hold no trigram, and a text too short for one is found by terms as short only."""
-        own = rows.select(F.col(self.key), F.col(text).alias("text")).where(F.col(self.key).isNotNull() & F.col("text").isNotNull())
+        """Takes rows in, in place of older ones of their keys; rows without a key are left out. A text shorter than a trigram is found by terms that are as short only."""
+        done = [int(n.split("=")[1]) for n in folders.names(self.spark, f"{self.path}/texts") if n.startswith("lote=")]
+        own = rows.select(F.col(self.key), F.col(text).alias("text")).where(F.col(self.key).isNotNull())
         posted = own.select(self.key, F.explode(grams(F.col("text"))).alias("gram")).withColumn("part", _part(F.col("gram"), GRAM_PARTS))
         posted = posted.repartition("part", F.pmod(F.xxhash64(self.key), F.lit(SPREAD))).sortWithinPartitions("part", "gram", self.key)
         posted.write.mode("append").partitionBy("part").parquet(f"{self.path}/grams")
         sizes = own.select(F.explode(grams(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).withColumn("part", _part(F.col("gram"), GRAM_PARTS))
         sizes.repartition("part").sortWithinPartitions("part", "gram").write.mode("append").partitionBy("part").parquet(f"{self.path}/sizes")
-        kept = own.withColumn("part", _part(F.col(self.key), TEXT_PARTS)).repartition("part").sortWithinPartitions("part", self.key)
-        kept.write.mode("append").partitionBy("part").parquet(f"{self.path}/texts")
+        kept = own.withColumns({"lote": F.lit(max(done, default=0) + 1), "part": _part(F.col(self.key), TEXT_PARTS)}).repartition("part").sortWithinPartitions("part", self.key)
+        kept.write.mode("append").partitionBy("lote", "part").parquet(f"{self.path}/texts")
 
     def _grams_of(self, terms: list[str]) -> dict[str, list[tuple[str, int]]]:
         """The trigrams of each term and their folders, cut by the same expressions as the texts'."""
@@ -92,17 +98,18 @@ class TextIndex:
         asked = sorted({t for t in terms if t})
         long = [t for t, g in self._grams_of(asked).items() if g] if asked else []
         texts = self._read("texts")
+        hit = F.coalesce(F.contains(F.lower("text"), F.lower("term")), F.lit(False)).alias("hit")
         found = []
         if long:
             hits = self.candidates(long).withColumn("part", _part(F.col(self.key), TEXT_PARTS))
             parts = sorted(r["part"] for r in hits.select("part").distinct().collect())
             pruned = texts.where(F.col("part").isin(parts)) if parts else texts.where("false")
-            held = hits.join(pruned, ["part", self.key]).where(F.contains(F.lower("text"), F.lower("term")))
-            found.append(held.select("term", self.key))
+            found.append(hits.join(pruned, ["part", self.key]).select("term", self.key, "lote", hit))
         if short := [t for t in asked if t not in long]:
-            held = F.filter(F.array(*map(F.lit, short)), lambda t: F.contains(F.lower("text"), F.lower(t)))
-            found.append(texts.select(F.explode(held).alias("term"), self.key))
-        return reduce(DataFrame.unionByName, found, texts.select(F.lit("").alias("term"), self.key).limit(0)).distinct()
+            found.append(texts.withColumn("term", F.explode(F.array(*map(F.lit, short)))).select("term", self.key, "lote", hit))
+        held = reduce(DataFrame.unionByName, found, texts.select(F.lit("").alias("term"), self.key, "lote", F.lit(False).alias("hit")).limit(0))
+        last = held.groupBy("term", self.key).agg(F.max(F.struct("lote", "hit")).alias("last"))  # the newest rows of a key, any of which may hold the term
+        return last.where("last.hit").select("term", self.key)
 
 
 def build(rows: DataFrame, path: str, key: str, text: str) -> TextIndex:

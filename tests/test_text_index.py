@@ -41,6 +41,15 @@ def test_questions_by_any_column(spark, index):
     assert sorted(r.id for r in text_index.matching(bank, index, ["casa", "amarela"]).collect()) == [0, 2]
 
 
+def test_edited_texts(spark, tmp_path):
+    """The last text of a key counts; a null one takes it out; keys that are added twice at once count with any of their rows."""
+    made = text_index.build(spark.createDataFrame([(1, "old casa"), (2, "casa b"), (3, "casa c"), (4, "x")], "id long, t string"), str(tmp_path / "i"), "id", "t")
+    made.add(spark.createDataFrame([(1, "new house"), (3, None), (4, "casa"), (4, "other"), (None, "casa")], "id long, t string"), "t")
+    assert sorted(map(tuple, made.search(["casa", "house", "x", "c"]).collect())) == [("c", 2), ("c", 4), ("casa", 2), ("casa", 4), ("house", 1)]
+    made.add(spark.createDataFrame([(3, "casa again")], "id long, t string"), "t")
+    assert sorted(r.id for r in made.search(["casa"]).collect()) == [2, 3, 4]
+
+
 def test_an_empty_index(spark, rows, tmp_path):
     index = text_index.build(rows.where("text is null"), str(tmp_path / "i"), "doc_id", "text")
     assert index.search(["casa"]).collect() == []
