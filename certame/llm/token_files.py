@@ -16,6 +16,8 @@ from certame.llm.storage import keep_until_exit, shared_dir
 from certame.llm.tokens import default_tokenizer, encoder
 
 END = 2
+#: Documents of a file, about; a session with more shuffle partitions writes as many files as those.
+FILE_ROWS = 50_000
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.create.index": "true",
@@ -49,10 +51,12 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END, tokenizer:
     land; each file is sorted. ORC's writer run-length encodes the integers, keeps row
     indexes of every 1000 rows and Bloom filters, so readers take stripes side by side
     and skip by doc_id. Repeated rows are kept, in either order; nothing is written for an empty table but its schema. A text of any length, null
-    or empty ones too, is one row; other columns, whatever their names, are left aside.
+    or empty ones too, is one row; other columns, whatever their names, are left aside. Without `partitions` there is a file for about FILE_ROWS rows.
     """
     docs = docs.select("doc_id", "text")
-    ranged = docs.repartitionByRange(partitions, "doc_id") if partitions else docs.repartitionByRange("doc_id")
+    # a count needs no more than the footers of the table's files
+    files = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // FILE_ROWS))
+    ranged = docs.repartitionByRange(files, "doc_id")
     tokenised(ranged.sortWithinPartitions("doc_id"), end_id, tokenizer).write.options(**ORC_OPTIONS).orc(path)
 
 

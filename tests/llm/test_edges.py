@@ -52,6 +52,20 @@ def test_token_files_of_nulls_and_repeats(spark):
     assert token_files.token_table(clashing(spark, [])).collect() == []
 
 
+def test_files_grow_with_rows_and_are_skipped(spark, monkeypatch, tmp_path):
+    """A file for some rows; a lookup by doc_id reads the rows of its group alone."""
+    monkeypatch.setattr(token_files, "FILE_ROWS", 3000)
+    docs = spark.range(30_000).selectExpr("id as doc_id", "'a b c' as text")
+    token_files.write_token_files(docs, str(tmp_path / "f"))
+    assert len(list((tmp_path / "f").glob("*.orc"))) == 10
+    found = token_files.read_token_files(spark, str(tmp_path / "f")).where("doc_id = 12345")
+    assert [r.doc_id for r in found.collect()] == [12345]
+    plan = found._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    scan = plan.collectLeaves().apply(0)
+    assert scan.metrics().apply("numOutputRows").value() <= 4096  # the rows of one index group, read in batches, of 30,000
+
+
 def test_scores_of_nulls_and_repeats(spark):
     got = katz.score(clashing(spark, ROWS)).collect()
     assert Counter(r.doc_id for r in got) == Counter(d for d, _ in ROWS)
