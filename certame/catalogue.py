@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from certame.plans import answers, files, questions, tables, texts  # noqa: F401  they register their queries
+from certame.plans import answers, files, questions, rest, tables, texts  # noqa: F401  they register their queries
 from certame.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
