@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from certame import fixed, schemas
 from certame.functions import arrays, numbers, text
-from certame.operators import changes, extract, inventory, models, search, sheets
+from certame.operators import changes, exams, extract, inventory, models, search, sheets
 from certame.plans.adapter import AREAS_SQL, LETTERS_SQL, QUESTIONS_SQL, questions
 from certame.plans.registry import query
 from certame.sources import files, sinks
@@ -228,3 +228,41 @@ def classified_by_model(spark, sf_dir):
         return models.first_of(models.patient(busy, tries=2, sleep=lambda s: None), lambda prompt: "", lambda prompt: f"É a h{len(prompt) % 30 + 1:02d}.")
 
     return models.classify_skills(questions(spark, sf_dir).select("id", "competencia", "area", "enunciado", "comando"), make, SKILLS).select("id", "competencia")
+
+
+@query(f"""WITH {QUESTIONS_SQL}, s AS (SELECT id FROM questoes WHERE fonte = 'ENEM' AND NOT anulada AND tipo = 'PROVA' AND ano >= 2010 ORDER BY md5('mock-' || id::VARCHAR), id LIMIT 45)
+  SELECT 'u1' AS usuario_id, 'online' AS tipo, string_agg(id::VARCHAR, ',' ORDER BY id) AS questoes, count(*)::INTEGER AS total_questoes, 'em_andamento' AS status FROM s""")
+def created_mock(spark, sf_dir):
+    """A new mock of 45 questions out of what a search finds."""
+    pool = questions(spark, sf_dir).where(search.predicate(search.SearchSpec(filters={"tipo": "PROVA"}, year_from=2010, sampling=True)))
+    made = exams.create(pool, "u1", 45, "mock", F.current_timestamp())
+    return made.select("usuario_id", "tipo", F.array_join(F.transform(F.array_sort("questoes_ids"), said), ",").alias("questoes"), "total_questoes", "status")
+
+
+@query("SELECT p_partkey::VARCHAR AS chave, p_partkey % 13 <> 0 AS ok, CASE WHEN p_partkey % 13 = 0 THEN 'refused ' || p_name END AS erro FROM part")
+def sent_batches(spark, sf_dir):
+    """K4: rows in batches of fifty to a sink that refuses some; where a batch fails its rows go one by one."""
+
+    def open_sink():
+        def put(rows):
+            for r in rows:
+                if r["p_partkey"] % 13 == 0:
+                    raise ValueError(f"refused {r['p_name']}")
+
+        return put
+
+    return sinks.send(part(spark, sf_dir).select(K, "p_name"), K, open_sink)
+
+
+@query(f"""SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN [p_name] ELSE [p_type, p_brand] END AS termos, CASE WHEN p_partkey % 3 = 0 THEN {AREAS_SQL}[p_partkey % 4 + 1] END AS area, CASE WHEN p_partkey % 5 < 3 THEN 'H' || lpad((p_partkey % 30)::VARCHAR, 2, '0') END AS competencia
+  FROM part WHERE p_partkey % 7 <> 0""")
+def asked_searches(spark, sf_dir):
+    """Questions in words, a model's answer, and the filter that is taken from it; blank questions ask nothing."""
+    k = F.col(K)
+    asked = part(spark, sf_dir).select(k.alias("id"), F.when(k % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_name", F.lit(" "))).alias("pedido"), "p_type", "p_brand")
+    area = F.when(F.col("id") % 3 == 0, F.element_at(F.array(*map(F.lit, fixed.AREAS)), (F.col("id") % 4 + 1).cast("int"))).otherwise("outra")
+    skill = F.when(F.col("id") % 5 < 3, F.concat(F.lit("H"), F.lpad(said(F.col("id") % 30), 2, "0"))).otherwise("H7")
+    terms = F.when(F.col("id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit(" "), "p_type"), F.lit(""), F.col("p_brand"), F.lit("quarto")))
+    rows = asked.withColumn("resposta", F.concat(F.lit("Claro: "), F.to_json(F.struct(terms.alias("termos"), area.alias("area"), skill.alias("competencia")))))
+    told = models.asked(rows.withColumn("pergunta", text.search_prompt(F.col("pedido"), fixed.AREAS)).where("pergunta is not null").withColumn("pergunta", F.concat("pergunta", F.lit("\0"), "resposta")), "pergunta", "dito", lambda: lambda prompt: prompt.split("\0")[1])
+    return told.select("id", text.search_answer(text.json_object(F.col("dito")), F.col("pedido")).alias("s")).select("id", "s.termos", "s.area", "s.competencia")
