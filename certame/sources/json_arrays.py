@@ -107,9 +107,11 @@ class ArrayWriter(DataSourceWriter):
         return store.open_output_stream(at)
 
     def commit(self, messages: list[Written | None]) -> None:
-        """On the driver: only names move. An overwrite drops the table's other files afterwards."""
+        """On the driver: only names move. An overwrite drops the table's other files afterwards. While names move there is no _SUCCESS, so a table whose driver died then is told from a whole one."""
         store, root = self._open()
         store.create_dir(root, recursive=True)
+        if store.get_file_info(f"{root}/_SUCCESS").type == arrow_fs.FileType.File:
+            store.delete_file(f"{root}/_SUCCESS")
         names = set()
         for at, name in (f for m in messages if m for f in m.files):
             if name in names:

@@ -62,13 +62,16 @@ def merge_table(new: DataFrame, path: str, key: tuple[str, ...], by: tuple[str,
     """M1, K3, K8: upsert() into a table partitioned by `by`, of which only the partitions that change are written anew.
 
     Those are where rows of new's keys stand now, found by reading keys alone, and where they go. Rows may move to another partition; one
-    that loses all its rows goes. new has a row for each key; columns that it lacks stay. What is written is complete before any partition is replaced.
+    that loses all its rows goes. new has a row for each key (latest_per_key(); an error otherwise); columns that it lacks stay. What is written is complete before any
+    partition is replaced; a merge that dies between two partitions is completed by running it again. One writer at a time.
     """
     spark = new.sparkSession
     table = spark.read.parquet(path)
     kinds = {c: "string" for c, kind in table.dtypes if kind == "void"} | dict(new.dtypes)  # a partition column of nulls alone has no type
     old = table.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in table.columns])
     new = staged(new, "merge")
+    if not new.groupBy(*key).count().where("count > 1").isEmpty():
+        raise ValueError(f"a key comes twice: {', '.join(key)}")
     asked = new.select(*[F.col(c).alias(f"__k_{c}") for c in key]).distinct()
     held = old.select(*dict.fromkeys([*key, *by])).join(asked, [old[c].eqNullSafe(asked[f"__k_{c}"]) for c in key], "left_semi").select(*by)
     if set(by) <= set(new.columns):
@@ -77,15 +80,19 @@ def merge_table(new: DataFrame, path: str, key: tuple[str, ...], by: tuple[str,
     if not touched:
         return
     hit = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(r[c])) for c in by]) for r in touched])
-    after = staged(upsert(old.where(hit), new, key), "merged")
+    there = old.where(hit)
+    same = [there[c].eqNullSafe(asked[f"__k_{c}"]) for c in key]
+    # a merge that died may have left a key in two partitions
+    changed = upsert(there.join(asked, same, "left_semi").dropDuplicates(list(key)), new, key)
+    after = staged(there.join(asked, same, "left_anti").unionByName(changed), "merged")
     after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
     text = [F.col(c).cast("string").alias(c) for c in by]
     left = {tuple(r) for r in after.select(*text).distinct().collect()}
-    there = _partitions(spark, path, by)
+    at = _partitions(spark, path, by)
     for r in touched:
         values = tuple(None if v is None else str(v) for v in r)
-        if values not in left and values in there:
-            folders.delete(spark, there[values])
+        if values not in left and values in at:
+            folders.delete(spark, at[values])
 
 
 def replace_table(rows: DataFrame, path: str) -> None:

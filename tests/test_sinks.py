@@ -11,7 +11,7 @@ from pathlib import Path
 
 import pytest
 
-from certame.sources import files, folders, sinks
+from certame.sources import files, folders, json_arrays, sinks
 
 BANK = "id long, fonte string, tipo string, ano int, turno string, texto string, nota double"
 ROWS = [(k, "ENEM" if k % 2 else "U/F T", "PROVA", None if k % 5 == 0 else 2000 + k % 3, None, f"t{k}", 1.0) for k in range(60)]
@@ -55,6 +55,23 @@ def test_merge_moves_rows(spark, bank):
     assert sum("fonte=EXATO" in p for p in parts(spark, bank)) == 1 and not any("fonte=ENEM" in p and "ano=__HIVE" in p for p in parts(spark, bank))
 
 
+def test_merge_again(spark, bank, monkeypatch):
+    """A merge that dies before it has cleared what moved away leaves rows twice; the next run puts that right. A key that comes twice is refused."""
+    want = {r[0]: r[1:] for r in ROWS}
+    new = [(r[0], "EXATO", "SIMULADO", 2030, None, r[5], 3.0) for r in ROWS if r[1] == "ENEM" and r[3] is None]
+    rows = spark.createDataFrame(new, BANK)
+    with monkeypatch.context() as patch:
+        patch.setattr(sinks.folders, "delete", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            sinks.merge_table(rows, bank, ("id",))
+    assert spark.read.parquet(bank).count() == 60 + len(new)
+    for _ in range(2):
+        sinks.merge_table(rows, bank, ("id",))
+        assert spark.read.parquet(bank).count() == 60 and read(spark, bank) == want | {r[0]: r[1:] for r in new}
+    with pytest.raises(ValueError, match="twice"):
+        sinks.merge_table(rows.union(rows), bank, ("id",))
+
+
 def test_merge_of_some_columns(spark, bank):
     before = parts(spark, bank)
     sinks.merge_table(spark.createDataFrame([(3, 9.5)], "id long, nota double"), bank, ("id",))
@@ -90,6 +107,19 @@ def test_json_arrays_set_bad_rows_aside(spark, tmp_path):
     assert len(aside) == 3 and {a["erro"] for a in aside} >= {"nome missing"}
 
 
+def test_json_arrays_whose_driver_dies(spark, tmp_path, monkeypatch):
+    """While names move the table is marked as not whole; writing it again makes it so."""
+    path = str(tmp_path / "out")
+    rows = spark.range(40).repartition(4)
+    sinks.write_json_arrays(rows, path)
+    writer = json_arrays.ArrayWriter({"path": path}, True)
+    with pytest.raises(FileNotFoundError):
+        writer.commit([json_arrays.Written([(f"{path}/_pending/gone", "part-00000.json")])])
+    assert not (tmp_path / "out" / "_SUCCESS").exists()
+    sinks.write_json_arrays(rows, path)
+    assert (tmp_path / "out" / "_SUCCESS").exists() and sorted(r["id"] for p in Path(path).glob("*.json") for r in json.loads(p.read_text())) == list(range(40))
+
+
 def test_json_arrays_of_nothing(spark, tmp_path):
     sinks.write_json_arrays(spark.createDataFrame([], "a int"), str(tmp_path / "out"))
     assert [p.name for p in (tmp_path / "out").iterdir()] == ["_SUCCESS"]
