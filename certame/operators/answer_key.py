@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from certame.functions.arrays import let
+from certame.sources.staging import dealt
 
 LEAST = 5
 # The three layouts.
@@ -57,11 +58,14 @@ def answer_key(text: Column, strict: bool = False, fallback: Column | None = Non
 def key_rows(papers: DataFrame, text: str = "texto", strict: bool = False) -> DataFrame:
     """One row for each entry of each paper's key."""
     rest = [c for c in papers.columns if c != text]
-    return papers.select(*rest, F.explode(answer_key(F.col(text), strict)).alias("k")).select(*rest, F.col("k.numero").alias("numero"), F.col("k.letra").alias("letra"))
+    return dealt(papers).select(*rest, F.explode(answer_key(F.col(text), strict)).alias("k")).select(*rest, F.col("k.numero").alias("numero"), F.col("k.letra").alias("letra"))
 
 
 def with_key(questions: DataFrame, key: DataFrame, on: tuple[str, ...]) -> DataFrame:
-    """Gabarito and anulada of questions: voided is a number that the key holds without a letter, not one that it lacks."""
-    k = key.select(*on, "letra", F.lit(True).alias("__there"))
+    """Gabarito and anulada of questions: voided is a number that the key holds without a letter, not one that it lacks.
+
+    A key's entries come from texts, whose size does not tell how many there are, so they are dealt out by paper and never broadcast.
+    """
+    k = key.select(*on, "letra", F.lit(True).alias("__there")).hint("merge")
     joined = questions.drop("gabarito", "anulada").join(k, list(on), "left")
     return joined.withColumns({"gabarito": F.col("letra"), "anulada": F.coalesce("__there", F.lit(False)) & F.col("letra").isNull()}).drop("letra", "__there")

@@ -40,6 +40,11 @@ def staged(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows over spark.sql.shuffle.partitions tasks, by key or in turn: ahead of work that takes long for each row, since a file that is small may hold many rows."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 @contextmanager
 def temporary() -> Iterator[None]:
     """Within it, tables may be staged; they go at its end, so results are to be written or collected inside. For sessions that run long."""
