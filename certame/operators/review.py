@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from certame.operators import ranks
 from certame.schemas import checked
+from certame.sources.staging import dealt
 
 
 def missed(acertou: str = "acertou"):
@@ -40,10 +41,11 @@ def next_version(state: DataFrame, answers: DataFrame, by: str = "usuario_id") -
 
     state: usuario_id, questao_id, versao_tt, acertou, zerada; answers: usuario_id, questao_id, acertou. What was
     answered right is mastered (zerada, acertou); what was missed again moves to the user's next version and is neither. A question
-    with both answers counts as missed; one without an answer stays as it is.
+    with both answers counts as missed; one without an answer stays as it is. State is dealt by user over a fixed number of tasks, so that none
+    holds a core's share of all.
     """
     told = answers.groupBy(by, "questao_id").agg(F.bool_and(F.coalesce("acertou", F.lit(False))).alias("certa"))
-    joined = state.join(told, [by, "questao_id"], "left").join(current_version(state, by), by, "left")
+    joined = dealt(state.join(told, [by, "questao_id"], "left"), by).join(current_version(state, by), by, "left")
     return joined.select(
         by, "questao_id",
         F.when(F.col("certa") == F.lit(False), F.col("versao") + 1).otherwise(F.col("versao_tt")).cast("int").alias("versao_tt"),
