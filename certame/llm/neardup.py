@@ -21,6 +21,8 @@ SKETCH = 64
 LEAST_SHARED = 28
 #: What a list tells of a member: id, size of its set, how much of it others hold, component.
 SIDE = (("rep", ""), ("n_shingles", "_n"), ("common", "_s"), ("component", "_c"))
+#: By what a centre is chosen: the values of its sketch, then how little it holds alone, then the smallest id.
+CONNECTED = "struct(central, common - n_shingles, -rep)"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], width: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -102,7 +104,7 @@ def _beyond_centres(parted: DataFrame, sketch_of: DataFrame, sets: DataFrame, pe
     need = lambda n, m: F.ceil(percent * (n + m) / (100 + percent))  # noqa: E731  what sets of n and m values share if linked
     top = parted.groupBy("value", "component").agg(F.count("*").alias("n")).groupBy("value").agg(F.max_by("component", F.struct("n", "component")).alias("top"))
     parted = parted.join(top, "value")
-    centre = parted.where("component = top").groupBy("top").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("c"))
+    centre = parted.where("component = top").groupBy("top").agg(F.max_by("rep", F.expr(CONNECTED)).alias("c"))
     members = parted.select("top", "rep", "n_shingles", "common", "component").distinct().join(centre, "top")
     held = (
         members.join(sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("h")), "rep")
@@ -175,11 +177,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     held = reps.select("rep", F.explode("sketch").alias("value"))
     shared = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    # ranks among the values that others hold; those held by one set alone come before them
+    # ranks among the values that others hold; those held by one set alone come before them (whole numbers: sums of doubles hang on their order, and copies tie)
     ranked = (
         held.join(shared, "value")
         .groupBy("rep")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"), F.sum(F.log2("df")).alias("central"))
+        .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"), F.sum(F.round(F.log2("df") * 1e6).cast("long")).alias("central"))
         .join(reps.select("rep", "n_shingles", F.size("sketch").alias("s")), "rep")
         .withColumn("need", F.least(F.ceil(F.col("s") * percent / 100), F.lit(least_shared)))
         .withColumn("slots", F.col("s") - F.col("need") + 1 - (F.col("s") - F.size("common")))
@@ -212,7 +214,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
             continue
         x = parted.select("value", *[F.col(c).alias(f"x{k}") for c, k in SIDE])
         one = F.struct(*[F.col(c).alias(f"y{k}") for c, k in SIDE])
-        centre = parted.groupBy("value").agg(F.max_by(one, F.struct("central", -F.col("rep"))).alias("c")).select("value", "c.*")
+        centre = parted.groupBy("value").agg(F.max_by(one, F.expr(CONNECTED)).alias("c")).select("value", "c.*")
         found = _confirmed(x.join(centre, "value").where("x_c <> y_c").where(_fits(percent)), sketch_of, sets, percent, size)
         links = found if links is None else links.union(found)
         drop_shuffles(spark)

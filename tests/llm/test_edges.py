@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
-from certame.llm import katz, packing, token_files, url_filter
+from certame.llm import katz, neardup, packing, token_files, url_filter
+from certame.llm.kernels import shingle_sets, word_hashes
 
 ROWS = [(None, "no id here"), (None, "no id here"), (3, "one two three " * 500), (3, "one two three " * 500), (3, "other text"), (1, None), (2, ""), (2, ""), (9, "é" * 3000)]
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, start int, length int, sequence_id string, ids string, n_tokens int, part string, w long, h long, found int, kept int, key int, around int"
@@ -93,3 +97,37 @@ def test_stages_keep_columns_of_any_name(spark, sf_dir):
         assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
         assert {r.sequence_id for r in out.collect()} <= {"x"}
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs.where("doc_id is not null"), sf_dir).collect()} == {1, 3, 4, 5, 6}
+
+
+def test_centre_of_copies_with_one_sketch(spark, monkeypatch):
+    """Copies whose tails miss the sketch tie; the text that all of them hold is the centre, whatever its doc_id, and one round of meetings is enough."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=8))
+
+    def hashes(words):
+        text = " ".join(words).encode()
+        return next(shingle_sets(*word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)])), neardup.WIDTH))
+
+    base = [word() for _ in range(300)]
+    bound = hashes(base)[neardup.SKETCH - 1]
+
+    def tail():
+        out = base[-4:]
+        while len(out) < 64:
+            out.append(word())
+            if hashes(out[-5:])[0] <= bound:
+                out.pop()
+        return out[4:]
+
+    rows = [(99, " ".join(base)), *((k, " ".join(base + tail())) for k in range(8))]
+    met = []
+
+    def counted(df, name, staged=neardup.staged):
+        out = staged(df, name)
+        if name == "pairs":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "staged", counted)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and met == [8]
