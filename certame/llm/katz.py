@@ -1,15 +1,15 @@
 """Katz backoff bigrams with Good-Turing discounts and exactly normalised backoff weights.
 
-Counts and scores move as compressed columns between tasks, dealt by the history; histories
-that make up a noticeable share of all tokens are split further by the word that follows.
-The model is kept as tables: the words, and the bigrams by partition.
+Counts move as compressed columns between tasks, dealt by the word that follows, which then has its own count beside its bigrams;
+bigrams and scores are dealt by the history, which then has all that its backoff rests on. Words that make up a noticeable share of
+all tokens are split further by their partner; what is known of these few goes to every task. The model is kept as a table of bigrams.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from certame.llm.kernels import mix, text_slices, word_hashes
-from certame.llm.storage import drop_shuffles, removed, staged
+from certame.llm.storage import drop_shuffles, staged
 
 #: Words are 64-bit hashes; these two stand for a text's start and end.
 START, END = 1, 2
@@ -26,10 +26,11 @@ START, END = 1, 2
 LEAST_COUNT = 1
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
-#: A history with this share of all tokens is split in SALTS.
+#: A word with this share of all tokens is split in SALTS.
 HOT_SHARE, SALTS = 1 / 1000, 16
-PARTITION_TOKENS = 1_250_000
-BATCH_TOKENS = 750_000
+#: Tokens of a partition; small tables are dealt to SPREAD partitions, as long as those have SPREAD_TOKENS each.
+PARTITION_TOKENS, SPREAD, SPREAD_TOKENS = 2_500_000, 48, 500_000
+BATCH_TOKENS = 1_500_000
 HELD_OUT = (7, 2)
 
 
@@ -48,12 +49,29 @@ def unpack(raw: bytes, **kinds: str) -> dict[str, np.ndarray]:
     return out
 
 
+FOLDED = {"lead": "<u8", "run": "<u4", "known": "<u8", "at": "<u4"}
+
+
+def fold(lead: np.ndarray, other: np.ndarray, **more: np.ndarray) -> bytes:
+    """Pairs in the order of `lead`, packed: that one as differences and runs, the other as places in the list of those that occur."""
+    head = _runs(lead)
+    known, at = np.unique(other, return_inverse=True)
+    return pack(lead=np.diff(lead[head], prepend=np.uint64(0)), run=np.diff(np.append(head, len(lead))).astype("<u4"), known=np.diff(known, prepend=np.uint64(0)), at=at.astype("<u4"), **more)
+
+
+def unfold(raw: bytes, **more: str) -> dict[str, np.ndarray]:
+    """`lead` once a run, `other` for each pair."""
+    x = unpack(raw, **FOLDED, **more)
+    return x | {"lead": np.cumsum(x["lead"], dtype=np.uint64), "other": np.cumsum(x["known"], dtype=np.uint64)[x["at"]]}
+
+
 def held_out(doc_id: int | None) -> bool:
     """Whether a document is kept from training: crc32 of its doc_id as text, modulo 7, is 2."""
     return zlib.crc32(str(doc_id).encode()) % HELD_OUT[0] == HELD_OUT[1]
 
 
 def _parts(h: np.ndarray, w: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of h; if that is hot, of both."""
     salt = np.where(np.isin(h, hot), w % np.uint64(SALTS), np.uint64(0)) if len(hot) else np.uint64(0)
     return ((mix(h + salt * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
@@ -91,55 +109,70 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-PAIR_KINDS = {"h": "<u8", "run": "<u4", "w": "<u8", "n": "<u4"}
-
-
 def _deal(part: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
     edge = np.append(np.searchsorted(part, np.arange(parts)), len(part)).tolist()
     return ((p, edge[p], edge[p + 1]) for p in range(parts) if edge[p] < edge[p + 1])
 
 
+def _rows(kind: int, size: int, **columns) -> pa.RecordBatch:
+    """Rows of a kind, with the columns of COUNTED that they have."""
+    kinds = {"kind": pa.int32(), "part": pa.int32(), "key": pa.int64(), "n": pa.int64(), "found": pa.binary()}
+    return pa.record_batch([pa.array([kind] * size, t) if k == "kind" else pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in kinds.items()], list(kinds))
+
+
 def _count_pairs(batches: Iterator[pa.RecordBatch], parts: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of the bigrams of a batch, for the partitions of their second words."""
     for _, h, w, _ in _pairs(batches, True):
-        order = np.lexsort((w, h))
+        order = np.lexsort((h, w))
         h, w = h[order], w[order]
         at = _runs(h, w)
-        n = np.diff(np.append(at, len(h)))
+        n = np.diff(np.append(at, len(h))).astype("<u4")
         h, w = h[at], w[at]
-        part = _parts(h, w, hot, parts)
+        part = _parts(w, h, hot, parts)
         order = np.argsort(part, kind="stable")
         h, w, n, part = h[order], w[order], n[order], part[order]
-        out = []
-        for p, a, b in _deal(part, parts):
-            head = _runs(h[a:b])
-            run = np.diff(np.append(head, b - a)).astype("<u4")
-            out.append((p, pack(h=np.diff(h[a:b][head], prepend=np.uint64(0)), run=run, w=w[a:b], n=n[a:b].astype("<u4"))))
+        out = [(p, fold(w[a:b], h[a:b], n=n[a:b])) for p, a, b in _deal(part, parts)]
         if out:
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["part", "found"])
 
 
-COUNT_SCHEMA = "kind int, h long, w long, c long"
+COUNTED = "kind int, part int, key long, n long, found binary"
+PAIR, PAIRS_WITH, WORDS_WITH, OFTEN, DISTINCT, TOKENS, ASKED, NAMED = range(8)
+
 
+def _add_pairs(batches: Iterator[pa.RecordBatch], parts: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Bigrams with both counts, for the partitions of their histories, and sums.
 
-def _add_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Kind 1: count of a history; kind 2: count of a bigram, `least` at least; kind 3: how many bigrams have the count in h."""
+    PAIRS_WITH, WORDS_WITH: how many bigrams, and words that are not hot, have the count in key; OFTEN: count of a hot word here;
+    DISTINCT, TOKENS: the words that are not hot. The count of a hot word stands as 0 beside its bigrams.
+    """
     got = []
     for batch in batches:
         for raw in batch.column(1).to_pylist():
-            x = unpack(raw, **PAIR_KINDS)
-            got.append((np.repeat(np.cumsum(x["h"], dtype=np.uint64), x["run"]), x["w"], x["n"].astype(np.int64)))
+            x = unfold(raw, n="<u4")
+            got.append((np.repeat(x["lead"], x["run"]), x["other"], x["n"].astype(np.int64)))
     if not got:
         return
-    h, w, n = (np.concatenate(x) for x in zip(*got, strict=True))
-    order = np.lexsort((w, h))
-    h, w, n = h[order], w[order], n[order]
-    at = _runs(h, w)
-    h, w, c = h[at], w[at], np.add.reduceat(n, at)
-    head = _runs(h)
-    seen = c >= least
-    of, times = np.unique(c[c <= DISCOUNTED + 1], return_counts=True)
-    for kind, hh, ww, cc in ((1, h[head], np.zeros(len(head), np.uint64), np.add.reduceat(c, head)), (2, h[seen], w[seen], c[seen]), (3, of, np.zeros(len(of), np.uint64), times)):
-        yield pa.record_batch([pa.array(np.full(len(cc), kind, np.int32)), pa.array(hh.astype(np.int64)), pa.array(ww.astype(np.int64)), pa.array(cc.astype(np.int64))], ["kind", "h", "w", "c"])
+    w, h, n = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.lexsort((h, w))
+    w, h, n = w[order], h[order], n[order]
+    at = _runs(w, h)
+    w, h, c = w[at], h[at], np.add.reduceat(n, at)
+    head = _runs(w)
+    count, often = np.add.reduceat(c, head), np.isin(w[head], hot)
+    rest = count[~often]
+    for kind, values in ((PAIRS_WITH, c), (WORDS_WITH, rest)):
+        of, times = np.unique(values[values <= DISCOUNTED + 1], return_counts=True)
+        yield _rows(kind, len(of), key=of, n=times)
+    yield _rows(OFTEN, int(often.sum()), key=w[head][often].view(np.int64), n=count[often])
+    yield _rows(DISTINCT, 1, key=[0], n=[len(rest)])
+    yield _rows(TOKENS, 1, key=[0], n=[int(rest.sum())])
+    beside = np.repeat(np.where(often, 0, count), np.diff(np.append(head, len(w))))
+    part = _parts(h, w, hot, parts)
+    order = np.argsort(part, kind="stable")
+    w, h, c, beside, part = w[order], h[order], c[order].astype("<u4"), beside[order], part[order]
+    out = [(p, fold(w[a:b], h[a:b], c=c[a:b], count=beside[a:b][_runs(w[a:b])])) for p, a, b in _deal(part, parts)]
+    yield _rows(PAIR, len(out), part=[x[0] for x in out], found=[x[1] for x in out])
 
 
 def discounts(times: dict[int, int], least: int = 1, most: int = DISCOUNTED) -> dict[int, float]:
@@ -158,20 +191,56 @@ def discounts(times: dict[int, int], least: int = 1, most: int = DISCOUNTED) ->
 
 @dataclass
 class Model:
-    words: DataFrame  # w, c, p (log10 of the probability), a (log10 of the backoff weight)
-    pairs: DataFrame  # part, found: packed h, w, y
+    pairs: DataFrame  # part, found: bigrams with their own counts and those of their second words
     train_tokens: int
     distinct: int
+    whole: float  # what counts are shares of
     unknown: float  # log10 of the probability of a word not seen in training
     parts: int
-    hot: np.ndarray
+    least: int
+    word_factor: np.ndarray  # by count, as are pair_factor; the last one is for all larger counts
+    pair_factor: np.ndarray
+    hot: np.ndarray  # sorted; the others are of these words
+    count: np.ndarray
+    after: np.ndarray  # tokens that have it as history
+    mass: np.ndarray  # sum of the discounted counts of its bigrams
+    words: np.ndarray  # sum of the probabilities of the words that follow it
 
 
-def _factor(c, table: dict[int, float]):
-    out = F.lit(1.0)
-    for r, d in table.items():
-        out = F.when(F.col(c) == r, F.lit(d)).otherwise(out)
-    return out
+def _factors(table: dict[int, float]) -> np.ndarray:
+    return np.array([0.0, *(table[r] for r in range(1, DISCOUNTED + 1)), 1.0])
+
+
+def _discounted(c: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    return c * factor[np.minimum(c, DISCOUNTED + 1)]
+
+
+def _bigrams(raw: bytes, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Histories, words, the counts of both together and of the word."""
+    x = unfold(raw, c="<u4", count="<i8")
+    lead, count = x["lead"], x["count"].copy()
+    hot = np.flatnonzero(count == 0)
+    count[hot] = model.count[np.searchsorted(model.hot, lead[hot])]
+    return x["other"], np.repeat(lead, x["run"]), x["c"].astype(np.int64), np.repeat(count, x["run"])
+
+
+def _shares(c: np.ndarray, count: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """What bigrams of the table add to the mass of their histories, and their words to the probabilities that the table covers."""
+    seen = c >= model.least
+    return np.where(seen, _discounted(c, model.pair_factor), 0.0), np.where(seen, _discounted(count, model.word_factor) / model.whole, 0.0)
+
+
+def _hot_sums(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    mass, words = np.zeros(len(model.hot)), np.zeros(len(model.hot))
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            h, _, c, count = _bigrams(raw, model)
+            own = np.isin(h, model.hot)
+            at = np.searchsorted(model.hot, h[own])
+            for out, x in zip((mass, words), _shares(c[own], count[own], model), strict=True):
+                out += np.bincount(at, weights=x, minlength=len(out))
+    some = np.flatnonzero(mass)
+    yield pa.record_batch([pa.array(some), pa.array(mass[some]), pa.array(words[some])], ["k", "m", "u"])
 
 
 def frequent_words(docs: DataFrame, share: float = HOT_SHARE) -> tuple[int, np.ndarray]:
@@ -193,82 +262,37 @@ def frequent_words(docs: DataFrame, share: float = HOT_SHARE) -> tuple[int, np.n
     return total, np.array(sorted(w for w, n in got.items() if n >= share * total / 2), dtype=np.int64).view(np.uint64)
 
 
-PACKED = {"h": "<u8", "w": "<u8", "y": "<f8"}
-
-
 def fit(docs: DataFrame, least: int = LEAST_COUNT) -> Model:
     """The model of the rows of docs (doc_id, text) that are not held out."""
     total, hot = frequent_words(docs)
-    parts = max(8, -(-total // PARTITION_TOKENS))
-    counted = docs.mapInArrow(lambda b: _count_pairs(b, parts, hot), "part int, found binary").repartition(parts, "part").mapInArrow(lambda b: _add_pairs(b, least), COUNT_SCHEMA)
+    hot = np.union1d(hot, np.array([START, END], np.uint64))
+    parts = max(8, min(SPREAD, total // SPREAD_TOKENS), -(-total // PARTITION_TOKENS))
+    counted = docs.mapInArrow(lambda b: _count_pairs(b, parts, hot), "part int, found binary").repartition(parts, "part").mapInArrow(lambda b: _add_pairs(b, parts, hot), COUNTED)
     counted = staged(counted, "ngrams")
     drop_shuffles(docs.sparkSession)
 
-    histories = counted.where("kind = 1").groupBy("h").agg(F.sum("c").alias("c"))
-    # every word is the history of what follows it; START counts the texts, and so the ENDs
-    histories = staged(histories, "histories")
-    texts = histories.where(F.col("h") == START).agg(F.sum("c")).first()[0] or 0
-    counts = histories.select(F.when(F.col("h") == START, F.lit(END)).otherwise(F.col("h")).alias("w"), "c")
-    of = {r.c: r.n for r in counts.groupBy("c").agg(F.count("*").alias("n")).where(F.col("c") <= DISCOUNTED + 1).collect()}
-    sums = counts.agg(F.sum("c"), F.count("*")).first()
-    tokens, distinct = sums[0] or 0, sums[1]
+    sums = {(r.kind, r.key): r.n for r in counted.where(F.col("kind") != PAIR).groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()}
+    often = {np.int64(w).view(np.uint64): n for (kind, w), n in sums.items() if kind == OFTEN}
+    of = {r: sums.get((WORDS_WITH, r), 0) + sum(n == r for n in often.values()) for r in range(1, DISCOUNTED + 2)}
+    tokens, distinct = sums.get((TOKENS, 0), 0) + sum(often.values()), sums.get((DISTINCT, 0), 0) + len(often)
     d1 = discounts(of)
-    free = sum(of.get(r, 0) * r * (1 - d) for r, d in d1.items())
+    free = sum(of[r] * r * (1 - d) for r, d in d1.items())
     # without rare words nothing is free: a word not seen yet counts as one more
     whole = tokens if free else tokens + 1
-    unknown = (free or 1) / whole
-    prob = _factor("c", d1) * F.col("c") / F.lit(float(max(whole, 1)))
-
-    pair_of = {r.h: r.c for r in counted.where("kind = 3").groupBy("h").agg(F.sum("c").alias("c")).collect()}
-    d2 = discounts(pair_of, least)
-    seen = counted.where("kind = 2").select("h", "w", "c", (F.col("c") * _factor("c", d2)).alias("m"))
-    seen = seen.join(counts.select("w", prob.alias("p")), "w")
-    mass = seen.groupBy("h").agg(F.sum("m").alias("m"), F.sum("p").alias("u")).join(histories.withColumnRenamed("c", "n"), "h")
-    # a history with nothing discounted still leaves one part of n + 1 to other words
-    kept = F.least(F.lit(1.0), F.col("n") / (F.col("n") + 1) / (F.col("m") / F.col("n")))
-    mass = mass.select("h", "n", kept.alias("keep"), F.log10((1 - kept * F.col("m") / F.col("n")) / (1 - F.col("u"))).alias("a"))
-    mass = staged(mass, "backoff")
-    drop_shuffles(docs.sparkSession)
+    d2 = discounts({r: n for (kind, r), n in sums.items() if kind == PAIRS_WITH}, least)
 
-    def shelve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, w, y = (batch.column(k).to_numpy() for k in range(3))
-            h, w = h.astype(np.uint64), w.astype(np.uint64)
-            part = _parts(h, w, hot, parts)
-            order = np.lexsort((w, h, part))
-            h, w, y, part = h[order], w[order], y[order], part[order]
-            out = [(p, pack(h=h[a:b], w=w[a:b], y=y[a:b])) for p, a, b in _deal(part, parts)]
-            yield pa.record_batch([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["part", "found"])
-
-    y = F.log10(F.col("keep") * F.col("m") / F.col("n")) - F.col("a") - F.log10("p")
-    pairs = staged(seen.join(mass, "h").select("h", "w", y.alias("y")).mapInArrow(shelve, "part int, found binary"), "bigrams")
-    words = counts.unionByName(histories.where(F.col("h") == START).select(F.col("h").alias("w"), F.lit(0).cast("long").alias("c")))
-    words = words.join(mass.select(F.col("h").alias("w"), "a"), "w", "left").select("w", "c", F.when(F.col("c") > 0, F.log10(prob)).otherwise(0.0).alias("p"), F.coalesce("a", F.lit(0.0)).alias("a"))
-    words = staged(words, "words")
-    removed(counted, histories, mass)
-    drop_shuffles(docs.sparkSession)
-    return Model(words, pairs, tokens, distinct, float(np.log10(unknown)), parts, hot)
+    count = np.array([often.get(w, 0) for w in hot], np.int64)
+    # every word is the history of what follows it; START stands before the first, as often as END after the last
+    after = np.where(hot == START, count[np.searchsorted(hot, np.uint64(END))], count)
+    pairs = counted.where(F.col("kind") == PAIR).select("part", "found")
+    model = Model(pairs, tokens, distinct, float(max(whole, 1)), float(np.log10((free or 1) / whole)), parts, least, _factors(d1), _factors(d2), hot, count, after, np.zeros(len(hot)), np.zeros(len(hot)))
+    bare = replace(model, pairs=None)
+    for r in pairs.select("found").mapInArrow(lambda b: _hot_sums(b, bare), "k long, m double, u double").groupBy("k").agg(F.sum("m").alias("m"), F.sum("u").alias("u")).collect():
+        model.mass[r.k], model.words[r.k] = r.m, r.u
+    return model
 
 
-WORDS = {"w": "<u8", "c": "<i8", "p": "<f8", "a": "<f8"}
-ASK = {"h": "<u8", "run": "<u4", "w": "<u8", "times": "<u4", "doc": "<u4"}
 NAMES = {"ids": "<i8", "null": "u1"}
-ASKED, WORD, PAIR, NAMED = range(4)
-
-
-def _shelve_words(batches: Iterator[pa.RecordBatch], parts: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        w, c, p, a = (batch.column(k).to_numpy() for k in range(4))
-        w = w.astype(np.uint64)
-        at, part = np.arange(len(w)), _parts(w, np.zeros(len(w), np.uint64), np.zeros(0, np.uint64), parts)
-        if (often := np.flatnonzero(np.isin(w, hot))).size:  # in each partition that holds some of it
-            again = np.repeat(often, SALTS)
-            found = _parts(w[again], np.tile(np.arange(SALTS, dtype=np.uint64), len(often)), hot, parts)
-            at, part = np.append(at, again), np.append(part, found)
-        order = np.lexsort((w[at], part))
-        at, part = at[order], part[order]
-        out = [(q, pack(w=w[at[x:y]], c=c[at[x:y]], p=p[at[x:y]], a=a[at[x:y]])) for q, x, y in _deal(part, parts)]
-        yield pa.record_batch([pa.array([x[0] for x in out], pa.int32()), pa.array([WORD] * len(out), pa.int32()), pa.nulls(len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["part", "kind", "batch", "found"])
 
 
 def _ask(batches: Iterator[pa.RecordBatch], parts: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -282,10 +306,8 @@ def _ask(batches: Iterator[pa.RecordBatch], parts: int, hot: np.ndarray) -> Iter
         out = []
         for p, a, b in _deal(part, parts):
             pair = _runs(h[a:b], w[a:b])
-            hs, ws = h[a:b][pair], w[a:b][pair]
-            head = _runs(hs)
-            run, times = (np.diff(np.append(x, n)).astype("<u4") for x, n in ((head, len(pair)), (pair, b - a)))
-            out.append((p, pack(h=np.diff(hs[head], prepend=np.uint64(0)), run=run, w=ws, times=times, doc=doc[a:b].astype("<u4"))))
+            times = np.diff(np.append(pair, b - a)).astype("<u4")
+            out.append((p, fold(h[a:b][pair], w[a:b][pair], times=times, doc=doc[a:b].astype("<u4"))))
         # the documents that the batch numbers, once
         out.append((batch_id % parts, pack(ids=np.array([i or 0 for i in ids], np.int64), null=np.array([i is None for i in ids], np.uint8))))
         kinds = [ASKED] * (len(out) - 1) + [NAMED]
@@ -297,45 +319,80 @@ SUMS = {"doc": "<u4", "score": "<f8", "base": "<f8", "known": "<u4", "tokens": "
 PARTIAL = "batch long, kind int, found binary"
 
 
-def _answer(batches: Iterator[pa.RecordBatch], unknown: float) -> Iterator[pa.RecordBatch]:
+@dataclass
+class Shelf:
+    """What a partition knows: its histories and hot words by word, and its bigrams by the hash of both."""
+
+    w: np.ndarray
+    c: np.ndarray  # count as a word
+    p: np.ndarray  # log10 of its probability
+    a: np.ndarray  # log10 of its backoff weight
+    key: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    y: np.ndarray  # log10 of what a bigram changes
+
+
+def _shelf(found: list[bytes], model: Model) -> Shelf:
+    got = [_bigrams(raw, model) for raw in found] or [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    h, w, c, count = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.argsort(h, kind="stable")
+    h, w, c, count = h[order], w[order], c[order], count[order]
+    m, u = _shares(c, count, model)
+    head = _runs(h)
+    own = ~np.isin(h[head], model.hot)  # a hot one has only some of its bigrams here
+    add = lambda x: np.add.reduceat(x, head)[own] if len(x) else x
+    n = add(c)
+    word, order = np.unique(np.concatenate((h[head][own], model.hot)), return_index=True)
+    number, after, mass, words = (np.concatenate(x)[order] for x in ((n, model.count), (n, model.after), (add(m), model.mass), (add(u), model.words)))
+    some = mass > 0
+    share = np.where(some, mass, 1.0) / np.maximum(after, 1)
+    # a history with nothing discounted still leaves one part of n + 1 to other words
+    keep = np.minimum(1.0, after / (after + 1) / share)
+    a = np.where(some, np.log10(np.where(some, (1 - keep * share) / (1 - words), 1.0)), 0.0)
+    p = np.where(number > 0, np.log10(np.maximum(_discounted(number, model.word_factor) / model.whole, 1e-300)), model.unknown)
+    kept = c >= model.least
+    h, w, m, count = h[kept], w[kept], m[kept], count[kept]
+    at = np.searchsorted(word, h)
+    y = np.log10(keep[at] * m / after[at]) - a[at] - np.log10(_discounted(count, model.word_factor) / model.whole)
+    key = mix(h ^ mix(w))
+    order = np.argsort(key, kind="stable")
+    return Shelf(word, number, p, a, key[order], h[order], w[order], y[order])
+
+
+def _answer(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """Partial sums of each batch's documents, packed: bigram score, logs of counts plus one, known words, tokens."""
-    asked, words, pairs = [], [], []
+    asked, pairs = [], []
     for batch in batches:
         for kind, n, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             if kind == ASKED:
                 asked.append((n, raw))
-            elif kind == WORD:
-                words.append(unpack(raw, **WORDS))
             elif kind == PAIR:
-                pairs.append(unpack(raw, **PACKED))
+                pairs.append(raw)
             else:
                 yield pa.record_batch([pa.array([n], pa.int64()), pa.array([NAMED], pa.int32()), pa.array([raw], pa.binary())], ["batch", "kind", "found"])
-    join = lambda found, kinds: {k: np.concatenate([x[k] for x in found]) if found else np.zeros(0, t) for k, t in kinds.items()}
-    words, pairs = join(words, WORDS), join(pairs, PACKED)
-    order = np.argsort(words["w"], kind="stable")
-    words = {k: v[order] for k, v in words.items()}
-    # a bigram is looked up by the hash of both, and then held against both
-    key = mix(pairs["h"] ^ mix(pairs["w"]))
-    order = np.argsort(key, kind="stable")
-    key, pairs = key[order], {k: v[order] for k, v in pairs.items()}
+    if not asked:
+        return
+    shelf = _shelf(pairs, model)
+    del pairs
     for n, raw in asked:
-        x = unpack(raw, **ASK)
-        head, doc, w = np.cumsum(x["h"], dtype=np.uint64), x["doc"].astype(np.int64), x["w"]
+        x = unfold(raw, times="<u4", doc="<u4")
+        head, doc, w = x["lead"], x["doc"].astype(np.int64), x["other"]
         size = int(doc.max()) + 1
-        at = np.searchsorted(words["w"], head)
-        at[at == len(words["w"])] = 0
-        known = words["w"][at] == head if len(words["w"]) else np.zeros(len(head), bool)
-        take = lambda k, other: np.where(known, words[k][at], other) if len(words["w"]) else np.full(len(head), other)
+        at = np.searchsorted(shelf.w, head)
+        at[at == len(shelf.w)] = 0
+        known = shelf.w[at] == head
         start = head == START
-        count = np.where(start, 0, take("c", 0))
+        count = np.where(known & ~start, shelf.c[at], 0)
         # the history's backoff weight, and its own probability as the word of the token before
-        score = take("a", 0.0) + np.where(start, 0.0, np.where(count > 0, take("p", 0.0), unknown))
+        score = np.where(known, shelf.a[at], 0.0) + np.where(start, 0.0, np.where(count > 0, shelf.p[at], model.unknown))
         base = np.log10(count + 1.0)
         of = np.repeat(np.arange(len(head)), x["run"])  # the history of each pair
         h = head[of]
-        k = np.searchsorted(key, own := mix(h ^ mix(w)))
-        k[k == len(key)] = 0
-        gain = np.where((pairs["h"][k] == h) & (pairs["w"][k] == w), pairs["y"][k], 0.0) if len(key) else np.zeros(len(h))
+        # a bigram is looked up by the hash of both, and then held against both
+        k = np.searchsorted(shelf.key, mix(h ^ mix(w)))
+        k[k == len(shelf.key)] = 0
+        gain = np.where((shelf.first[k] == h) & (shelf.second[k] == w), shelf.y[k], 0.0) if len(shelf.key) else np.zeros(len(h))
         pair = np.repeat(np.arange(len(h)), x["times"])  # the pair of each token
         gain, of = gain[pair], of[pair]
         total = np.bincount(doc, weights=score[of] + gain, minlength=size)
@@ -378,16 +435,14 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     model = model or fit(docs)
-    parts, hot, unknown = model.parts, model.hot, model.unknown
-    shape = "part int, kind int, batch long, found binary"
-    asked = docs.mapInArrow(lambda b: _ask(b, parts, hot), shape)
-    shelf = model.words.mapInArrow(lambda b: _shelve_words(b, parts, hot), shape)
+    parts, hot, bare = model.parts, model.hot, replace(model, pairs=None)
+    asked = docs.mapInArrow(lambda b: _ask(b, parts, hot), "part int, kind int, batch long, found binary")
     pairs = model.pairs.select("part", F.lit(PAIR).alias("kind"), F.lit(None).cast("long").alias("batch"), "found")
-    partial = asked.union(shelf).union(pairs).repartition(parts, "part").mapInArrow(lambda b: _answer(b, unknown), PARTIAL)
+    partial = asked.union(pairs).repartition(parts, "part").mapInArrow(lambda b: _answer(b, bare), PARTIAL)
     # a batch's partial sums move packed: rows by part and batch, not by part and document
     sums = partial.repartition(parts, "batch").mapInArrow(_total, "doc_id long, held_out boolean, score double, base double, known long, tokens long")
-    end = model.words.where(F.col("w") == END).first()
-    end_p, end_c = (end["p"], end["c"]) if end else (unknown, 0)
+    end_c = int(model.count[np.searchsorted(hot, np.uint64(END))])
+    end_p = float(np.log10(_discounted(end_c, model.word_factor) / model.whole)) if end_c else model.unknown
     return sums.select(
         "doc_id", "held_out", F.col("tokens").alias("n_tokens"), (F.col("known") + int(end_c > 0)).alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + float(np.log10(end_c + 1)) - F.col("tokens") * float(np.log10(model.train_tokens + model.distinct + 1))).alias("base_score"),
