@@ -30,6 +30,8 @@ DISCOUNTED = 5
 HOT_SHARE, SALTS = 1 / 1000, 16
 #: Tokens of a partition; small tables are dealt to SPREAD partitions, as long as those have SPREAD_TOKENS each.
 PARTITION_TOKENS, SPREAD, SPREAD_TOKENS = 2_500_000, 48, 500_000
+#: Tasks for each partition: as many tasks as partitions would leave up to five partitions to one task, as their hashes fall.
+TASKS = 3
 BATCH_TOKENS = 1_500_000
 HELD_OUT = (7, 2)
 
@@ -267,7 +269,7 @@ def fit(docs: DataFrame, least: int = LEAST_COUNT) -> Model:
     total, hot = frequent_words(docs)
     hot = np.union1d(hot, np.array([START, END], np.uint64))
     parts = max(8, min(SPREAD, total // SPREAD_TOKENS), -(-total // PARTITION_TOKENS))
-    counted = docs.mapInArrow(lambda b: _count_pairs(b, parts, hot), "part int, found binary").repartition(parts, "part").mapInArrow(lambda b: _add_pairs(b, parts, hot), COUNTED)
+    counted = docs.mapInArrow(lambda b: _count_pairs(b, parts, hot), "part int, found binary").repartition(TASKS * parts, "part").mapInArrow(lambda b: _add_pairs(b, parts, hot), COUNTED)
     counted = staged(counted, "ngrams")
     drop_shuffles(docs.sparkSession)
 
@@ -438,7 +440,7 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
     parts, hot, bare = model.parts, model.hot, replace(model, pairs=None)
     asked = docs.mapInArrow(lambda b: _ask(b, parts, hot), "part int, kind int, batch long, found binary")
     pairs = model.pairs.select("part", F.lit(PAIR).alias("kind"), F.lit(None).cast("long").alias("batch"), "found")
-    partial = asked.union(pairs).repartition(parts, "part").mapInArrow(lambda b: _answer(b, bare), PARTIAL)
+    partial = asked.union(pairs).repartition(TASKS * parts, "part").mapInArrow(lambda b: _answer(b, bare), PARTIAL)
     # a batch's partial sums move packed: rows by part and batch, not by part and document
     sums = partial.repartition(parts, "batch").mapInArrow(_total, "doc_id long, held_out boolean, score double, base double, known long, tokens long")
     end_c = int(model.count[np.searchsorted(hot, np.uint64(END))])
